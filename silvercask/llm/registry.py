@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, quality, token_counts
+from . import bpe_codec, exact_dedup, packing, pii, quality, token_counts
 
 QUERIES: dict = {
+    "op2_pii": pii.op2_pii,
     "op4_token_counts": token_counts.op4_token_counts,
     "op8_bpe_codec": bpe_codec.op8_bpe_codec,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES: dict = {"op6_exact_dedup": exact_dedup.SQL}
