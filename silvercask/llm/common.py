@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,11 @@ class Stage:
         out._stage_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished work now, rather than when the driver next collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
