@@ -156,7 +156,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
             return
         t = pa.Table.from_batches(parts)
         s, cell, side, doc, n, label = (t.column(c).to_numpy() for c in ("s", "cell", "side", "doc", "n", "label"))
-        v = np.frombuffer(b"".join(x.as_py() for x in t.column("vector")), "<u2").reshape(-1, GROUPS)
+        v = np.frombuffer(b"".join(x.as_py() for x in t.column("vector")), "<u2").reshape(len(s), -1)
         order = np.lexsort((doc, cell, s))
         new = np.r_[True, (s[order][1:] != s[order][:-1]) | (cell[order][1:] != cell[order][:-1])]
         starts = np.flatnonzero(new)
@@ -189,13 +189,13 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("s", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, stage: Stage) -> DataFrame:
-    """Those of the staged pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, sets, percent: int, stage: Stage) -> DataFrame:
+    """Those of the staged pairs (a, b) whose whole sets are similar enough. sets(ids, few) -> doc_id, members of the
+    ids (staged); few: the ids may be broadcast."""
     ids = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = stage.put(_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    held = stage.put(sets(ids, ids.count() <= BROADCAST_IDS).select("doc_id", "members").dropDuplicates(["doc_id"]))
+    one = held.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    two = held.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
 
     def run(batches):
         for batch in batches:
@@ -206,26 +206,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, stage: St
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stage.put(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    out = stage.put(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    stage.drop(held, ids)
+    return out
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles. Null and
-    empty texts have no shingles and link with nothing. Rows that repeat a doc_id are answered one by one. A null
-    doc_id links with nothing and has a null component. An empty table gives an empty result.
-    """
-    spark, stage = docs.sparkSession, Stage(docs.sparkSession, "jaccard")
-    base = texts(docs, id_col, text_col)
-    known = base.where("doc_id is not null")
-    common = _common(known, k)
-    made = stage.put(_signatures(base, k, percent, common))
-    some = made.where("n > 0 and doc_id is not null")
-    classes = stage.put(some.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    reps = stage.put(some.join(classes, (some["same"] == classes["same"]) & (some["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"]))
-    # Blocks of very common shingles are cut, and the pivots of their parts meet in a second turn.
-    hot = spark.createDataFrame([(s, -(-c // CELL)) for s, c in common.items() if c > CELL], "s long, cells long")
+def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, stage: Stage) -> DataFrame:
+    """Verified links (a, b) between staged sets (doc_id, n, prefix, vector) that share a key of their prefixes:
+    steps 3 to 5. Every similar pair is linked or already connected. common: counts of keys that may be hot."""
+    # Blocks of very common keys are cut, and the pivots of their parts meet in a second turn.
+    hot = reps.sparkSession.createDataFrame([(s, -(-c // CELL)) for s, c in common.items() if c > CELL], "s long, cells long")
     rows = reps.select(F.explode("prefix").alias("s"), F.col("doc_id").alias("doc"), "n")
     cut = rows.join(F.broadcast(hot), "s", "left").select("s", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("cells")), F.lit(0).cast("long")).alias("salt"), "doc", "n", "cells")
     first = stage.put(_stars(cut.select("s", "salt", "doc", "n"), percent))
@@ -233,23 +223,49 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     lone = cut.where("cells is not null").select("s", F.lit(0).cast("long").alias("salt"), "doc", "n")  # a part of one row has no pivot yet
     lone = lone.join(first.select("s", "doc"), ["s", "doc"], "left_anti")
     second = stage.put(_stars(again.unionByName(lone), percent))
-    rows = stage.put(first.unionByName(second).select("s", "doc", "n").distinct())
+    rows = first.unionByName(second).select("s", "doc", "n").distinct()
     stars = stage.put(first.unionByName(second).where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-    vectors = reps.select(F.col("doc_id").alias("doc"), F.col("n").alias("size"), "vector")
-    links = _verified(known, stars, k, percent, stage)
+    links = verified(stars, sets, percent, stage)
     label = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("to"))
     named = rows.join(label, "doc", "left").select("s", "doc", "n", F.least("doc", F.coalesce("to", "doc")).alias("label"))
     named = stage.put(named)
+    stage.drop(first, second)
     mixed = named.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y").select("s", F.ceil(F.col("rows") / CELL).alias("cells"))
     open_ = named.join(mixed, "s").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cells")))
-    open_ = open_.join(vectors.drop("size"), "doc")
+    open_ = open_.join(reps.select(F.col("doc_id").alias("doc"), "vector"), "doc")
     # Whole small blocks; of a cut block, every pair of parts. Cells below 0 are joined with themselves.
     whole = open_.where("cells = 1").select("s", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("side"), "doc", "n", "label", "vector")
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda q: F.struct(F.when(F.col("part") == q, -1 - q).otherwise(F.least("part", q) * F.col("cells") + F.greatest("part", q)).alias("cell"), F.when(F.col("part") <= q, 0).otherwise(1).cast("long").alias("side"))))
     split = open_.where("cells > 1").withColumn("p", pair).select("s", "p.cell", "p.side", "doc", "n", "label", "vector")
-    pairs = stage.put(_block_pairs(whole.unionByName(split), percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _verified(known, pairs, k, percent, stage)
-    found = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
+    pairs = _block_pairs(whole.unionByName(split), percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = stage.put(pairs)
+    more = verified(pairs, sets, percent, stage)
+    stage.drop(named, stars, pairs)
+    return links.unionByName(more)
+
+
+def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles. Null and
+    empty texts have no shingles and link with nothing. Rows that repeat a doc_id are answered one by one. A null
+    doc_id links with nothing and has a null component. An empty table gives an empty result.
+    """
+    spark, stage = docs.sparkSession, Stage(docs.sparkSession, "jaccard")
+    base = texts(docs, id_col, text_col)
+    known = base.where("doc_id is not null")
+    common = _common(known, k)
+    made = stage.put(_signatures(base, k, percent, common))
+    some = made.where("n > 0 and doc_id is not null")
+    classes = stage.put(some.groupBy("same").agg(F.min("doc_id").alias("rep")))
+    reps = some.join(classes, (some["same"] == classes["same"]) & (some["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    reps = stage.put(reps.select("doc_id", "n", "prefix", "vector"))
+
+    def sets(ids, few):
+        return _sets(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k)
+
+    links = block_links(reps, common, sets, percent, stage)
+    found = components(links).select(F.col("node").alias("rep"), "component")
     out = made.select("doc_id", "n", "same").join(classes, "same", "left").join(found, "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

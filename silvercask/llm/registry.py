@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, ngram_join, packing, pii, quality, repeats, token_counts
+from . import bpe_codec, exact_dedup, ngram_join, packing, paragraphs, pii, quality, repeats, token_counts
 
 QUERIES: dict = {
     "op1_repeats": repeats.op1_repeats,
     "op2_pii": pii.op2_pii,
+    "op3_paragraphs": paragraphs.op3_paragraphs,
     "op4_token_counts": token_counts.op4_token_counts,
     "op8_bpe_codec": bpe_codec.op8_bpe_codec,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
