@@ -4,9 +4,10 @@ A byte goes if a string of ``width`` bytes that also starts in a document with a
 
 1. Of each window of ``width`` bytes, the least of its k-gram hashes names an anchor; equal windows have equal
    anchors. Windows with the same anchor lie side by side, and their union is the anchor's context.
-2. Anchors whose k-gram occurs in one document only are left behind: two joins on the hash, with minima aggregated
-   before they are shuffled, so that a k-gram of very many documents is no burden.
-3. Of equal contexts only the one in the smallest document goes on; in the others all of it is removed.
+2. Of equal contexts only the one in the smallest document goes on, in a batch of documents first and then in all;
+   in the others all of it is removed. Anchors whose k-gram occurs in one document only are left behind, in a pass
+   over the sorted hashes that holds the rows of one document.
+3. For the contexts that go on, the bytes are fetched from the documents.
 4. The distinct contexts of an anchor meet in one task. Their suffixes are sorted, neighbours' common prefixes
    (LCP) computed, and a stack scan over them gives the intervals of the tree: every repeat with all its places.
    Those that are preceded by different bytes are maximal repeats. Each place of a maximal repeat that
@@ -20,10 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts
+from .arrow import PORTION, portions
 from .common import Stage, documents, texts
 from .shingles import mixed
 
@@ -80,18 +82,61 @@ def anchors(data: bytes, width: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 5
 
 
-def _anchor_rows(docs: DataFrame, width: int, slim: bool) -> DataFrame:
-    """(h, doc) or (h, e, doc, place); place packs start, anchor - start and length."""
+def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(h, e, doc, place); place packs start, anchor - start and length.
 
-    def work(ids, texts_):
-        rows = [anchors(t.encode(), width) for t in texts_]
-        doc = np.repeat(np.array(ids, np.int64), [len(r[0]) for r in rows])
-        h, e, start, off, size = (np.concatenate(c) for c in zip(*rows))
-        if slim:
-            return [h, doc]
-        return [h, e, doc, start << 16 | off << 8 | size]
+    Contexts that repeat within an Arrow batch are settled here: all but the one in the smallest document come out
+    with e null and a random h, as spans to remove. So a context of very many documents costs a row a batch.
+    """
+    schema = "h long, e long, doc long, place long"
 
-    return map_texts(docs, work, "h long, doc long" if slim else "h long, e long, doc long, place long")
+    def run(batches):
+        for batch in batches:
+            for ids, texts_ in portions(batch, 16 * PORTION):
+                rows = [anchors(t.encode(), width) for t in texts_]
+                doc = np.repeat(np.array(ids, np.int64), [len(r[0]) for r in rows])
+                h, e, start, off, size = (np.concatenate(c) for c in zip(*rows))
+                place = start << 16 | off << 8 | size
+                order = np.lexsort((doc, e, h))
+                h, e, doc, place = h[order], e[order], doc[order], place[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])] if len(h) else np.empty(0, bool)
+                least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
+                again = doc > least
+                h = np.where(again, mixed(doc.view(np.uint64) ^ h.view(np.uint64)).view(np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(e, mask=again), pa.array(doc), pa.array(place)], names=["h", "e", "doc", "place"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose h occurs in two documents, and those with e null.
+
+    The rows of an h come one after the other (sorted by Spark, which spills); only those of the first document of an
+    h are held back, until another document shows up.
+    """
+
+    def run(batches):
+        held, held_h, is_open = None, None, False  # rows of held_h so far, all of one document; or it is known as shared
+        for batch in batches:
+            settled = batch.column("e").is_null()
+            yield batch.filter(settled)
+            live = pa.Table.from_batches([batch.filter(pa.compute.invert(settled))])
+            if not live.num_rows:
+                continue
+            if held is not None:
+                live, held = pa.concat_tables([held, live]), None
+            h, doc = live.column("h").to_numpy(), live.column("doc").to_numpy()
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[first, len(h)])
+            many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            many[0] |= is_open and h[0] == held_h
+            is_open, held_h = bool(many[-1]), h[-1]
+            keep = np.repeat(many, size)
+            if not is_open:
+                held = live.slice(int(first[-1]))
+            yield from live.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, e long, doc long, place long")
 
 
 def intervals(suffixes: np.ndarray, lengths: np.ndarray, before: np.ndarray, docs: np.ndarray, low: int, apart: np.ndarray):
@@ -189,15 +234,11 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
     """(doc, spans binary of int64 pairs): what is to be removed from each document that has something to remove."""
-    shared = _anchor_rows(docs, width, True).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    shared = stage.put(shared.select("h"))
-    stage.release()
-    seen = stage.put(_anchor_rows(docs, width, False).join(shared, "h", "left_semi"))
-    stage.release()
-    least = stage.put(seen.groupBy("h", "e").agg(F.min("doc").alias("least")))
-    marked = stage.put(seen.join(least, ["h", "e"]))
+    seen = stage.put(_shared(_anchor_rows(docs, width)))
+    least = stage.put(seen.where("e is not null").groupBy("h", "e").agg(F.min("doc").alias("least")))
+    marked = seen.where("e is not null").join(least, ["h", "e"])
     start, size = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
-    inner = marked.where("least < doc").select("doc", start.alias("a"), (start + size).alias("b"))
+    inner = stage.put(seen.where("e is null").unionByName(marked.where("least < doc").drop("least")).select("doc", start.alias("a"), (start + size).alias("b")))
     many = stage.put(least.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"))
     first = marked.where("least = doc").join(many, "h").select("doc", F.struct("h", "place", "contexts").alias("r"))
     asked = stage.put(first.groupBy("doc").agg(F.collect_list("r").alias("rs")))  # a document's own anchors
@@ -215,7 +256,7 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([i.as_py()] * len(h), pa.int64()), pa.array(at, pa.int64()), pa.array(text, pa.binary()), pa.array([r["contexts"] for r in rs], pa.int64())], names=["h", "doc", "at", "context", "contexts"])
 
     contexts = stage.put(joined.mapInArrow(cut, "h long, doc long, at long, context binary, contexts long"))
-    stage.release()
+    stage.drop(seen, least, many, asked)
 
     def scan(batches):
         parts = [b for b in batches if b.num_rows]
@@ -245,7 +286,6 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(got, pa.binary())], names=["doc", "spans"])
 
     out = stage.put(every.mapInArrow(merge, "doc long, spans binary"))
-    stage.release()
     return out
 
 
