@@ -12,9 +12,11 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import map_texts
+from .arrow import map_texts, portions
 from .common import WORD, documents, texts
 from .pii_labelled import LABELLED
 
@@ -291,14 +293,20 @@ def redact(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text without personal data; null text counts as empty."""
+def redacted_rows(docs: DataFrame, model: Crf | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the text without personal data; a null text stays null. No shuffle."""
     model = model or Crf.train()
+    at = docs.columns.index(text_col)
 
-    def work(ids, texts_):
-        return [ids, [redact(t, every) for t, (_, every) in zip(texts_, spans(model, texts_))]]
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, texts_ in portions(pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at).fill_null("")], names=["i", "t"])):
+                out += [redact(t, every) for t, (_, every) in zip(texts_, spans(model, texts_))]
+            new = pa.compute.if_else(batch.column(at).is_null(), pa.scalar(None, pa.string()), pa.array(out, pa.string()))
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return map_texts(texts(docs, id_col, text_col), work, "doc_id long, text string")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
