@@ -130,10 +130,10 @@ def fit(counts: dict[tuple[int, ...], int], names: list[str], rounds: int = 60,
 
 
 def posterior(model) -> Column:
-    """Probability that a document is good, from its votes."""
+    """Probability that a document is good, from its votes in columns vote_<rule>."""
 
     def log_joint(lp, tables):
-        return reduce(lambda a, b: a + b, (F.when(v == 1, w[1]).when(v == -1, w[-1]).otherwise(w[0]) for v, w in zip(votes().values(), tables)), F.lit(lp))
+        return reduce(lambda a, b: a + b, (F.get(F.array(*map(F.lit, (w[-1], w[0], w[1]))), F.col(f"vote_{k}") + 1) for k, w in zip(votes(), tables)), F.lit(lp))
 
     good, *bad = [log_joint(*m) for m in model]
     return 1 / (1 + reduce(lambda a, b: a + b, (F.exp(x - good) for x in bad)))
@@ -145,9 +145,10 @@ def quality(docs: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text
     base_failed: n_words < 20, or 100 * n_repeat_words > 30 * n_words; such a document is never kept. Null and empty
     texts have no words and fail. An empty table gives an empty result; other columns of docs are not looked at.
     """
-    seen = Stage(docs.sparkSession, "quality").put(features(docs, id_col, text_col))
+    made = features(docs, id_col, text_col)
+    seen = Stage(docs.sparkSession, "quality").put(made.select("*", *[v.alias(f"vote_{k}") for k, v in votes().items()]))
     names = list(votes())
-    patterns = seen.groupBy([v.alias(k) for k, v in votes().items()]).count().collect()  # at most 3**9 rows
+    patterns = seen.groupBy([F.col(f"vote_{k}").alias(k) for k in names]).count().collect()  # at most 3**9 rows
     model = fit({tuple(r[k] for k in names): r["count"] for r in patterns}, names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = seen.withColumn("p_good", posterior(model)).withColumn("base_failed", failed)
