@@ -32,16 +32,18 @@ class Model:
     Word 0 is the unknown word; word ids are by rank, class c holds ids c * width to (c + 1) * width - 1.
     """
 
-    def __init__(self, size: int, hidden: int, seed: int = 7):
+    def __init__(self, size: int, hidden: int, counts: np.ndarray | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.size, self.hidden = size, hidden
         self.width = max(1, math.isqrt(max(size - 1, 0)) + 1)
         self.classes = -(-size // self.width)
         r = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.w = {"x": r(size, 3 * hidden), "u": r(hidden, 2 * hidden), "v": r(hidden, hidden), "c": r(hidden, self.classes), "cb": np.zeros(self.classes, np.float32), "o": r(self.classes, hidden, self.width), "ob": np.zeros((self.classes, self.width), np.float32)}
-        spare = self.classes * self.width - size
-        if spare:
-            self.w["ob"][-1, self.width - spare :] = -30.0
+        n = np.zeros(self.classes * self.width)  # the output starts as the words' own frequencies
+        n[:size] = 0.1 + (0 if counts is None else counts)
+        n = n.reshape(self.classes, self.width)
+        self.w["cb"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
+        self.w["ob"] = np.where(n > 0, np.log(np.maximum(n, 1e-9) / n.sum(1, keepdims=True)), -30).astype(np.float32)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -215,6 +217,8 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int =
     size = 2 + len(top)
     rare_tokens, rare_kinds = total - sum(known_n.values()), kinds - len(top) - (known_n[END] > 0)
 
+    frequency = np.array([rare_tokens, known_n[END], *(r["n"] for r in top)], np.float64)
+
     def numbered(texts_):
         out = []
         for t in texts_:
@@ -224,7 +228,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int =
         return out
 
     def train(batches):
-        model, seen = Model(size, hidden), 0
+        model, seen = Model(size, hidden, frequency), 0
         for batch in batches:
             for _, texts_ in portions(batch, 16 * PORTION):
                 d = numbered(texts_)
@@ -238,7 +242,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int =
     copies = stage.put(base.where(mine).mapInArrow(train, "part int, seen long, weights array<double>"))
     each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
     learnt = each.orderBy("part", "i").collect() if total else []  # the model's size, whatever the corpus
-    weights = np.array([r["w"] for r in learnt], np.float32) if learnt else Model(size, hidden).vector()
+    weights = np.array([r["w"] for r in learnt], np.float32) if learnt else Model(size, hidden, frequency).vector()
 
     def score(batches):
         model = Model(size, hidden).load(weights)
