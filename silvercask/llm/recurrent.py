@@ -1,7 +1,7 @@
 """Scores by a gated recurrent language model, trained and run in numpy.
 
-Counts of all training tokens are exact and distributed. The commonest tokens (``vocabulary`` of them) are the
-model's words, sorted into classes of equal size by rank; p(word) = p(class | state) * p(word | class, state). Rarer
+Counts of all training tokens are exact and distributed. The commonest ``table`` tokens have their counts sent to the
+tasks, and the rest are joined. The commonest ``vocabulary`` of them are the model's words, sorted into classes of equal size by rank; p(word) = p(class | state) * p(word | class, state). Rarer
 words go through one unknown word, and share its probability by their smoothed counts. Training reads all training
 documents once: each task trains a copy by truncated backpropagation over windows of ``window`` tokens, many documents
 side by side, each with its own state that is carried from window to window; the copies' weights are averaged, weighted by
@@ -198,7 +198,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int = 16, window: int = 32, lanes: int = 512, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, vocabulary: int = 2048, table: int = 65536, hidden: int = 12, window: int = 32, lanes: int = 512, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0 (a null doc_id is not learnt from). Null and
@@ -210,13 +210,13 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int =
     mine = F.coalesce(~held_out(), F.lit(False))
     counts = stage.put(_counts(base.where(mine)))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(vocabulary - 2).collect()  # bounded by vocabulary
-    ids = {END: 1, **{bytes(r["token"]): i + 2 for i, r in enumerate(top)}}
+    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(max(table, vocabulary) - 2).collect()  # bounded by table
     known_n = {bytes(r["token"]): r["n"] for r in top}
+    top = top[: vocabulary - 2]
+    ids = {END: 1, **{bytes(r["token"]): i + 2 for i, r in enumerate(top)}}
     known_n[END] = next((r["n"] for r in counts.where(F.col("token") == F.lit(END)).collect()), 0)
     size = 2 + len(top)
-    rare_tokens, rare_kinds = total - sum(known_n.values()), kinds - len(top) - (known_n[END] > 0)
-
+    rare_tokens, rare_kinds = total - sum(r["n"] for r in top) - known_n[END], kinds - len(top) - (known_n[END] > 0)
     frequency = np.array([rare_tokens, known_n[END], *(r["n"] for r in top)], np.float64)
 
     def numbered(texts_):
@@ -249,14 +249,15 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, hidden: int =
         for batch in batches:
             for own, texts_ in portions(batch, 16 * PORTION):
                 docs_ = numbered(texts_)
-                natural = run(model, docs_, lanes, 64)
-                rows = []
-                for t, d in zip(texts_, docs_):
+                natural = run(model, docs_, lanes, 64) / math.log(10)
+                rows, low = [], math.log10(rare_tokens + 0.1 * (rare_kinds + 1))
+                for i, t in enumerate(texts_):
                     seen = Counter(words(t))
                     frequent = [(known_n[x], k) for x, k in seen.items() if x in known_n] + [(known_n[END], 1)]
+                    natural[i] += sum(k * (math.log10(known_n[x] + 0.1) - low) for x, k in seen.items() if x in known_n and x not in ids)
                     rare = [(x, k) for x, k in seen.items() if x not in known_n]
                     rows.append((sum(k * math.log10((c + 0.1) / (total + 0.1 * (kinds + 1))) for c, k in frequent), sum(k for c, k in frequent if c), rare))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(d) for d in docs_], pa.int64()), pa.array(natural / math.log(10)), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[x for x, _ in r[2]] for r in rows], pa.list_(pa.binary())), pa.array([[k for _, k in r[2]] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(d) for d in docs_], pa.int64()), pa.array(natural), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[x for x, _ in r[2]] for r in rows], pa.list_(pa.binary())), pa.array([[k for _, k in r[2]] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"])
 
     # A row's number keeps rows apart that repeat a doc_id; the table is written before it is read twice.
     made = stage.put(base.mapInArrow(score, "doc_id long, n_tokens long, score double, frequent double, known long, rare array<binary>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
