@@ -30,6 +30,8 @@ from .shingles import shingles
 GROUPS = 64
 #: Shingles whose counts the driver learns, those that most documents have: 16 bytes each.
 COMMON = 20_000
+#: Sets of more shingles get a finer count vector (2 kB) before they are compared in whole.
+FINE = 512
 #: Rows of a block that one task joins; larger blocks are cut into cells, and pairs of cells are joined.
 CELL = 4_096
 #: At most this many ids are broadcast (8 bytes each).
@@ -189,11 +191,41 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("s", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the summed minima of their count vectors let through."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(len(n), -1) if len(n) else np.zeros((0, 1), "<u2") for c in ("x", "y"))
+            ok = (100 * n >= percent * m) & (100 * m >= percent * n)
+            ok &= np.minimum(x, y).sum(1, dtype=np.int64) >= _needed(n, m, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one = reps.select(F.col("doc_id").alias("a"), "n", F.col("vector").alias("x"))
+    two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets, percent: int, stage: Stage) -> DataFrame:
     """Those of the staged pairs (a, b) whose whole sets are similar enough. sets(ids, few) -> doc_id, members of the
     ids (staged); few: the ids may be broadcast."""
     ids = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    held = stage.put(sets(ids, ids.count() <= BROADCAST_IDS).select("doc_id", "members").dropDuplicates(["doc_id"]))
+    held = stage.put(sets(ids, ids.count() <= BROADCAST_IDS).select("doc_id", "members"))
+
+    def counted(batches):
+        for batch in batches:
+            found = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
+            fine = [np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, 65535).astype("<u2").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(fine, pa.binary())], names=["doc_id", "n", "vector"])
+
+    # Large sets fill 64 groups evenly, whatever they hold: finer counts stop most of their pairs before the sets move.
+    large = held.where(F.length("members") > 8 * FINE).mapInArrow(counted, "doc_id long, n long, vector binary")
+    large = stage.put(large)
+    sized = large.select("doc_id")
+    both = pairs.join(sized.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(sized.withColumnRenamed("doc_id", "b"), "b", "left_semi")
+    stopped = both.join(_bounded(both, large, percent), ["a", "b"], "left_anti")
+    pairs = stage.put(pairs.join(stage.put(stopped), ["a", "b"], "left_anti"))
     one = held.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     two = held.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
 
@@ -207,7 +239,7 @@ def verified(pairs: DataFrame, sets, percent: int, stage: Stage) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     out = stage.put(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    stage.drop(held, ids)
+    stage.drop(held, ids, large)
     return out
 
 
@@ -224,8 +256,18 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     lone = lone.join(first.select("s", "doc"), ["s", "doc"], "left_anti")
     second = stage.put(_stars(again.unionByName(lone), percent))
     rows = first.unionByName(second).select("s", "doc", "n").distinct()
-    stars = stage.put(first.unionByName(second).where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = verified(stars, sets, percent, stage)
+    # The pivot that a document shares most keys with comes first; the others only where that leaves labels apart.
+    stars = first.unionByName(second).where("doc <> pivot").groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    stars = stage.put(stars)
+    near = stage.put(_bounded(stars.select("a", "b"), reps, percent))
+    best = near.join(stars, ["a", "b"]).groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
+    best = stage.put(best)
+    links = verified(best, sets, percent, stage)
+    named_a = links.select(F.col("a"), F.least("a", "b").alias("la")).groupBy("a").agg(F.min("la").alias("la"))
+    named_b = named_a.select(F.col("a").alias("b"), F.col("la").alias("lb"))
+    rest = near.join(best, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
+    rest = stage.put(rest.where(F.least("a", F.coalesce("la", "a")) != F.least("b", F.coalesce("lb", "b"))).select("a", "b"))
+    links = stage.put(links.unionByName(verified(rest, sets, percent, stage)))
     label = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("to"))
     named = rows.join(label, "doc", "left").select("s", "doc", "n", F.least("doc", F.coalesce("to", "doc")).alias("label"))
     named = stage.put(named)
@@ -237,10 +279,10 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     whole = open_.where("cells = 1").select("s", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("side"), "doc", "n", "label", "vector")
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda q: F.struct(F.when(F.col("part") == q, -1 - q).otherwise(F.least("part", q) * F.col("cells") + F.greatest("part", q)).alias("cell"), F.when(F.col("part") <= q, 0).otherwise(1).cast("long").alias("side"))))
     split = open_.where("cells > 1").withColumn("p", pair).select("s", "p.cell", "p.side", "doc", "n", "label", "vector")
-    pairs = _block_pairs(whole.unionByName(split), percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = _block_pairs(whole.unionByName(split), percent).join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = stage.put(pairs)
     more = verified(pairs, sets, percent, stage)
-    stage.drop(named, stars, pairs)
+    stage.drop(named, stars, pairs, near, best, rest)
     return links.unionByName(more)
 
 
@@ -248,8 +290,8 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles. Null and
-    empty texts have no shingles and link with nothing. Rows that repeat a doc_id are answered one by one. A null
-    doc_id links with nothing and has a null component. An empty table gives an empty result.
+    empty texts have no shingles and link with nothing. Rows that repeat a doc_id have to repeat its text, and are
+    answered one by one. A null doc_id links with nothing and has a null component. An empty table gives an empty result.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "jaccard")
     base = texts(docs, id_col, text_col)
