@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from hashlib import blake2b
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ GROUPS = 64
 COMMON = 20_000
 #: Sets of more shingles get a finer count vector (2 kB) before they are compared in whole.
 FINE = 512
+#: Sets that are compared with one other set in one place.
+PARTNERS = 512
 #: Rows of a block that one task joins; larger blocks are cut into cells, and pairs of cells are joined.
 CELL = 4_096
 #: At most this many ids are broadcast (8 bytes each).
@@ -55,21 +58,24 @@ def _common(docs: DataFrame, k: int) -> dict[int, int]:
     return {r["s"]: r["n"] for r in top.collect()}
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, k: int, narrow: bool) -> DataFrame:
+    """doc_id, members: sorted hashes, or the upper halves of those of large sets (wide: false)."""
+
     def work(ids, texts_):
         found = [shingles(t, k) for t in texts_]
-        return [ids, [len(s) for s in found], [s.tobytes() for s in found]]
+        wide = [not narrow or len(s) < FINE for s in found]
+        return [ids, [s.tobytes() if w else (s >> np.uint64(32)).astype("<u4").tobytes() for s, w in zip(found, wide)], wide]
 
-    return map_texts(docs, work, "doc_id long, n long, members binary")
+    return map_texts(docs, work, "doc_id long, members binary, wide boolean")
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int]) -> DataFrame:
-    """doc_id, n, id of the set, prefix in the common order, count vector."""
+    """doc_id, n, id of the set, prefix in the common order, count vector, finer count vector of large sets."""
     late = np.array(sorted(common), np.int64)
     weight = np.array([common[s] for s in late.tolist()], np.int64)
 
     def work(ids, texts_):
-        n, same, prefix, vector = [], [], [], []
+        n, same, prefix, vector, fine = [], [], [], [], []
         for t in texts_:
             s = shingles(t, k)
             short = s[: 0 if not len(s) else None]
@@ -83,9 +89,10 @@ def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int]) -
             same.append(blake2b(s.tobytes(), digest_size=16).digest())
             prefix.append(short.view(np.int64))
             vector.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).clip(0, 65535).astype("<u2").tobytes())
-        return [ids, n, same, prefix, vector]
+            fine.append(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, 65535).astype("<u2").tobytes() if len(s) >= FINE else None)
+        return [ids, n, same, prefix, vector, fine]
 
-    return map_texts(docs, work, "doc_id long, n long, same binary, prefix array<long>, vector binary")
+    return map_texts(docs, work, "doc_id long, n long, same binary, prefix array<long>, vector binary, fine binary")
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
@@ -191,59 +198,90 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("s", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the summed minima of their count vectors let through."""
+def _bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the summed minima of their vectors let through; pairs without two vectors in held pass."""
 
     def run(batches):
         for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(len(n), -1) if len(n) else np.zeros((0, 1), "<u2") for c in ("x", "y"))
-            ok = (100 * n >= percent * m) & (100 * m >= percent * n)
-            ok &= np.minimum(x, y).sum(1, dtype=np.int64) >= _needed(n, m, percent)
+            known = pa.compute.and_(batch.column("x").is_valid(), batch.column("y").is_valid())
+            ok = known.to_numpy(zero_copy_only=False) == False  # noqa: E712
+            some = batch.filter(known)
+            if some.num_rows:
+                n, m = (some.column(c).to_numpy() for c in ("n", "m"))
+                x, y = (np.frombuffer(b"".join(v.as_py() for v in some.column(c)), "<u2").reshape(len(n), -1) for c in ("x", "y"))
+                fit = (100 * n >= percent * m) & (100 * m >= percent * n)
+                ok[~ok] = fit & (np.minimum(x, y).sum(1, dtype=np.int64) >= _needed(n, m, percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    one = reps.select(F.col("doc_id").alias("a"), "n", F.col("vector").alias("x"))
-    two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    one = held.select(F.col("doc_id").alias("a"), "n", F.col("vector").alias("x"))
+    two = held.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets, percent: int, stage: Stage) -> DataFrame:
-    """Those of the staged pairs (a, b) whose whole sets are similar enough. sets(ids, few) -> doc_id, members of the
-    ids (staged); few: the ids may be broadcast."""
-    ids = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    held = stage.put(sets(ids, ids.count() <= BROADCAST_IDS).select("doc_id", "members"))
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, bool]:
+    """(similar, sure) for two sorted sets of 64-bit hashes, or of their upper halves where a set is large.
 
-    def counted(batches):
-        for batch in batches:
-            found = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
-            fine = [np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, 65535).astype("<u2").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(fine, pa.binary())], names=["doc_id", "n", "vector"])
-
-    # Large sets fill 64 groups evenly, whatever they hold: finer counts stop most of their pairs before the sets move.
-    large = held.where(F.length("members") > 8 * FINE).mapInArrow(counted, "doc_id long, n long, vector binary")
-    large = stage.put(large)
-    sized = large.select("doc_id")
-    both = pairs.join(sized.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(sized.withColumnRenamed("doc_id", "b"), "b", "left_semi")
-    stopped = both.join(_bounded(both, large, percent), ["a", "b"], "left_anti")
-    pairs = stage.put(pairs.join(stage.put(stopped), ["a", "b"], "left_anti"))
-    one = held.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    two = held.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    Halves may coincide where the hashes differ, so their count is an upper bound: a pair below the threshold is surely
+    apart, and one above it by more than chance can explain is surely similar. The rest has to be compared in full.
+    """
+    full = x.itemsize == y.itemsize == 8
+    if x.itemsize != y.itemsize:
+        x, y = (v if v.itemsize == 4 else (v >> np.uint64(32)).astype(np.uint32) for v in (x, y))
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared, total = int((both[1:] == both[:-1]).sum()), len(both)
+    if 100 * shared < percent * (total - shared):
+        return False, True
+    low = shared if full else shared - 8 - 4 * -(-total * total // (1 << 33))
+    return True, 100 * low >= percent * (total - low)
+
+
+def _compared(pairs: DataFrame, sets, percent: int, stage: Stage, narrow: bool) -> DataFrame:
+    """Staged (a, b, sure) of the pairs whose sets are similar. A set moves once for each b it is compared with, and
+    waits in no table; a b with many partners is cut into cells of ``PARTNERS``, each with its own copy of b."""
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("cells"))
+    one = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("cells")).alias("cell"), F.lit(1).alias("kind"))
+    two = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("kind"))
+    assigned = stage.put(one.unionByName(two))
+    few = assigned.count() <= BROADCAST_IDS
+    moved = sets(assigned.select("doc_id").distinct(), few, narrow).join(F.broadcast(assigned) if few else assigned, "doc_id")
 
     def run(batches):
+        base = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = stage.put(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    stage.drop(held, ids, large)
+            a, b, sure = [], [], []
+            for doc, key, kind, members, wide in zip(*(batch.column(c) for c in ("doc_id", "key", "kind", "members", "wide"))):
+                held = np.frombuffer(members.as_buffer(), "<u8" if wide.as_py() else "<u4")
+                if not kind.as_py():
+                    base = held
+                    continue
+                yes, known = similar(base, held, percent)
+                if yes:
+                    a.append(doc.as_py())
+                    b.append(key.as_py())
+                    sure.append(known)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    dealt = moved.select("doc_id", "key", "cell", "kind", "members", "wide").repartition("key", "cell").sortWithinPartitions("key", "cell", "kind")
+    out = stage.put(dealt.mapInArrow(run, "a long, b long, sure boolean"))
+    stage.drop(assigned)
     return out
 
 
-def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, stage: Stage) -> DataFrame:
+def verified(pairs: DataFrame, sets, percent: int, stage: Stage, large: DataFrame | None = None) -> DataFrame:
+    """Those of the staged pairs (a, b) whose whole sets are similar enough. sets(ids, few, narrow) -> doc_id, members,
+    wide of the ids; few: the ids may be broadcast; narrow: large sets may be given by the upper halves of their hashes.
+    large: fine count vectors (doc_id, n, vector) of large sets, which stop most pairs before the sets move."""
+    if large is not None:  # large sets fill 64 groups evenly, whatever they hold
+        pairs = stage.put(_bounded(pairs, large, percent))
+    found = _compared(pairs, sets, percent, stage, True)
+    links = found.where("sure").select("a", "b")
+    doubt = found.where("not sure").select("a", "b").distinct()
+    if not doubt.isEmpty():
+        links = links.unionByName(_compared(doubt, sets, percent, stage, False).select("a", "b"))
+    return links.distinct()
+
+
+def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, stage: Stage, large: DataFrame | None = None) -> DataFrame:
     """Verified links (a, b) between staged sets (doc_id, n, prefix, vector) that share a key of their prefixes:
     steps 3 to 5. Every similar pair is linked or already connected. common: counts of keys that may be hot."""
     # Blocks of very common keys are cut, and the pivots of their parts meet in a second turn.
@@ -262,12 +300,12 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     near = stage.put(_bounded(stars.select("a", "b"), reps, percent))
     best = near.join(stars, ["a", "b"]).groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
     best = stage.put(best)
-    links = verified(best, sets, percent, stage)
+    links = stage.put(verified(best, sets, percent, stage, large))
     named_a = links.select(F.col("a"), F.least("a", "b").alias("la")).groupBy("a").agg(F.min("la").alias("la"))
     named_b = named_a.select(F.col("a").alias("b"), F.col("la").alias("lb"))
     rest = near.join(best, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = stage.put(rest.where(F.least("a", F.coalesce("la", "a")) != F.least("b", F.coalesce("lb", "b"))).select("a", "b"))
-    links = stage.put(links.unionByName(verified(rest, sets, percent, stage)))
+    links = stage.put(links.unionByName(verified(rest, sets, percent, stage, large)))
     label = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("to"))
     named = rows.join(label, "doc", "left").select("s", "doc", "n", F.least("doc", F.coalesce("to", "doc")).alias("label"))
     named = stage.put(named)
@@ -281,7 +319,7 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     split = open_.where("cells > 1").withColumn("p", pair).select("s", "p.cell", "p.side", "doc", "n", "label", "vector")
     pairs = _block_pairs(whole.unionByName(split), percent).join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = stage.put(pairs)
-    more = verified(pairs, sets, percent, stage)
+    more = verified(pairs, sets, percent, stage, large)
     stage.drop(named, stars, pairs, near, best, rest)
     return links.unionByName(more)
 
@@ -301,12 +339,13 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     some = made.where("n > 0 and doc_id is not null")
     classes = stage.put(some.groupBy("same").agg(F.min("doc_id").alias("rep")))
     reps = some.join(classes, (some["same"] == classes["same"]) & (some["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    reps = stage.put(reps.select("doc_id", "n", "prefix", "vector"))
+    reps = stage.put(reps.select("doc_id", "n", "prefix", "vector", "fine"))
+    large = reps.where("fine is not null").select("doc_id", "n", F.col("fine").alias("vector"))
 
-    def sets(ids, few):
-        return _sets(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k)
+    def sets(ids, few, narrow):
+        return _sets(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k, narrow)
 
-    links = block_links(reps, common, sets, percent, stage)
+    links = block_links(reps, common, sets, percent, stage, large)
     found = components(links).select(F.col("node").alias("rep"), "component")
     out = made.select("doc_id", "n", "same").join(classes, "same", "left").join(found, "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

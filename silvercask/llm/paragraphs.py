@@ -119,7 +119,7 @@ def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least
     reps = made.join(classes, (made["same"] == classes["same"]) & (made["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
     reps = stage.put(reps.select("doc_id", "n", "prefix", "vector"))
 
-    def sets(ids, few):
+    def sets(ids, few, narrow):
         holders = ids.select(F.shiftright("doc_id", PLACE).alias("doc_id")).distinct()
         wanted = docs.join(F.broadcast(holders) if few else holders, "doc_id", "left_semi")
 
@@ -132,10 +132,9 @@ def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least
                         if got is not None:
                             pid += ((i << PLACE) + got[0]).tolist()
                             sets_ += [got[5][a:b].tobytes() for a, b in zip(got[6], got[6][1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(sets_, pa.binary())], names=["doc_id", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(sets_, pa.binary()), pa.array([True] * len(pid), pa.bool_())], names=["doc_id", "members", "wide"])
 
-        every = wanted.mapInArrow(run, "doc_id long, members binary")
-        return every.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        return wanted.mapInArrow(run, "doc_id long, members binary, wide boolean")
 
     links = block_links(reps, {}, sets, percent, stage)
     found = components(links).select(F.col("node").alias("rep"), "component")
