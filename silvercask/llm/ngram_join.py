@@ -2,8 +2,8 @@
 
 1. Documents with equal shingle sets form a class; only its smallest document (its representative) goes on.
 2. Two sets that are similar enough share one of their first n - ceil(t * n) + 1 shingles in any common order
-   (prefix principle). The order puts shingles that many documents have last, so that blocks stay small; which ones
-   these are is counted over all documents, and only affects speed. A block is the documents that share a shingle
+   (prefix principle). The order puts shingles that many documents have last, so that blocks stay small; they are
+   counted over all documents, in hashed counters of a fixed size, and the counts only affect speed. A block is the documents that share a shingle
    of their prefixes.
 3. In a block, documents are linked to pivots of about their size: as many pairs as rows, however large a group
    of near copies is. Verified links to a pivot give the documents labels.
@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -23,7 +25,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts
+from .arrow import map_texts, portions
 from .common import Stage, documents, texts
 from .components import components
 from .shingles import shingles
@@ -31,6 +33,10 @@ from .shingles import shingles
 GROUPS = 64
 #: Shingles whose counts the driver learns, those that most documents have: 16 bytes each.
 COMMON = 20_000
+#: The counters of all shingles: 2 ** BITS bytes in the driver and in each task, whatever the corpus; they are added in
+#: PARTS. They order the shingles, rare ones first, so that shared passages stay out of prefixes; only speed depends on it.
+BITS = 22
+PARTS = 256
 #: Sets of more shingles get a finer count vector (2 kB) before they are compared in whole.
 FINE = 512
 #: Sets that are compared with one other set in one place.
@@ -46,16 +52,41 @@ def _needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _common(docs: DataFrame, k: int) -> dict[int, int]:
-    """Counts of common shingles over all documents, from those that are common in some portion of them."""
-
-    def work(ids, texts_):
-        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, k) for t in texts_)]), return_counts=True)
-        some = n >= max(6, len(texts_) // 500)
-        return [found[some].view(np.int64), n[some]]
+def _frequent(docs: DataFrame, k: int, stage: Stage) -> tuple[dict[int, int], np.ndarray]:
+    """Counts of common shingles over all documents, from those that are common in some portion of them; and, from
+    2 ** BITS counters that shingles are hashed to, a logarithmic count of every shingle and those it shares with."""
 
-    top = map_texts(docs, work, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON)
-    return {r["s"]: r["n"] for r in top.collect()}
+    def work(batches):
+        counters = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for _, texts_ in portions(batch):
+                every = np.concatenate([np.empty(0, np.uint64), *(shingles(t, k) for t in texts_)])
+                counters += np.bincount((every >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+                found, n = np.unique(every, return_counts=True)
+                some = n >= max(6, len(texts_) // 500)
+                none = pa.nulls(int(some.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some]), none.cast(pa.int32()), none.cast(pa.binary())], names=["s", "n", "part", "counts"])
+        if counters.any():
+            none = pa.nulls(PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in np.split(counters, PARTS)], pa.binary())], names=["s", "n", "part", "counts"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, c in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                total[part] = total.get(part, np.uint64(0)) + np.frombuffer(zlib.decompress(c.as_py()), np.uint32).astype(np.uint64)
+        if total:
+            ranks = [np.minimum(8 * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["part", "ranks"])
+
+    made = stage.put(docs.mapInArrow(work, "s long, n long, part int, counts binary"))
+    top = made.where("s is not null").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    parts = made.where("part is not null").select("part", "counts").repartition("part").mapInArrow(added, "part int, ranks binary").collect()
+    stage.drop(made)
+    ranks = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
+    for r in parts:
+        ranks[r["part"]] = np.frombuffer(r["ranks"], np.uint8)
+    return {r["s"]: r["n"] for r in top}, ranks.ravel()
 
 
 def _sets(docs: DataFrame, k: int, narrow: bool) -> DataFrame:
@@ -69,7 +100,7 @@ def _sets(docs: DataFrame, k: int, narrow: bool) -> DataFrame:
     return map_texts(docs, work, "doc_id long, members binary, wide boolean")
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int]) -> DataFrame:
+def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int], ranks: np.ndarray) -> DataFrame:
     """doc_id, n, id of the set, prefix in the common order, count vector, finer count vector of large sets."""
     late = np.array(sorted(common), np.int64)
     weight = np.array([common[s] for s in late.tolist()], np.int64)
@@ -84,7 +115,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int]) -
                 at = np.minimum(np.searchsorted(late, seen), max(len(late) - 1, 0))
                 rank = np.where(late[at] == seen, weight[at], 0) if len(late) else np.zeros(len(s), np.int64)
                 p = len(s) - -(-percent * len(s) // 100) + 1
-                short = s[np.lexsort((s, rank))[:p]]
+                short = s[np.lexsort((s, rank, ranks[s >> np.uint64(64 - BITS)]))[:p]]
             n.append(len(s))
             same.append(blake2b(s.tobytes(), digest_size=16).digest())
             prefix.append(short.view(np.int64))
@@ -334,8 +365,8 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "jaccard")
     base = texts(docs, id_col, text_col)
     known = base.where("doc_id is not null")
-    common = _common(known, k)
-    made = stage.put(_signatures(base, k, percent, common))
+    common, ranks = _frequent(known, k, stage)
+    made = stage.put(_signatures(base, k, percent, common, ranks))
     some = made.where("n > 0 and doc_id is not null")
     classes = stage.put(some.groupBy("same").agg(F.min("doc_id").alias("rep")))
     reps = some.join(classes, (some["same"] == classes["same"]) & (some["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
