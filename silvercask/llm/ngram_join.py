@@ -7,7 +7,8 @@
    of their prefixes.
 3. In a block, documents are linked to pivots of about their size: as many pairs as rows, however large a group
    of near copies is. Verified links to a pivot give the documents labels.
-4. Blocks that still hold different labels are joined on their count vectors: shingles are hashed into groups, the
+4. Blocks that still hold different labels are joined (first for the likeliest partner of each document, which merges
+   most labels at a linear number of pairs; then for all that remain) on their count vectors: shingles are hashed into groups, the
    group counts of a document are a point, and points are packed into an R-tree. The summed minima of two points
    (or of the upper corners of two boxes) bound the shared shingles, so most pairs of boxes fall at once.
 5. Surviving pairs are verified on the whole sets. Components of all verified links are the result: no link
@@ -43,6 +44,9 @@ FINE = 512
 PARTNERS = 512
 #: Rows of a block that one task joins; larger blocks are cut into cells, and pairs of cells are joined.
 CELL = 4_096
+#: Turns in which each document of a block with different labels is compared with the likeliest document of another
+#: label, and labels merge. Only then are all pairs of labels that are still apart compared.
+BRIDGES = 2
 #: At most this many ids are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -187,8 +191,9 @@ def tree_pairs(vectors: np.ndarray, n: np.ndarray, percent: int, left: np.ndarra
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (s, cell, side, doc, n, label, vector) -> distinct pairs of documents with different labels that the bound lets through."""
+def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Rows (s, cell, side, doc, n, label, vector) -> distinct pairs (a, b) of documents with different labels that the
+    bound lets through; with best, only the one of each document a whose bound is highest."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -205,7 +210,16 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         def keep(x, y):
             ok = (label[x] != label[y]) & (doc[x] != doc[y])
-            found.append(np.unique(np.stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]], 1), axis=0))
+            x, y = x[ok], y[ok]
+            if best and len(x):
+                at = range(0, len(x), 16_384)
+                score = np.concatenate([np.minimum(v[x[i : i + 16_384]], v[y[i : i + 16_384]]).sum(1, dtype=np.int64) for i in at]) * 1000 // np.maximum(n[x], n[y])
+                one, two, score = np.r_[doc[x], doc[y]], np.r_[doc[y], doc[x]], np.r_[score, score]
+                order = np.lexsort((-two, score, one))
+                last = order[np.r_[one[order][1:] != one[order][:-1], True]]
+                found.append(np.stack([one, two, score], 1)[last])
+            elif len(x):
+                found.append(np.unique(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1), axis=0))
 
         for c in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):  # small blocks of one size together, boxes of one point
             first = starts[sizes == c]
@@ -223,10 +237,17 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
             at = order[a : a + c]
             x, y = tree_pairs(v[at], n[at], percent, side[at] if cell[at[0]] >= 0 else None)
             keep(at[x], at[y])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+        if best and len(pairs):
+            pairs = pairs[np.lexsort((-pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+            pairs = pairs[np.r_[pairs[1:, 0] != pairs[:-1, 0], True]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3 if best else 2)], names=["a", "b", "score"][: 3 if best else 2])
 
-    return rows.repartition("s", "cell").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition("s", "cell")
+    if not best:
+        return dealt.mapInArrow(run, "a long, b long").distinct()
+    top = dealt.mapInArrow(run, "a long, b long, score long").groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"))).alias("m"))
+    return top.select("a", (-F.col("m.minus")).alias("b"))
 
 
 def _bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -337,10 +358,27 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     rest = near.join(best, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = stage.put(rest.where(F.least("a", F.coalesce("la", "a")) != F.least("b", F.coalesce("lb", "b"))).select("a", "b"))
     links = stage.put(links.unionByName(verified(rest, sets, percent, stage, large)))
+    rows = stage.put(rows)
+    stage.drop(first, second)
+    pair_of = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = pair_of(near)
     label = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("to"))
+    for turn in range(BRIDGES + 1):
+        open_ = _open(rows, stage.put(label), reps)
+        last = turn == BRIDGES
+        pairs = _block_pairs(open_, percent, not last)
+        pairs = stage.put(pair_of(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(stage.put(verified(pairs, sets, percent, stage, large)))
+        if not last:
+            tried = tried.unionByName(pairs)
+            label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("to"))
+    stage.drop(rows, stars, best, rest)
+    return links
+
+
+def _open(rows: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (s, doc, n) of blocks that hold different labels -> s, cell, side, doc, n, label, vector. label: doc, to."""
     named = rows.join(label, "doc", "left").select("s", "doc", "n", F.least("doc", F.coalesce("to", "doc")).alias("label"))
-    named = stage.put(named)
-    stage.drop(first, second)
     mixed = named.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y").select("s", F.ceil(F.col("rows") / CELL).alias("cells"))
     open_ = named.join(mixed, "s").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cells")))
     open_ = open_.join(reps.select(F.col("doc_id").alias("doc"), "vector"), "doc")
@@ -348,11 +386,7 @@ def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, sta
     whole = open_.where("cells = 1").select("s", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("side"), "doc", "n", "label", "vector")
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda q: F.struct(F.when(F.col("part") == q, -1 - q).otherwise(F.least("part", q) * F.col("cells") + F.greatest("part", q)).alias("cell"), F.when(F.col("part") <= q, 0).otherwise(1).cast("long").alias("side"))))
     split = open_.where("cells > 1").withColumn("p", pair).select("s", "p.cell", "p.side", "doc", "n", "label", "vector")
-    pairs = _block_pairs(whole.unionByName(split), percent).join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = stage.put(pairs)
-    more = verified(pairs, sets, percent, stage, large)
-    stage.drop(named, stars, pairs, near, best, rest)
-    return links.unionByName(more)
+    return whole.unionByName(split)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
