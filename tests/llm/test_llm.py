@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from silvercask.llm import bpe_codec, exact_dedup, ngram_join, packing, paragraphs, pii, quality, recurrent, repeats, token_counts
@@ -196,3 +197,17 @@ def test_empty_tables(spark):
     path = P.path("byte_bpe_50k.json")
     for f in (exact_dedup.exact_dedup, quality.quality, repeats.remove_repeats, ngram_join.jaccard_classes, paragraphs.paragraph_report, pii.find, recurrent.language_model_scores, lambda d: token_counts.token_counts(d, path), lambda d: packing.pack(d, path)):
         assert f(none).count() == 0
+
+
+def test_similar_by_half_hashes():
+    """What halves of hashes call surely similar or surely apart agrees with the whole hashes."""
+    rng = np.random.default_rng(3)
+    for shared in (0, 900, 918, 919, 920, 925, 940, 1000):
+        x = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) << np.uint64(1))
+        y = np.unique(np.concatenate([x[:shared], rng.integers(0, 1 << 63, 1000 - shared, dtype=np.uint64) << np.uint64(1)]))
+        truth = 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+        assert ngram_join.similar(x, y, 85) == (truth, True)
+        halves = [(v >> np.uint64(32)).astype(np.uint32) for v in (x, y)]
+        for a, b in (halves, (x, halves[1]), (halves[0], y)):
+            yes, sure = ngram_join.similar(a, b, 85)
+            assert yes == truth if sure else yes
