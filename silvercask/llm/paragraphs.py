@@ -1,31 +1,44 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup by MinHash banding of paragraphs and of the passages within them.
 
 A paragraph is a line; a line of more than ``long`` words is cut where its words say so, after the end of a
-sentence whose last word's hash is even, so that a passage inside a long line is cut alike wherever it stands.
-Paragraphs with equal sets of five-word shingles are one class. Class representatives get a MinHash signature in
+sentence whose last word's hash is even. So that what stands inside a line is found wherever it stands, every paragraph
+is also cut into passages: after every sentence, and sentences of more than ``WIDE`` words (texts without sentence
+ends too) at words that their neighbourhood chooses. Paragraphs and passages are units, all compared with all.
+Units with equal sets of five-word shingles are one class. Class representatives get a MinHash signature in
 ``bands`` bands of ``rows`` values: at a similarity of 0.8 a pair shares a band with probability
-1 - (1 - 0.8 ** 3) ** 8 = 0.997. Paragraphs that collide are joined as in the n-gram join (pivots first, then the rest of
+1 - (1 - 0.8 ** 3) ** 8 = 0.997. Units that collide are joined as in the n-gram join (pivots first, then the rest of
 a bucket by bounds; no bucket is emitted as all its pairs), their exact Jaccard similarity is verified, and
-components of the links decide: the paragraph with the smallest (document, place) stays, the others go.
+components of the links decide: the unit with the smallest (document, place) stays, the others go. Where that is a
+passage of a paragraph that goes for another component, the component's first paragraph stays, or else its first
+passage in a paragraph that stays; a paragraph that stays keeps the passages of its own component.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts, portions
+from .arrow import portions
 from .common import Stage, documents, texts
 from .components import components
 from .ngram_join import block_links
-from .shingles import _ODD, _hashes, mixed, words
+from .shingles import _ODD, _hashes, mixed, shingles, words
 
-#: Bits of a paragraph id that hold its place; further paragraphs of a text belong to the last place.
+#: Bits for the places of a text; further paragraphs of a text belong to the last place.
 PLACE = 20
 GROUPS = 16
+#: Words of a passage at least; at most WIDE. A passage of 50 words or more then holds whole ones.
+LEAST = 5
+WIDE = 24
+#: A word begins a window if no word this near has a smaller hash.
+NEAR = 5
+_END = re.compile(r"[.!?][\x20\x09-\x0D]+")
+_TOKEN = re.compile(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def paragraphs(text: str, long: int) -> list[str]:
@@ -52,128 +65,212 @@ def _lines(text: str) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
+def passages(paragraph: str) -> list[str]:
+    """The paragraph in passages, which together are the paragraph. Sentences of under LEAST words go with the one
+    before; what is longer than WIDE words is cut into windows."""
+    at = [0, *(m.end() for m in _END.finditer(paragraph)), len(paragraph)]
+    out, sizes = [], []
+    for a, b in zip(at, at[1:]):
+        if a == b:
+            continue
+        n = len(words(paragraph[a:b]))
+        if out and n < LEAST:
+            out[-1] += paragraph[a:b]
+            sizes[-1] += n
+        else:
+            out.append(paragraph[a:b])
+            sizes.append(n)
+    return [w for p, n in zip(out, sizes) for w in ([p] if n <= WIDE else _windows(p))]
+
+
+def _windows(text: str) -> list[str]:
+    """The text cut before words whose pair with the next has the smallest hash among NEAR words to each side, and,
+    where these are further apart than WIDE words, WIDE words after the last cut."""
+    w = words(text)
+    tokens = _TOKEN.findall(text)
+    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    with np.errstate(over="ignore"):
+        h = mixed(h * _ODD[0] + np.r_[h[1:], np.uint64(0)] * _ODD[1])
+    end = np.full(NEAR, np.iinfo(np.uint64).max)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([end, h, end]), 2 * NEAR + 1)
+    least = (h < around[:, :NEAR].min(1)) & (h <= around[:, NEAR + 1 :].min(1))
+    cuts = [0]
+    for c in [*np.flatnonzero(least[LEAST : len(w) - LEAST + 1]) + LEAST, len(w)]:
+        while c - cuts[-1] > WIDE:
+            cuts.append(min(cuts[-1] + WIDE, c - LEAST))
+        cuts.append(int(c))
+    return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def signatures(parts: list[str], k: int, least: int, params: np.ndarray):
-    """For paragraphs with at least ``least`` words: place, number of distinct shingles, two hashes of the set, minima
-    (paragraphs x permutations), group counts, and the sorted shingles with their offsets."""
-    cut = [words(p) for p in parts]
-    place = np.array([i for i, w in enumerate(cut) if len(w) >= max(least, k)], np.int64)
-    if not len(place):
+    """For the paragraphs and, where there are several, the passages of each, with at least ``least`` (passages LEAST)
+    words: place, part (-1: the paragraph), number of distinct shingles, two hashes of the set, minima
+    (units x permutations), group counts."""
+    place, part, first, size, flat = [], [], [], [], []
+    for i, p in enumerate(parts):
+        w = words(p)
+        if len(w) < k:
+            continue
+        if len(w) >= least:
+            place.append(i)
+            part.append(-1)
+            first.append(len(flat))
+            size.append(len(w))
+        cut = passages(p) if len(w) >= 2 * LEAST else []
+        if len(cut) > 1:
+            at = len(flat)
+            for j, q in enumerate(cut):
+                n = len(words(q))
+                if n >= max(LEAST, k):
+                    place.append(i)
+                    part.append(j)
+                    first.append(at)
+                    size.append(n)
+                at += n
+        flat += w
+    if not place:
         return None
-    flat = [x for i in place for x in cut[i]]
+    place, part, first, size = (np.array(x, np.int64) for x in (place, part, first, size))
     h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
-    size = np.array([len(cut[i]) for i in place], np.int64)
     with np.errstate(over="ignore"):
-        total = np.full(max(len(h) - k + 1, 0), k, np.uint64)
+        every = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
-            total = mixed(total + h[i : len(h) - k + 1 + i] * _ODD[i % 5])
-        owner = np.repeat(np.arange(len(place)), size)
-        total, owner = total[owner[: len(total)] == owner[k - 1 :]], owner[: len(total)][owner[: len(total)] == owner[k - 1 :]]
+            every = mixed(every + h[i : len(h) - k + 1 + i] * _ODD[i % 5])
+        n = size - k + 1
+        owner = np.repeat(np.arange(len(place)), n)
+        total = every[np.arange(len(owner)) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)]
         order = np.lexsort((total, owner))
-        total, owner = total[order], owner[order]
+        total = total[order]
         new = np.r_[True, (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])]
         total, owner = total[new], owner[new]
         at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         n = np.diff(np.r_[at, len(total)])
         same = np.stack([np.add.reduceat(mixed(total), at), np.add.reduceat(mixed(total ^ _ODD[1]), at)], 1)
-        minima = np.stack([np.minimum.reduceat(mixed(total ^ p), at) for p in params], 1) if len(params) else None
+        # A unit's shingles stand in a row: the hashes of a text's shingles serve its paragraphs and its passages.
+        ranges = np.stack([first, first + size - k + 1], 1).ravel()
+        minima = np.stack([np.minimum.reduceat(np.append(mixed(every ^ p), np.uint64(0)), ranges)[::2] for p in params], 1)
     groups = np.zeros((len(place), GROUPS), "<u2")
     np.add.at(groups, (owner, (total >> np.uint64(60)).astype(np.int64)), 1)
-    return place, n, same, minima, groups, total, np.r_[at, len(total)]
+    return place, part, n, same, minima, groups
 
 
 def _rows(docs: DataFrame, k: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
-    """doc_id (of the paragraph: document and place in one), n, same, prefix (band keys), vector."""
+    """doc, place, part, n, same, prefix (band keys), vector of all units."""
     params = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _ODD[0])
 
     def run(batches):
         for batch in batches:
             for ids, texts_ in portions(batch):
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], [], []]
                 for i, t in zip(ids, texts_):
                     got = signatures(paragraphs(t, long), k, least, params)
                     if got is None:
                         continue
-                    place, n, same, minima, groups, _, _ = got
+                    place, part, n, same, minima, groups = got
                     with np.errstate(over="ignore"):
                         key = np.zeros((len(place), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                         for r in range(rows):
                             key = mixed(key * _ODD[2] + minima[:, r::rows])
-                    out[0].append((i << PLACE) + place)
-                    out[1].append(n)
-                    out[2].append(same)
-                    out[3].append(key.view(np.int64))
-                    out[4].append(groups)
+                    for column, x in zip(out, (np.full(len(place), i, np.int64), place, part, n, same, key.view(np.int64), groups)):
+                        column.append(x)
                 if out[0]:
-                    pid, n, same, key, groups = map(np.concatenate, out)
+                    doc, place, part, n, same, key, groups = map(np.concatenate, out)
                     fixed = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(n), fixed(same), keys, fixed(groups)], names=["doc_id", "n", "same", "prefix", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(n), fixed(same), keys, fixed(groups)], names=["doc", "place", "part", "n", "same", "prefix", "vector"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, same binary, prefix array<long>, vector binary")
+    return docs.mapInArrow(run, "doc long, place int, part int, n long, same binary, prefix array<long>, vector binary")
 
 
 def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least: int = 10, long: int = 60, bands: int = 8, rows: int = 3) -> DataFrame:
-    """(pid, kept): paragraphs to remove, and the paragraph that stays in their place. docs: doc_id, text."""
+    """(doc, place, part, kept): paragraphs (part -1) and passages to remove, and the document of the unit that stays in
+    their place. docs: doc_id, text."""
     made = stage.put(_rows(docs, k, least, long, bands, rows))
-    classes = stage.put(made.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    reps = made.join(classes, (made["same"] == classes["same"]) & (made["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    reps = stage.put(reps.select("doc_id", "n", "prefix", "vector"))
+    classes = made.groupBy("same").agg(F.min(F.struct("doc", "place", "part")).alias("rep"), F.count(F.lit(1)).alias("units"))
+    classes = stage.put(classes.select("same", "rep.*", "units", F.monotonically_increasing_id().alias("doc_id")))
+    reps = made.join(classes.drop("units"), ["same", "doc", "place", "part"]).dropDuplicates(["doc_id"])
+    reps = stage.put(reps.select("doc_id", "doc", "place", "part", "n", "prefix", "vector"))
 
     def sets(ids, few, narrow):
-        holders = ids.select(F.shiftright("doc_id", PLACE).alias("doc_id")).distinct()
-        wanted = docs.join(F.broadcast(holders) if few else holders, "doc_id", "left_semi")
+        named = classes.select("doc_id", "doc", "place", "part").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        held = named.groupBy("doc").agg(F.collect_list(F.struct("place", "part", "doc_id")).alias("units"))
+        wanted = docs.join(F.broadcast(held) if few else held, F.col("doc_id") == F.col("doc"))
 
         def run(batches):
             for batch in batches:
-                for own, texts_ in portions(batch):
+                for units, texts_ in portions(batch):
                     pid, sets_ = [], []
-                    for i, t in zip(own, texts_):
-                        got = signatures(paragraphs(t, long), k, least, np.empty(0, np.uint64))
-                        if got is not None:
-                            pid += ((i << PLACE) + got[0]).tolist()
-                            sets_ += [got[5][a:b].tobytes() for a, b in zip(got[6], got[6][1:])]
+                    for own, t in zip(units, texts_):
+                        parts, cut = paragraphs(t, long), {}
+                        for u in own:
+                            text = parts[u["place"]]
+                            if u["part"] >= 0:
+                                if u["place"] not in cut:
+                                    cut[u["place"]] = passages(text)
+                                text = cut[u["place"]][u["part"]]
+                            pid.append(u["doc_id"])
+                            sets_.append(shingles(text, k).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(sets_, pa.binary()), pa.array([True] * len(pid), pa.bool_())], names=["doc_id", "members", "wide"])
 
-        return wanted.mapInArrow(run, "doc_id long, members binary, wide boolean")
+        return wanted.select("units", "text").mapInArrow(run, "doc_id long, members binary, wide boolean")
 
-    links = block_links(reps, {}, sets, percent, stage)
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    members = made.select("doc_id", "same").join(classes, "same").join(found, "rep", "left")
-    kept = F.coalesce("component", "rep")
-    return members.select(F.col("doc_id").alias("pid"), kept.alias("kept")).where("pid <> kept")
+    links = block_links(reps.select("doc_id", "n", "prefix", "vector"), {}, sets, percent, stage)
+    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    some = classes.join(found, "doc_id", "left").where("units > 1 or component is not null").select("same", F.coalesce("component", "doc_id").alias("c"))
+    members = stage.put(made.select("doc", "place", "part", "same").join(some, "same").drop("same").distinct())
+    least_ = members.groupBy("c").agg(F.min(F.struct("doc", "place", "part")).alias("m"), F.min(F.when(F.col("part") < 0, F.struct("doc", "place"))).alias("lead"))
+    # A passage that is its component's least may be in a paragraph that goes: there, the least paragraph stays.
+    paragraph = members.where("part < 0").join(least_, "c").where(F.struct("doc", "place", "part") != F.col("m")).select("doc", "place")
+    lost = least_.where("m.part >= 0").join(paragraph, (F.col("m.doc") == F.col("doc")) & (F.col("m.place") == F.col("place")), "left_semi")
+    lead = least_.join(lost.select("c", F.lit(True).alias("lost")), "c", "left")
+    lead = stage.put(lead.select("c", "m", F.when(F.col("lost") | (F.col("m.part") < 0), F.col("lead")).alias("lead")))
+    whole = members.where("part < 0").join(lead, "c").where(~F.coalesce(F.struct("doc", "place") == F.col("lead"), F.lit(False)))
+    whole = stage.put(whole.select("doc", "place", "part", F.coalesce("lead.doc", "m.doc").alias("kept")))
+    inner = stage.put(members.where("part >= 0").join(whole.select("doc", "place"), ["doc", "place"], "left_anti"))
+    first = inner.groupBy("c").agg(F.min(F.struct("doc", "place", "part")).alias("first"))
+    inner = inner.join(first, "c").join(lead, "c")
+    stays = F.coalesce(F.struct("doc", "place") == F.col("lead"), F.struct("doc", "place", "part") == F.col("first"))
+    inner = inner.where(~stays).select("doc", "place", "part", F.coalesce("lead.doc", "first.doc").alias("kept"))
+    return whole.unionByName(inner)
 
 
 def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: doc_id, n_removed, removed (places of the paragraphs that go), kept_in (documents that
-    keep a paragraph in place of one that goes here, this one included).
+    """One row per row of docs: doc_id, n_removed (paragraphs and passages), removed (places of the paragraphs that go),
+    passages (of paragraphs that stay, the passages that go: place of the paragraph, part), kept_in (documents that
+    keep a unit in place of one that goes here, this one included).
 
     Null and empty texts, and texts of short lines only, keep everything. Rows that repeat a doc_id have to repeat
     its text. Rows with a null doc_id keep everything. An empty table gives an empty result.
     """
     stage = Stage(docs.sparkSession, "paragraphs")
     base = texts(docs, id_col, text_col)
-    gone = removals(base.where("doc_id is not null"), stage, **options).distinct()
-    place = F.col("pid").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
-    each = gone.groupBy(F.shiftright("pid", PLACE).alias("doc")).agg(F.array_sort(F.collect_set(place)).alias("removed"), F.array_sort(F.collect_set(F.shiftright("kept", PLACE))).alias("kept_in"))
+    gone = removals(base.where("doc_id is not null"), stage, **options)
+    places = F.collect_set(F.when(F.col("part") < 0, F.col("place")))
+    inner = F.collect_set(F.when(F.col("part") >= 0, F.struct("place", "part")))
+    each = gone.groupBy("doc").agg(F.array_sort(places).alias("removed"), F.array_sort(inner).alias("passages"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
     each = stage.put(each)
     out = base.select("doc_id").join(each, F.col("doc_id") == F.col("doc"), "left")
-    none = F.array().cast("array<int>")
-    return out.select("doc_id", F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
+    or_none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    removed, inner = or_none("removed", "array<int>"), or_none("passages", "array<struct<place:int,part:int>>")
+    return out.select("doc_id", (F.size(removed) + F.size(inner)).cast("long").alias("n_removed"), removed, inner, or_none("kept_in", "array<long>"))
 
 
 def without_paragraphs(docs: DataFrame, report: DataFrame, long: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text without the paragraphs that a report removes."""
-    joined = texts(docs, id_col, text_col).join(report.where("n_removed > 0").select("doc_id", "removed").dropDuplicates(["doc_id"]), "doc_id", "left")
+    """doc_id and the text without the paragraphs and passages that a report removes."""
+    joined = texts(docs, id_col, text_col).join(report.where("n_removed > 0").select("doc_id", "removed", "passages").dropDuplicates(["doc_id"]), "doc_id", "left")
 
     def run(batches):
         for batch in batches:
             kept = []
-            for t, r in zip(batch.column("text"), batch.column("removed")):
-                gone = set(r.as_py() or ())
-                kept.append("".join(p for i, p in enumerate(paragraphs(t.as_py(), long)) if i not in gone) if gone else t.as_py())
+            for t, r, q in zip(batch.column("text"), batch.column("removed"), batch.column("passages")):
+                gone, inner = set(r.as_py() or ()), {}
+                for u in q.as_py() or ():
+                    inner.setdefault(u["place"], set()).add(u["part"])
+                parts = [(p if i not in inner else "".join(x for j, x in enumerate(passages(p)) if j not in inner[i])) for i, p in enumerate(paragraphs(t.as_py(), long)) if i not in gone] if gone or inner else [t.as_py()]
+                kept.append("".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], names=["doc_id", "text"])
 
-    return joined.select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, text string")
+    return joined.select("doc_id", "text", "removed", "passages").mapInArrow(run, "doc_id long, text string")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,32 @@ def test_similar_by_half_hashes():
         for a, b in (halves, (x, halves[1]), (halves[0], y)):
             yes, sure = ngram_join.similar(a, b, 85)
             assert yes == truth if sure else yes
+
+
+@pytest.mark.parametrize("ends", [True, False])
+def test_passages_inside_lines(spark, ends):
+    """Passages of 50 words are found in the middle of lines of foreign text, with sentence ends or without."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(3000)]
+
+    def prose(n):
+        w = rng.choices(vocabulary, k=n)
+        return [x + "." if ends and rng.random() < 0.08 else x for x in w]
+
+    data = []
+    for i in range(60):
+        passage = prose(50)
+        for copy in (0, 100):
+            data.append((i + copy, " ".join(prose(rng.randint(60, 120)) + passage + prose(rng.randint(60, 120)))))
+    data += [(300 + i, " ".join(prose(150))) for i in range(40)]
+    docs, texts = table(spark, data), dict(data)
+    report = paragraphs.paragraph_report(docs)
+    got = {r.doc_id: r for r in report.collect()}
+    assert all(got[i].n_removed == 0 for i in texts if i < 100 or i >= 300)
+    found = [i for i in range(100, 160) if got[i].n_removed]
+    assert len(found) >= 57 and all(got[i].kept_in == [i - 100] for i in found)
+    for r in paragraphs.without_paragraphs(docs, report).collect():
+        gone = len(texts[r.doc_id].split()) - len(r.text.split())
+        assert gone >= 5 if r.doc_id in found else r.text == texts[r.doc_id]
+    for t in texts.values():
+        assert "".join(paragraphs.passages(t)) == t
