@@ -182,7 +182,7 @@ def _rows(docs: DataFrame, k: int, least: int, long: int, bands: int, rows: int)
     return docs.mapInArrow(run, "doc long, place int, part int, n long, same binary, prefix array<long>, vector binary")
 
 
-def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least: int = 10, long: int = 60, bands: int = 8, rows: int = 3) -> DataFrame:
+def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least: int = 5, long: int = 60, bands: int = 8, rows: int = 3) -> DataFrame:
     """(doc, place, part, kept): paragraphs (part -1) and passages to remove, and the document of the unit that stays in
     their place. docs: doc_id, text."""
     made = stage.put(_rows(docs, k, least, long, bands, rows))

@@ -240,3 +240,11 @@ def test_passages_inside_lines(spark, ends):
         assert gone >= 5 if r.doc_id in found else r.text == texts[r.doc_id]
     for t in texts.values():
         assert "".join(paragraphs.passages(t)) == t
+
+
+def test_short_lines(spark):
+    """Lines of 5 to 9 words are paragraphs too; lines without a five-word shingle stay."""
+    lines = [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 12)]
+    data = [(d, f"own{d} text{d} of{d} document{d} here{d} alone{d}\n" + "\n".join(lines)) for d in range(3)]
+    got = {r.doc_id: r.removed for r in paragraphs.paragraph_report(table(spark, data)).collect()}
+    assert got == {0: [], 1: list(range(5, 12)), 2: list(range(5, 12))}
