@@ -32,6 +32,8 @@ from .components import components
 from .shingles import shingles
 
 GROUPS = 64
+#: Group counts are kept in 16 bits; this one stands for itself and all greater ones.
+FULL = 65_535
 #: Shingles whose counts the driver learns, those that most documents have: 16 bytes each.
 COMMON = 20_000
 #: The counters of all shingles: 2 ** BITS bytes in the driver and in each task, whatever the corpus; they are added in
@@ -51,6 +53,16 @@ BRIDGES = 2
 BROADCAST_IDS = 1_000_000
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds on the shared shingles of sets (or boxes) by the summed minima of their group counts; without
+    bound (2 ** 40) where both have a full count."""
+    least = np.minimum(x, y)
+    out = least.sum(1, dtype=np.int64)
+    if least.size and least.max() == FULL:
+        out[(least == FULL).any(1)] = 1 << 40
+    return out
+
+
 def _needed(a, b, percent: int):
     """Shared shingles that sets of a and b shingles need: 100 * i >= percent * (a + b - i), rounded up."""
     return -(-percent * (a + b) // (100 + percent))
@@ -123,8 +135,8 @@ def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int], r
             n.append(len(s))
             same.append(blake2b(s.tobytes(), digest_size=16).digest())
             prefix.append(short.view(np.int64))
-            vector.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).clip(0, 65535).astype("<u2").tobytes())
-            fine.append(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, 65535).astype("<u2").tobytes() if len(s) >= FINE else None)
+            vector.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).clip(0, FULL).astype("<u2").tobytes())
+            fine.append(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, FULL).astype("<u2").tobytes() if len(s) >= FINE else None)
         return [ids, n, same, prefix, vector, fine]
 
     return map_texts(docs, work, "doc_id long, n long, same binary, prefix array<long>, vector binary, fine binary")
@@ -176,7 +188,7 @@ def tree_pairs(vectors: np.ndarray, n: np.ndarray, percent: int, left: np.ndarra
         for a in range(0, len(i), 16_384):
             x, y = i[a : a + 16_384], j[a : a + 16_384]
             sizes = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
-            keep[a : a + 16_384] = sizes & (np.minimum(v[x], v[y]).sum(1, dtype=np.int64) >= _needed(lo[x], lo[y], percent))
+            keep[a : a + 16_384] = sizes & (_shared(v[x], v[y]) >= _needed(lo[x], lo[y], percent))
         i, j = i[keep], j[keep]
         if depth:
             below, step = len(levels[depth - 1][0]), np.arange(fan)
@@ -213,7 +225,7 @@ def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame
             x, y = x[ok], y[ok]
             if best and len(x):
                 at = range(0, len(x), 16_384)
-                score = np.concatenate([np.minimum(v[x[i : i + 16_384]], v[y[i : i + 16_384]]).sum(1, dtype=np.int64) for i in at]) * 1000 // np.maximum(n[x], n[y])
+                score = np.concatenate([_shared(v[x[i : i + 16_384]], v[y[i : i + 16_384]]) for i in at]) * 1000 // np.maximum(n[x], n[y])
                 one, two, score = np.r_[doc[x], doc[y]], np.r_[doc[y], doc[x]], np.r_[score, score]
                 order = np.lexsort((-two, score, one))
                 last = order[np.r_[one[order][1:] != one[order][:-1], True]]
@@ -231,7 +243,7 @@ def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame
                 ok = (label[x] != label[y]) & ((side[x] != side[y]) | (cell[x] < 0))
                 ok &= (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
                 x, y = x[ok], y[ok]
-                ok = np.minimum(v[x], v[y]).sum(1, dtype=np.int64) >= _needed(n[x], n[y], percent)
+                ok = _shared(v[x], v[y]) >= _needed(n[x], n[y], percent)
                 keep(x[ok], y[ok])
         for a, c in zip(starts[sizes > 24], sizes[sizes > 24]):
             at = order[a : a + c]
@@ -262,7 +274,7 @@ def _bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 n, m = (some.column(c).to_numpy() for c in ("n", "m"))
                 x, y = (np.frombuffer(b"".join(v.as_py() for v in some.column(c)), "<u2").reshape(len(n), -1) for c in ("x", "y"))
                 fit = (100 * n >= percent * m) & (100 * m >= percent * n)
-                ok[~ok] = fit & (np.minimum(x, y).sum(1, dtype=np.int64) >= _needed(n, m, percent))
+                ok[~ok] = fit & (_shared(x, y) >= _needed(n, m, percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     one = held.select(F.col("doc_id").alias("a"), "n", F.col("vector").alias("x"))

@@ -248,3 +248,15 @@ def test_short_lines(spark):
     data = [(d, f"own{d} text{d} of{d} document{d} here{d} alone{d}\n" + "\n".join(lines)) for d in range(3)]
     got = {r.doc_id: r.removed for r in paragraphs.paragraph_report(table(spark, data)).collect()}
     assert got == {0: [], 1: list(range(5, 12)), 2: list(range(5, 12))}
+
+
+def test_full_counts_are_no_bound(spark):
+    """Sets of so many shingles that their 16-bit group counts are full reach the comparison of whole sets."""
+    for groups, n in ((64, 4_600_000), (1024, 70_000_000)):
+        v, n = np.full((2, groups), 65_535, "<u2"), np.array([n, n])
+        assert [x.tolist() for x in ngram_join.tree_pairs(v, n, 85)] == [[0], [1]]
+        held = spark.createDataFrame([(i, int(n[0]), bytearray(v[0].tobytes())) for i in (1, 2)], "doc_id long, n long, vector binary")
+        pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+        assert [tuple(r) for r in ngram_join._bounded(pairs, held, 85).collect()] == [(1, 2)]
+        block = held.selectExpr("1L as s", "-1L as cell", "0L as side", "doc_id as doc", "n", "doc_id as label", "vector")
+        assert [tuple(r) for r in ngram_join._block_pairs(block, 85).collect()] == [(1, 2)]
