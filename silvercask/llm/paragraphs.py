@@ -26,11 +26,9 @@ from pyspark.sql import functions as F
 from .arrow import portions
 from .common import Stage, documents, texts
 from .components import components
-from .ngram_join import block_links
+from .ngram_join import FULL, block_links
 from .shingles import _ODD, _hashes, mixed, shingles, words
 
-#: Bits for the places of a text; further paragraphs of a text belong to the last place.
-PLACE = 20
 GROUPS = 16
 #: Words of a passage at least; at most WIDE. A passage of 50 words or more then holds whole ones.
 LEAST = 5
@@ -56,8 +54,7 @@ def paragraphs(text: str, long: int) -> list[str]:
                 start = i + 1
         if start < len(w):
             out.append(" ".join(w[start:]))
-    most = (1 << PLACE) - 1
-    return out if len(out) <= most else [*out[:most], "".join(out[most:])]
+    return out
 
 
 def _lines(text: str) -> list[str]:
@@ -149,9 +146,8 @@ def signatures(parts: list[str], k: int, least: int, params: np.ndarray):
         # A unit's shingles stand in a row: the hashes of a text's shingles serve its paragraphs and its passages.
         ranges = np.stack([first, first + size - k + 1], 1).ravel()
         minima = np.stack([np.minimum.reduceat(np.append(mixed(every ^ p), np.uint64(0)), ranges)[::2] for p in params], 1)
-    groups = np.zeros((len(place), GROUPS), "<u2")
-    np.add.at(groups, (owner, (total >> np.uint64(60)).astype(np.int64)), 1)
-    return place, part, n, same, minima, groups
+    groups = np.bincount(owner * GROUPS + (total >> np.uint64(60)).astype(np.int64), minlength=len(place) * GROUPS)
+    return place, part, n, same, minima, groups.reshape(-1, GROUPS).clip(0, FULL).astype("<u2")
 
 
 def _rows(docs: DataFrame, k: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
