@@ -1,47 +1,65 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage reads what the one before kept, written as Parquet in between; all but the last return the columns of
-documents. Rows are joined back to decisions by doc_id; the decisions of a stage are one row per row, so rows that
-repeat a doc_id stay or go together, and of rows that repeat id and text one stays from the exact stage on.
+documents. Rows are joined back to decisions by a 64-bit hash of doc_id (null or not) and text, so rows that share an
+id but not a text are decided one by one; of rows that repeat id and text one stays from the exact stage on.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvercask.llm import exact_dedup, ngram_join, packing, pii, quality
 from silvercask.llm.common import Stage
 
+#: The key of a row while a stage decides.
+KEY = "_row_key"
 #: Decisions of at most this many rows are broadcast (8 bytes each); beyond it, Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
-    gone = Stage(docs.sparkSession, "gone").put(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
+def _keyed(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """docs with KEY, a hash of doc_id and of text (or what stands for it)."""
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")) if text is None else text))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed, without KEY, and without the rows whose KEY is in gone (one column)."""
+    gone = Stage(keyed.sparkSession, "gone").put(gone.toDF("_gone").distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return keyed.join(gone, keyed[KEY] == gone["_gone"], "left_anti").drop(KEY)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; rows without a doc_id cannot be told apart and go too."""
-    return _without(docs.where("doc_id is not null"), quality.quality(docs).where("not kept"))
+    """Rejected documents go."""
+    keyed = _keyed(docs)
+    return _without(keyed, quality.quality(keyed, id_col=KEY).where("not kept").select("doc_id"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays; of rows that repeat it, one."""
-    found = Stage(spark, "exact").put(exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size"))
-    out = _without(docs, found.where("doc_id <> keep_id"))
-    again = found.where("doc_id = keep_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out if again else out.dropDuplicates(["doc_id"])
+    """Of equal texts the smallest doc_id stays (null is the largest); of rows that repeat it and the text, one."""
+    keyed = _keyed(docs, F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256))
+    found = exact_dedup.exact_dedup(docs).select(F.xxhash64("doc_id", "text_sha256").alias(KEY), "kept")
+    found = Stage(spark, "exact").put(found)
+    again = Stage(spark, "again").put(found.where("kept").groupBy(KEY).count().where("count > 1").select(KEY))
+    gone = found.where("not kept").select(KEY)
+    if again.isEmpty():
+        return _without(keyed, gone)
+    return _without(keyed, gone.unionByName(again)).unionByName(keyed.join(again, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    found = ngram_join.jaccard_classes(docs, k=5, percent=80)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """One document of each group of near copies stays, that with the smallest doc_id (null is the largest): five-word
+    shingles, similarity 0.8."""
+    keyed, stage = _keyed(docs), Stage(spark, "near")
+    found = ngram_join.jaccard_classes(keyed, k=5, percent=80, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    many = stage.put(found.distinct())
+    groups = many.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = stage.put(many.join(groups, "component_id").join(keyed.select(KEY, "doc_id").distinct(), KEY))
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("best"))
+    return _without(keyed, members.join(best, "component_id").where(F.col(KEY) != F.col(f"best.{KEY}")).select(KEY))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

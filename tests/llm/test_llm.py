@@ -269,3 +269,23 @@ def test_very_long_texts():
     both = np.stack([groups[0], groups[0]])
     assert n[0] == 1_149_996 and [x.tolist() for x in ngram_join.tree_pairs(both, np.array([n[0], n[0]]), 80)] == [[0], [1]]
     assert len(paragraphs.paragraphs("a b\n" * ((1 << 20) + 3), 60)) == (1 << 20) + 3
+
+
+def test_pipeline_keeps_clean_rows_whatever_their_id(spark):
+    """Rows without an id or with one that other texts share are decided by their own text."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(800)]
+    good = [" ".join(rng.choices(vocabulary, k=80)) + "." for _ in range(8)]
+    near = good[5].replace(good[5].split()[40], "changed", 1)
+    bad = "### *** $$$"
+    data = [(None, good[0]), (None, good[1]), (None, good[1]), (1, bad), (1, good[2]), (2, good[3]), (2, good[3]), (2, good[4]), (3, good[4]), (None, good[4]), (None, bad), (7, good[5]), (6, near), (6, good[6]), (None, good[6] + " once more"), (9, good[7])]
+    docs = table(spark, data)
+    want = sorted(data, key=str)
+    for (_, f), gone in zip(corpus_pipeline.STAGES[:3], ([(1, bad), (None, bad)], [(None, good[1]), (2, good[3]), (3, good[4]), (None, good[4])], [(7, good[5]), (None, good[6] + " once more")])):
+        for x in gone:
+            want.remove(x)
+        docs = f(spark, docs, "")
+        assert docs.columns == table(spark, []).columns
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == want
