@@ -35,6 +35,42 @@ def fuzzy(a: Column, b: Column, most: int = 2) -> Column:
     return (a == b) | both & (F.contains(a, b) | F.contains(b, a) | (d <= most) & (d / longest <= 0.35))
 
 
+def _deletions(c: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c))))
+
+
+def _neighbourhood(c: Column) -> Column:
+    """Hashes of a value without 0, 1 and 2 of its letters: values at most two edits apart share one."""
+    one = _deletions(c)
+    every = F.concat(F.array(c), one, F.flatten(F.transform(one, _deletions)))
+    return F.transform(F.array_distinct(every), lambda x: F.xxhash64(x))
+
+
+def _parts(c: Column, size: Column) -> Column:
+    """The distinct parts of a value that have the given size, which it has at least."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: c.substr(i, size)))
+
+
+def fuzzy_pairs(known: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with fuzzy(a, b) of the values a of known and b of tokens. Candidates are equal, hold one
+    another, or share a hash of their neighbourhoods; nothing is broadcast that grows with the input."""
+    known, tokens = known.select("a").where("a is not null").distinct(), tokens.select("b").where("b is not null").distinct()
+    sizes = sorted(r[0] for r in known.select(F.length("a")).distinct().collect())  # a row for each length
+    long = [n for n in sizes if n >= 4]
+    found = known.join(tokens, F.col("a") == F.col("b"))
+    if long:
+        a, b = known.where(F.length("a") >= 4), tokens.where(F.length("b") >= 4)
+        inner = F.flatten(F.transform(F.sequence(F.lit(4), F.length("a")), lambda n: _parts(F.col("a"), n)))
+        found = found.unionByName(a.select("a", F.explode(inner).alias("b")).join(b, "b", "left_semi"))
+        fit = F.filter(F.array(*map(F.lit, long)), lambda n: n <= F.length("b"))
+        outer = b.select("b", F.explode(fit).alias("n")).select("b", F.explode(_parts(F.col("b"), F.col("n"))).alias("a"))
+        found = found.unionByName(outer.join(a, "a", "left_semi"))
+        near = b.where(F.length("b").between(long[0] - 2, long[-1] + 2)).select("b", F.explode(_neighbourhood(F.col("b"))).alias("key"))
+        near = a.select("a", F.explode(_neighbourhood(F.col("a"))).alias("key")).join(near, "key").select("a", "b")
+        found = found.unionByName(near)
+    return found.distinct().where(fuzzy(F.col("a"), F.col("b")))
+
+
 def reading_lines(boxes: DataFrame, step: int = 10) -> DataFrame:
     """Boxes (frame, x, y) with the number of their line: a new one where y grows by more than ``step``."""
     w = W.partitionBy("frame").orderBy("y", "x")

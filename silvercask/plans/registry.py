@@ -49,7 +49,16 @@ def phi_fuzzy_known_values(spark, sf):
     c = table(spark, sf, "customer")
     known = c.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("known"), phi.normalized(F.col("c_name")).alias("a"))
     tokens = c.select(phi.normalized(F.col("c_name")).alias("b"))
-    return tokens.join(F.broadcast(known), phi.fuzzy(F.col("a"), F.col("b"))).groupBy("known").agg(F.count(F.lit(1)).alias("n"))
+    return phi.fuzzy_pairs(known, tokens).join(known, "a").join(tokens, "b").groupBy("known").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def phi_fuzzy_document_tokens(spark, sf):
+    """All customers against all tokens of the documents, with how often the matching tokens occur."""
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("known"), phi.normalized(F.col("c_name")).alias("a"))
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    tokens = words.groupBy(phi.normalized(F.col("word")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return phi.fuzzy_pairs(known, tokens).join(known, "a").join(tokens, "b").groupBy("known").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_tokens"))
 
 
 _ITEMS = """SELECT concat('1.2.840.', CASE WHEN l_orderkey % 17 = 0 THEN '0' ELSE '' END, l_orderkey) AS study, concat('1.2.840.', l_orderkey, '.', l_suppkey) AS series,

@@ -86,3 +86,20 @@ def test_query_against_sql(spark, name):
     at = [names.index(c) for c in sorted(names)]
     theirs = sorted("|".join(f"{float(r[i]):.9g}" if isinstance(r[i], float) else str(r[i]) for i in at) for r in cur.fetchall())
     assert sorted(df.columns) == sorted(names) and mine == theirs
+
+
+def test_fuzzy_pairs_against_every_pair(spark):
+    rng = random.Random(6)
+    known = ["", "AB", "ABCD"] + ["".join(rng.choices("AB1", k=rng.randint(2, 9))) for _ in range(60)]
+    tokens = ["", "ABC", "A" * 40] + ["".join(rng.choices("AB1", k=rng.randint(1, 14))) for _ in range(150)]
+    a, b = spark.createDataFrame([(x,) for x in known], "a string"), spark.createDataFrame([(x,) for x in tokens], "b string")
+    want = {tuple(r) for r in a.crossJoin(b).where(phi.fuzzy(F.col("a"), F.col("b"))).distinct().collect()}
+    got = [tuple(r) for r in phi.fuzzy_pairs(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_fuzzy_document_tokens_takes_every_customer(spark, tmp_path):
+    spark.createDataFrame([(i, f"Customer#{i:09d}") for i in range(1, 41)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "Seen: customer#000000007, twice customer#000000007"), (2, None), (3, "xCustomer#000000033x other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.known: (r.n_values, r.n_tokens) for r in registry.QUERIES["phi_fuzzy_document_tokens"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(1, 41)) and got[7] == (1, 2) and got[33] == (2, 3)
