@@ -4,9 +4,9 @@ A paragraph is a line; a line of more than ``long`` words is cut where its words
 sentence whose last word's hash is even. So that what stands inside a line is found wherever it stands, every paragraph
 is also cut into passages: after every sentence, and sentences of more than ``WIDE`` words (texts without sentence
 ends too) at words that their neighbourhood chooses. Paragraphs and passages are units, all compared with all.
-Units with equal sets of five-word shingles are one class. Class representatives get a MinHash signature in
-``bands`` bands of ``rows`` values: at a similarity of 0.8 a pair shares a band with probability
-1 - (1 - 0.8 ** 3) ** 8 = 0.997. Units that collide are joined as in the n-gram join (pivots first, then the rest of
+Units with equal sets of five-word shingles are one class. Class representatives of more than ``SMALL`` shingles get a
+MinHash signature in ``bands`` bands of ``rows`` values: at a similarity of 0.8 a pair shares a band with probability
+1 - (1 - 0.8 ** 3) ** 8 = 0.997; smaller ones collide by their first shingles, always. Units that collide are joined as in the n-gram join (pivots first, then the rest of
 a bucket by bounds; no bucket is emitted as all its pairs), their exact Jaccard similarity is verified, and
 components of the links decide: the unit with the smallest (document, place) stays, the others go. Where that is a
 passage of a paragraph that goes for another component, the component's first paragraph stays, or else its first
@@ -33,6 +33,8 @@ GROUPS = 16
 #: Words of a passage at least; at most WIDE. A passage of 50 words or more then holds whole ones.
 LEAST = 5
 WIDE = 24
+#: Sets of at most so many shingles collide by their first ones, which loses nothing; larger ones by bands.
+SMALL = 20
 #: A word begins a window if no word this near has a smaller hash.
 NEAR = 5
 _END = re.compile(r"[.!?][\x20\x09-\x0D]+")
@@ -99,10 +101,10 @@ def _windows(text: str) -> list[str]:
     return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def signatures(parts: list[str], k: int, least: int, params: np.ndarray):
+def signatures(parts: list[str], k: int, least: int, params: np.ndarray, percent: int = 80):
     """For the paragraphs and, where there are several, the passages of each, with at least ``least`` (passages LEAST)
-    words: place, part (-1: the paragraph), number of distinct shingles, two hashes of the set, minima
-    (units x permutations), group counts."""
+    words: place, part (-1: the paragraph), number of distinct shingles, two hashes of the set, keys of all units in
+    turn, their number for each unit, group counts. params: a row for each band."""
     place, part, first, size, flat = [], [], [], [], []
     for i, p in enumerate(parts):
         w = words(p)
@@ -143,36 +145,40 @@ def signatures(parts: list[str], k: int, least: int, params: np.ndarray):
         at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         n = np.diff(np.r_[at, len(total)])
         same = np.stack([np.add.reduceat(mixed(total), at), np.add.reduceat(mixed(total ^ _ODD[1]), at)], 1)
-        # A unit's shingles stand in a row: the hashes of a text's shingles serve its paragraphs and its passages.
-        ranges = np.stack([first, first + size - k + 1], 1).ravel()
-        minima = np.stack([np.minimum.reduceat(np.append(mixed(every ^ p), np.uint64(0)), ranges)[::2] for p in params], 1)
+        # Bands for larger sets. A unit's shingles stand in a row: the hashes of a text's serve paragraphs and passages.
+        large = np.flatnonzero(n > SMALL)
+        ranges = np.stack([first[large], first[large] + size[large] - k + 1], 1).ravel()
+        keys = np.zeros((len(large), len(params)), np.uint64) + np.arange(len(params), dtype=np.uint64)
+        for band, ps in enumerate(params):
+            for p in ps if len(large) else ():
+                keys[:, band] = mixed(keys[:, band] * _ODD[2] + np.minimum.reduceat(np.append(mixed(every ^ p), np.uint64(0)), ranges)[::2])
+    # Small sets that are similar share one of their first shingles (prefix principle); at a size of both, both are keys.
+    held = np.where(100 * SMALL >= percent * n, n - -(-percent * n // 100) + 1, 0)
+    some = np.arange(held.sum()) - np.repeat(np.r_[0, np.cumsum(held)[:-1]], held)
+    short, of = total[np.repeat(at, held) + some], np.repeat(np.arange(len(n)), held)
+    of, key = np.concatenate([of, np.repeat(large, keys.shape[1])]), np.concatenate([short, keys.ravel()])
+    order = np.argsort(of, kind="stable")
     groups = np.bincount(owner * GROUPS + (total >> np.uint64(60)).astype(np.int64), minlength=len(place) * GROUPS)
-    return place, part, n, same, minima, groups.reshape(-1, GROUPS).clip(0, FULL).astype("<u2")
+    return place, part, n, same, key[order], np.bincount(of, minlength=len(n)), groups.reshape(-1, GROUPS).clip(0, FULL).astype("<u2")
 
 
-def _rows(docs: DataFrame, k: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
-    """doc, place, part, n, same, prefix (band keys), vector of all units."""
-    params = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _ODD[0])
+def _rows(docs: DataFrame, k: int, percent: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
+    """doc, place, part, n, same, prefix (keys), vector of all units."""
+    params = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _ODD[0]).reshape(bands, rows)
 
     def run(batches):
         for batch in batches:
             for ids, texts_ in portions(batch):
-                out = [[], [], [], [], [], [], []]
+                out = [[], [], [], [], [], [], [], []]
                 for i, t in zip(ids, texts_):
-                    got = signatures(paragraphs(t, long), k, least, params)
-                    if got is None:
-                        continue
-                    place, part, n, same, minima, groups = got
-                    with np.errstate(over="ignore"):
-                        key = np.zeros((len(place), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
-                        for r in range(rows):
-                            key = mixed(key * _ODD[2] + minima[:, r::rows])
-                    for column, x in zip(out, (np.full(len(place), i, np.int64), place, part, n, same, key.view(np.int64), groups)):
-                        column.append(x)
+                    got = signatures(paragraphs(t, long), k, least, params, percent)
+                    if got is not None:
+                        for column, x in zip(out, (np.full(len(got[0]), i, np.int64), *got)):
+                            column.append(x)
                 if out[0]:
-                    doc, place, part, n, same, key, groups = map(np.concatenate, out)
+                    doc, place, part, n, same, key, held, groups = map(np.concatenate, out)
                     fixed = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
-                    keys = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.ravel()))
+                    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(key.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(n), fixed(same), keys, fixed(groups)], names=["doc", "place", "part", "n", "same", "prefix", "vector"])
 
     return docs.mapInArrow(run, "doc long, place int, part int, n long, same binary, prefix array<long>, vector binary")
@@ -181,14 +187,15 @@ def _rows(docs: DataFrame, k: int, least: int, long: int, bands: int, rows: int)
 def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least: int = 5, long: int = 60, bands: int = 8, rows: int = 3) -> DataFrame:
     """(doc, place, part, kept): paragraphs (part -1) and passages to remove, and the document of the unit that stays in
     their place. docs: doc_id, text."""
-    made = stage.put(_rows(docs, k, least, long, bands, rows))
-    classes = made.groupBy("same").agg(F.min(F.struct("doc", "place", "part")).alias("rep"), F.count(F.lit(1)).alias("units"))
-    classes = stage.put(classes.select("same", "rep.*", "units", F.monotonically_increasing_id().alias("doc_id")))
-    reps = made.join(classes.drop("units"), ["same", "doc", "place", "part"]).dropDuplicates(["doc_id"])
-    reps = stage.put(reps.select("doc_id", "doc", "place", "part", "n", "prefix", "vector"))
+    made = stage.put(_rows(docs, k, percent, least, long, bands, rows))
+    least_of = F.min(F.struct("doc", "place", "part", "n", "prefix", "vector")).alias("rep")
+    reps = made.groupBy("same").agg(least_of, F.count(F.lit(1)).alias("units"))
+    reps = stage.put(reps.select("same", "rep.*", "units", F.monotonically_increasing_id().alias("doc_id")))
+    units = stage.put(made.select("doc", "place", "part", "same"))
+    stage.drop(made)
 
     def sets(ids, few, narrow):
-        named = classes.select("doc_id", "doc", "place", "part").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        named = reps.select("doc_id", "doc", "place", "part").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         held = named.groupBy("doc").agg(F.collect_list(F.struct("place", "part", "doc_id")).alias("units"))
         wanted = docs.join(F.broadcast(held) if few else held, F.col("doc_id") == F.col("doc"))
 
@@ -212,8 +219,8 @@ def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least
 
     links = block_links(reps.select("doc_id", "n", "prefix", "vector"), {}, sets, percent, stage)
     found = components(links).select(F.col("node").alias("doc_id"), "component")
-    some = classes.join(found, "doc_id", "left").where("units > 1 or component is not null").select("same", F.coalesce("component", "doc_id").alias("c"))
-    members = stage.put(made.select("doc", "place", "part", "same").join(some, "same").drop("same").distinct())
+    some = reps.select("same", "units", "doc_id").join(found, "doc_id", "left").where("units > 1 or component is not null").select("same", F.coalesce("component", "doc_id").alias("c"))
+    members = stage.put(units.join(some, "same").drop("same").distinct())
     least_ = members.groupBy("c").agg(F.min(F.struct("doc", "place", "part")).alias("m"), F.min(F.when(F.col("part") < 0, F.struct("doc", "place"))).alias("lead"))
     # A passage that is its component's least may be in a paragraph that goes: there, the least paragraph stays.
     paragraph = members.where("part < 0").join(least_, "c").where(F.struct("doc", "place", "part") != F.col("m")).select("doc", "place")
