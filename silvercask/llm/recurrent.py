@@ -5,7 +5,8 @@ tasks, and the rest are joined. The commonest ``vocabulary`` of them are the mod
 words go through one unknown word, and share its probability by their smoothed counts. Training reads all training
 documents once: each task trains a copy by truncated backpropagation over windows of ``window`` tokens, many documents
 side by side, each with its own state that is carried from window to window; the copies' weights are averaged, weighted by
-tokens, in an aggregation. Scoring carries the state through whole documents in the same way.
+tokens, in an aggregation. That is done in ``rounds``, each over its share of the documents and from the weights of the
+one before. Scoring carries the state through whole documents in the same way.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def language_model_scores(docs: DataFrame, vocabulary: int = 2048, table: int = 65536, hidden: int = 12, window: int = 32, lanes: int = 512, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int = 65536, hidden: int = 16, window: int = 32, lanes: int = 512, rate: float = 0.1, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0 (a null doc_id is not learnt from). Null and
@@ -227,22 +228,29 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 2048, table: int =
             out[-1] = np.append(out[-1], 1)
         return out
 
-    def train(batches):
-        model, seen = Model(size, hidden, frequency), 0
-        for batch in batches:
-            for _, texts_ in portions(batch, 16 * PORTION):
-                d = numbered(texts_)
-                run(model, d, lanes, window, rate)
-                seen += sum(map(len, d))
-        if seen:
-            flat = model.vector()
-            parts = np.array_split(np.arange(len(flat)), max(1, len(flat) // 4096))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p].astype(np.float64) for p in parts], pa.list_(pa.float64()))], names=["part", "seen", "weights"])
-
-    copies = stage.put(base.where(mine).mapInArrow(train, "part int, seen long, weights array<double>"))
-    each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
-    learnt = each.orderBy("part", "i").collect() if total else []  # the model's size, whatever the corpus
-    weights = np.array([r["w"] for r in learnt], np.float32) if learnt else Model(size, hidden, frequency).vector()
+    weights = Model(size, hidden, frequency).vector()
+
+    def train(start):
+        def work(batches):
+            model, seen = Model(size, hidden).load(start), 0
+            for batch in batches:
+                for _, texts_ in portions(batch, 16 * PORTION):
+                    d = numbered(texts_)
+                    run(model, d, lanes, window, rate)
+                    seen += sum(map(len, d))
+            if seen:
+                flat = model.vector()
+                parts = np.array_split(np.arange(len(flat)), max(1, len(flat) // 4096))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p].astype(np.float64) for p in parts], pa.list_(pa.float64()))], names=["part", "seen", "weights"])
+
+        return work
+
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
+    for turn in range(rounds if total else 0):
+        copies = stage.put(base.where(mine & (share == turn)).mapInArrow(train(weights), "part int, seen long, weights array<double>"))
+        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
+        learnt = each.orderBy("part", "i").collect()  # the model's size, whatever the corpus
+        weights = np.array([r["w"] for r in learnt], np.float32) if learnt else weights
 
     def score(batches):
         model = Model(size, hidden).load(weights)

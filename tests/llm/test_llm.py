@@ -289,3 +289,21 @@ def test_pipeline_keeps_clean_rows_whatever_their_id(spark):
         docs = f(spark, docs, "")
         assert docs.columns == table(spark, []).columns
         assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == want
+
+
+def test_recurrent_rounds_learn_on(spark):
+    """Later rounds start from the averaged weights: many small tasks learn more in rounds than each alone."""
+    import inspect
+
+    found = inspect.signature(recurrent.language_model_scores).parameters
+    assert found["vocabulary"].default >= 4096 and found["hidden"].default >= 16 and found["rounds"].default > 1
+    rng, data = random.Random(8), []
+    for i in range(800):
+        at, w = rng.randrange(20), []
+        for _ in range(40):
+            w.append(f"w{at}")
+            at = (at + 1) % 20 if rng.random() < 0.9 else rng.randrange(20)
+        data.append((i, " ".join(w)))
+    docs = table(spark, data).repartition(8, "doc_id")
+    one, four = (sum(r.score for r in recurrent.language_model_scores(docs, hidden=8, lanes=8, rounds=n).collect() if r.held_out) for n in (1, 4))
+    assert four > one
