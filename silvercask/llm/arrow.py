@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Characters of text that are worked on at a time; a longer text is worked on alone.
 PORTION = 2_000_000
+#: Texts that are worked on at a time, however short.
+TEXTS = 65_536
 
 
 def portions(batch: pa.RecordBatch, limit: int = PORTION) -> Iterator[tuple[list, list[str]]]:
@@ -18,7 +20,7 @@ def portions(batch: pa.RecordBatch, limit: int = PORTION) -> Iterator[tuple[list
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0), batch.column(1)):
         t = t.as_py()
-        if texts and size + len(t) > limit:
+        if texts and (size + len(t) > limit or len(texts) == TEXTS):
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(i.as_py())

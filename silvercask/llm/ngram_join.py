@@ -1,52 +1,45 @@
 """N-gram Jaccard join: exact near-duplicate classes of documents by a count-vector R-tree.
 
-1. Documents with equal shingle sets form a class; only its smallest document (its representative) goes on.
-2. Two sets that are similar enough share one of their first n - ceil(t * n) + 1 shingles in any common order
-   (prefix principle). The order puts shingles that many documents have last, so that blocks stay small; they are
-   counted over all documents, in hashed counters of a fixed size, and the counts only affect speed. A block is the documents that share a shingle
-   of their prefixes.
-3. In a block, documents are linked to pivots of about their size: as many pairs as rows, however large a group
-   of near copies is. Verified links to a pivot give the documents labels.
-4. Blocks that still hold different labels are joined (first for the likeliest partner of each document, which merges
-   most labels at a linear number of pairs; then for all that remain) on their count vectors: shingles are hashed into groups, the
-   group counts of a document are a point, and points are packed into an R-tree. The summed minima of two points
-   (or of the upper corners of two boxes) bound the shared shingles, so most pairs of boxes fall at once.
-5. Surviving pairs are verified on the whole sets. Components of all verified links are the result: no link
+1. All shingles are counted over the corpus (exchange.py). A shingle that occurs once is in no intersection: only the
+   shared ones of a document go on, and documents with too few of them are done.
+2. Documents with equal shingle sets form a class, and classes are joined.
+3. Two sets that are similar enough share one of their first n - ceil(t * n) + 1 shingles in any common order (prefix
+   principle). The order is rare ones first, so most of a prefix are shingles that occur once, which need no block. A
+   block is the classes that share a shingle of their prefixes.
+4. In a block, classes are linked to pivots of about their size, those with the fewest shingles of their own: as many
+   pairs as rows, however large a group of near copies is. Verified links to a pivot give the classes labels.
+5. Blocks that still hold different labels are joined on their count vectors: shared shingles are hashed into groups,
+   the group counts of a class are a point, and points are packed into an R-tree. The summed minima of two points (or of
+   the upper corners of two boxes) bound the shared shingles, so most pairs of boxes fall at once. First only the
+   likeliest partner of each class comes out, which merges most labels at a linear number of pairs; then all that remain.
+6. Surviving pairs are verified on the whole sets. Components of all verified links are the result: no link
    between different components is ever skipped, only pairs that are known to be connected already.
 """
 
 from __future__ import annotations
 
-import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from hashlib import blake2b
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import map_texts, portions
 from .common import Stage, documents, texts
 from .components import components
+from .exchange import count_bound, shared_elements
 from .shingles import shingles
 
 GROUPS = 64
-#: Group counts are kept in 16 bits; this one stands for itself and all greater ones.
-FULL = 65_535
-#: Shingles whose counts the driver learns, those that most documents have: 16 bytes each.
-COMMON = 20_000
-#: The counters of all shingles: 2 ** BITS bytes in the driver and in each task, whatever the corpus; they are added in
-#: PARTS. They order the shingles, rare ones first, so that shared passages stay out of prefixes; only speed depends on it.
-BITS = 22
-PARTS = 256
-#: Sets of more shingles get a finer count vector (2 kB) before they are compared in whole.
+#: Classes with more shared shingles get a finer count vector (4 kB) before they are compared in whole.
 FINE = 512
 #: Sets that are compared with one other set in one place.
 PARTNERS = 512
 #: Rows of a block that one task joins; larger blocks are cut into cells, and pairs of cells are joined.
 CELL = 4_096
-#: Turns in which each document of a block with different labels is compared with the likeliest document of another
+#: Turns in which each class of a block with different labels is compared with the likeliest class of another
 #: label, and labels merge. Only then are all pairs of labels that are still apart compared.
 BRIDGES = 2
 #: At most this many ids are broadcast (8 bytes each).
@@ -54,13 +47,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Upper bounds on the shared shingles of sets (or boxes) by the summed minima of their group counts; without
-    bound (2 ** 40) where both have a full count."""
-    least = np.minimum(x, y)
-    out = least.sum(1, dtype=np.int64)
-    if least.size and least.max() == FULL:
-        out[(least == FULL).any(1)] = 1 << 40
-    return out
+    """Upper bounds on the shared shingles of sets (or boxes) by the summed minima of their group counts."""
+    return np.minimum(x, y).sum(1, dtype=np.int64)
 
 
 def _needed(a, b, percent: int):
@@ -68,104 +56,14 @@ def _needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _frequent(docs: DataFrame, k: int, stage: Stage) -> tuple[dict[int, int], np.ndarray]:
-    """Counts of common shingles over all documents, from those that are common in some portion of them; and, from
-    2 ** BITS counters that shingles are hashed to, a logarithmic count of every shingle and those it shares with."""
-
-    def work(batches):
-        counters = np.zeros(1 << BITS, np.uint32)
-        for batch in batches:
-            for _, texts_ in portions(batch):
-                every = np.concatenate([np.empty(0, np.uint64), *(shingles(t, k) for t in texts_)])
-                counters += np.bincount((every >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
-                found, n = np.unique(every, return_counts=True)
-                some = n >= max(6, len(texts_) // 500)
-                none = pa.nulls(int(some.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some]), none.cast(pa.int32()), none.cast(pa.binary())], names=["s", "n", "part", "counts"])
-        if counters.any():
-            none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in np.split(counters, PARTS)], pa.binary())], names=["s", "n", "part", "counts"])
-
-    def added(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, c in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                total[part] = total.get(part, np.uint64(0)) + np.frombuffer(zlib.decompress(c.as_py()), np.uint32).astype(np.uint64)
-        if total:
-            ranks = [np.minimum(8 * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["part", "ranks"])
-
-    made = stage.put(docs.mapInArrow(work, "s long, n long, part int, counts binary"))
-    top = made.where("s is not null").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).collect()
-    parts = made.where("part is not null").select("part", "counts").repartition("part").mapInArrow(added, "part int, ranks binary").collect()
-    stage.drop(made)
-    ranks = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
-    for r in parts:
-        ranks[r["part"]] = np.frombuffer(r["ranks"], np.uint8)
-    return {r["s"]: r["n"] for r in top}, ranks.ravel()
-
-
-def _sets(docs: DataFrame, k: int, narrow: bool) -> DataFrame:
-    """doc_id, members: sorted hashes, or the upper halves of those of large sets (wide: false)."""
-
-    def work(ids, texts_):
-        found = [shingles(t, k) for t in texts_]
-        wide = [not narrow or len(s) < FINE for s in found]
-        return [ids, [s.tobytes() if w else (s >> np.uint64(32)).astype("<u4").tobytes() for s, w in zip(found, wide)], wide]
+def vector_of(members: np.ndarray, groups: int) -> bytes:
+    """The group counts of a set of hashes; groups is a power of two."""
+    return np.bincount((members >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype("<u4").tobytes()
 
-    return map_texts(docs, work, "doc_id long, members binary, wide boolean")
-
-
-def _signatures(docs: DataFrame, k: int, percent: int, common: dict[int, int], ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, id of the set, prefix in the common order, count vector, finer count vector of large sets."""
-    late = np.array(sorted(common), np.int64)
-    weight = np.array([common[s] for s in late.tolist()], np.int64)
-
-    def work(ids, texts_):
-        n, same, prefix, vector, fine = [], [], [], [], []
-        for t in texts_:
-            s = shingles(t, k)
-            short = s[: 0 if not len(s) else None]
-            if len(s):
-                seen = s.view(np.int64)
-                at = np.minimum(np.searchsorted(late, seen), max(len(late) - 1, 0))
-                rank = np.where(late[at] == seen, weight[at], 0) if len(late) else np.zeros(len(s), np.int64)
-                p = len(s) - -(-percent * len(s) // 100) + 1
-                short = s[np.lexsort((s, rank, ranks[s >> np.uint64(64 - BITS)]))[:p]]
-            n.append(len(s))
-            same.append(blake2b(s.tobytes(), digest_size=16).digest())
-            prefix.append(short.view(np.int64))
-            vector.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).clip(0, FULL).astype("<u2").tobytes())
-            fine.append(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024).clip(0, FULL).astype("<u2").tobytes() if len(s) >= FINE else None)
-        return [ids, n, same, prefix, vector, fine]
-
-    return map_texts(docs, work, "doc_id long, n long, same binary, prefix array<long>, vector binary, fine binary")
-
-
-def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (s, salt, doc, n) -> those of blocks with two or more, with the pivot of each: the smallest document that
-    is not over 1 / t times smaller."""
 
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        s, salt, doc, n = (t.column(c).to_numpy() for c in ("s", "salt", "doc", "n"))
-        order = np.lexsort((doc, n, salt, s))
-        s, salt, doc, n = s[order], salt[order], doc[order], n[order]
-        new = np.r_[True, (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])]
-        size = np.diff(np.r_[np.flatnonzero(new), len(s)])
-        some = np.repeat(size > 1, size)
-        s, salt, doc, n, new = s[some], salt[some], doc[some], n[some], new[some]
-        pivot, at, least = [], 0, 0
-        for i, (fresh, x) in enumerate(zip(new.tolist(), n.tolist())):
-            if fresh or 100 * least < percent * x:
-                at, least = i, x
-            pivot.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(doc), pa.array(n), pa.array(doc[np.array(pivot, np.int64)] if pivot else doc)], names=["s", "doc", "n", "pivot"])
-
-    return rows.repartition("s", "salt").mapInArrow(run, "s long, doc long, n long, pivot long")
+def cells_of(logs: np.ndarray) -> np.ndarray:
+    """Parts of a block whose key has one of these logarithmic counts."""
+    return -(-count_bound(logs) // CELL)
 
 
 def tree_pairs(vectors: np.ndarray, n: np.ndarray, percent: int, left: np.ndarray | None = None, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -203,17 +101,31 @@ def tree_pairs(vectors: np.ndarray, n: np.ndarray, percent: int, left: np.ndarra
     return np.minimum(i, j), np.maximum(i, j)
 
 
+def _blocks(batches, most: int = 200_000):
+    """Batches sorted by (s, cell) -> tables of whole blocks, of some ``most`` rows or one block."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, cell = batch.column("s").to_numpy(), batch.column("cell").to_numpy()
+        last = int(np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (cell[1:] != cell[:-1])])[-1])
+        if rows + last > most and (last or held and (held[-1].column("s")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (s[0], cell[0])):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)] if last else held)
+            held, rows = [], 0
+            batch = batch.slice(last)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Rows (s, cell, side, doc, n, label, vector) -> distinct pairs (a, b) of documents with different labels that the
     bound lets through; with best, only the one of each document a whose bound is highest."""
 
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
+    def pairs_of(t):
         s, cell, side, doc, n, label = (t.column(c).to_numpy() for c in ("s", "cell", "side", "doc", "n", "label"))
-        v = np.frombuffer(b"".join(x.as_py() for x in t.column("vector")), "<u2").reshape(len(s), -1)
+        v = np.frombuffer(b"".join(x.as_py() for x in t.column("vector")), "<u4").reshape(len(s), -1)
         order = np.lexsort((doc, cell, s))
         new = np.r_[True, (s[order][1:] != s[order][:-1]) | (cell[order][1:] != cell[order][:-1])]
         starts = np.flatnonzero(new)
@@ -233,7 +145,7 @@ def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame
             elif len(x):
                 found.append(np.unique(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1), axis=0))
 
-        for c in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):  # small blocks of one size together, boxes of one point
+        for c in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):  # trees of one leaf, those of one size together
             first = starts[sizes == c]
             i, j = np.triu_indices(c, 1)
             step = max(1, 16_384 // len(i))
@@ -253,9 +165,13 @@ def _block_pairs(rows: DataFrame, percent: int, best: bool = False) -> DataFrame
         if best and len(pairs):
             pairs = pairs[np.lexsort((-pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
             pairs = pairs[np.r_[pairs[1:, 0] != pairs[:-1, 0], True]]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3 if best else 2)], names=["a", "b", "score"][: 3 if best else 2])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3 if best else 2)], names=["a", "b", "score"][: 3 if best else 2])
 
-    dealt = rows.repartition("s", "cell")
+    def run(batches):
+        for t in _blocks(batches):
+            yield pairs_of(t)
+
+    dealt = rows.repartition("s", "cell").sortWithinPartitions("s", "cell")
     if not best:
         return dealt.mapInArrow(run, "a long, b long").distinct()
     top = dealt.mapInArrow(run, "a long, b long, score long").groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"))).alias("m"))
@@ -272,7 +188,7 @@ def _bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             some = batch.filter(known)
             if some.num_rows:
                 n, m = (some.column(c).to_numpy() for c in ("n", "m"))
-                x, y = (np.frombuffer(b"".join(v.as_py() for v in some.column(c)), "<u2").reshape(len(n), -1) for c in ("x", "y"))
+                x, y = (np.frombuffer(b"".join(v.as_py() for v in some.column(c)), "<u4").reshape(len(n), -1) for c in ("x", "y"))
                 fit = (100 * n >= percent * m) & (100 * m >= percent * n)
                 ok[~ok] = fit & (_shared(x, y) >= _needed(n, m, percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
@@ -282,109 +198,91 @@ def _bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, bool]:
-    """(similar, sure) for two sorted sets of 64-bit hashes, or of their upper halves where a set is large.
-
-    Halves may coincide where the hashes differ, so their count is an upper bound: a pair below the threshold is surely
-    apart, and one above it by more than chance can explain is surely similar. The rest has to be compared in full.
-    """
-    full = x.itemsize == y.itemsize == 8
-    if x.itemsize != y.itemsize:
-        x, y = (v if v.itemsize == 4 else (v >> np.uint64(32)).astype(np.uint32) for v in (x, y))
+def similar(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles are similar, by their shared ones (sorted, distinct)."""
     both = np.sort(np.concatenate([x, y]), kind="stable")
-    shared, total = int((both[1:] == both[:-1]).sum()), len(both)
-    if 100 * shared < percent * (total - shared):
-        return False, True
-    low = shared if full else shared - 8 - 4 * -(-total * total // (1 << 33))
-    return True, 100 * low >= percent * (total - low)
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (n + m - common)
+
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, stage: Stage) -> DataFrame:
+    """Distinct staged pairs (a, b) of the staged pairs whose sets are similar. sets: doc_id, n, members, fine.
 
-def _compared(pairs: DataFrame, sets, percent: int, stage: Stage, narrow: bool) -> DataFrame:
-    """Staged (a, b, sure) of the pairs whose sets are similar. A set moves once for each b it is compared with, and
+    Fine vectors stop most pairs of large sets before those move. A set moves once for each b it is compared with, and
     waits in no table; a b with many partners is cut into cells of ``PARTNERS``, each with its own copy of b."""
+    pairs = stage.put(_bounded(pairs, sets.where("fine is not null").select("doc_id", "n", F.col("fine").alias("vector")), percent))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("cells"))
     one = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("cells")).alias("cell"), F.lit(1).alias("kind"))
     two = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("kind"))
-    assigned = stage.put(one.unionByName(two))
-    few = assigned.count() <= BROADCAST_IDS
-    moved = sets(assigned.select("doc_id").distinct(), few, narrow).join(F.broadcast(assigned) if few else assigned, "doc_id")
+    moved = sets.select("doc_id", "n", "members").join(one.unionByName(two), "doc_id")
 
     def run(batches):
         base = None
         for batch in batches:
-            a, b, sure = [], [], []
-            for doc, key, kind, members, wide in zip(*(batch.column(c) for c in ("doc_id", "key", "kind", "members", "wide"))):
-                held = np.frombuffer(members.as_buffer(), "<u8" if wide.as_py() else "<u4")
+            a, b = [], []
+            for doc, key, kind, n, members in zip(*(batch.column(c) for c in ("doc_id", "key", "kind", "n", "members"))):
+                held = np.frombuffer(members.as_buffer(), "<u8"), n.as_py()
                 if not kind.as_py():
                     base = held
-                    continue
-                yes, known = similar(base, held, percent)
-                if yes:
+                elif similar(base[0], held[0], base[1], held[1], percent):
                     a.append(doc.as_py())
                     b.append(key.as_py())
-                    sure.append(known)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
-
-    dealt = moved.select("doc_id", "key", "cell", "kind", "members", "wide").repartition("key", "cell").sortWithinPartitions("key", "cell", "kind")
-    out = stage.put(dealt.mapInArrow(run, "a long, b long, sure boolean"))
-    stage.drop(assigned)
-    return out
-
-
-def verified(pairs: DataFrame, sets, percent: int, stage: Stage, large: DataFrame | None = None) -> DataFrame:
-    """Those of the staged pairs (a, b) whose whole sets are similar enough. sets(ids, few, narrow) -> doc_id, members,
-    wide of the ids; few: the ids may be broadcast; narrow: large sets may be given by the upper halves of their hashes.
-    large: fine count vectors (doc_id, n, vector) of large sets, which stop most pairs before the sets move."""
-    if large is not None:  # large sets fill 64 groups evenly, whatever they hold
-        pairs = stage.put(_bounded(pairs, large, percent))
-    found = _compared(pairs, sets, percent, stage, True)
-    links = found.where("sure").select("a", "b")
-    doubt = found.where("not sure").select("a", "b").distinct()
-    if not doubt.isEmpty():
-        links = links.unionByName(_compared(doubt, sets, percent, stage, False).select("a", "b"))
-    return links.distinct()
-
-
-def block_links(reps: DataFrame, common: dict[int, int], sets, percent: int, stage: Stage, large: DataFrame | None = None) -> DataFrame:
-    """Verified links (a, b) between staged sets (doc_id, n, prefix, vector) that share a key of their prefixes:
-    steps 3 to 5. Every similar pair is linked or already connected. common: counts of keys that may be hot."""
-    # Blocks of very common keys are cut, and the pivots of their parts meet in a second turn.
-    hot = reps.sparkSession.createDataFrame([(s, -(-c // CELL)) for s, c in common.items() if c > CELL], "s long, cells long")
-    rows = reps.select(F.explode("prefix").alias("s"), F.col("doc_id").alias("doc"), "n")
-    cut = rows.join(F.broadcast(hot), "s", "left").select("s", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("cells")), F.lit(0).cast("long")).alias("salt"), "doc", "n", "cells")
-    first = stage.put(_stars(cut.select("s", "salt", "doc", "n"), percent))
-    again = first.join(F.broadcast(hot), "s", "left_semi").where("doc = pivot").select("s", F.lit(0).cast("long").alias("salt"), "doc", "n").distinct()
-    lone = cut.where("cells is not null").select("s", F.lit(0).cast("long").alias("salt"), "doc", "n")  # a part of one row has no pivot yet
-    lone = lone.join(first.select("s", "doc"), ["s", "doc"], "left_anti")
-    second = stage.put(_stars(again.unionByName(lone), percent))
-    rows = first.unionByName(second).select("s", "doc", "n").distinct()
-    # The pivot that a document shares most keys with comes first; the others only where that leaves labels apart.
-    stars = first.unionByName(second).where("doc <> pivot").groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    stars = stage.put(stars)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = moved.select("doc_id", "key", "cell", "kind", "n", "members").repartition("key", "cell").sortWithinPartitions("key", "cell", "kind")
+    return stage.put(dealt.mapInArrow(run, "a long, b long").distinct())
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (s, salt, doc, n, own) of blocks -> distinct (a, b, keys): each class with the pivots of its blocks.
+
+    A pivot is, of the classes of a part of a block whose sizes are so near that they can be similar, the one with the
+    smallest share of shingles of its own; pivots of the parts of a block, and of neighbouring sizes, meet in a second turn."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(float(np.log(100 / percent)), 1e-3))).alias("size")
+    rows = rows.select("s", "salt", "doc", "n", (F.col("own") / F.col("n")).alias("share"), size)
+    first = F.first(F.struct("doc", "share")).over(W.partitionBy("s", "salt", "size").orderBy("share", "doc"))
+    stars = rows.select("s", "size", "doc", first.alias("p")).select("s", "size", "doc", F.col("p.doc").alias("pivot"), "p.share")
+    heads = stars.select("s", "size", F.col("pivot").alias("doc"), "share").distinct()
+    head = F.first("doc").over(W.partitionBy("s", "size").orderBy("share", "doc"))
+    again = heads.select("s", "size", "doc", head.alias("pivot"))
+    below = F.struct(F.lag("pivot").over(W.partitionBy("s").orderBy("size", "pivot")).alias("pivot"), F.lag("size").over(W.partitionBy("s").orderBy("size", "pivot")).alias("size"))
+    steps = again.select("s", "size", "pivot").distinct().withColumn("below", below).where("below.size = size - 1").select("s", F.col("pivot").alias("doc"), F.col("below.pivot").alias("pivot"))
+    every = stars.select("s", "doc", "pivot").unionByName(again.select("s", "doc", "pivot")).unionByName(steps).where("doc <> pivot")
+    return every.distinct().groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+
+
+def block_links(reps: DataFrame, percent: int, stage: Stage) -> DataFrame:
+    """Verified links (a, b) between staged sets (doc_id, n, held: shared shingles, members, prefix: keys, cells: parts
+    of each key's block, vector, fine) that share a key: steps 4 to 6. Every similar pair is linked or already connected."""
+    keys = F.explode(F.arrays_zip("prefix", "cells")).alias("key")
+    rows = reps.select(keys, F.col("doc_id").alias("doc"), "n", (F.col("n") - F.col("held")).alias("own"))
+    rows = rows.select(F.col("key.prefix").alias("s"), F.pmod(F.xxhash64("doc"), F.col("key.cells")).alias("salt"), "doc", "n", "own")
+    several = rows.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s")
+    rows = stage.put(rows.join(several, "s", "left_semi"))
+    stars = stage.put(_stars(rows, percent))
     near = stage.put(_bounded(stars.select("a", "b"), reps, percent))
+    # The pivot that a class shares most keys with comes first; the others only where that leaves labels apart.
     best = near.join(stars, ["a", "b"]).groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
     best = stage.put(best)
-    links = stage.put(verified(best, sets, percent, stage, large))
+    links = verified(best, reps, percent, stage)
     named_a = links.select(F.col("a"), F.least("a", "b").alias("la")).groupBy("a").agg(F.min("la").alias("la"))
     named_b = named_a.select(F.col("a").alias("b"), F.col("la").alias("lb"))
     rest = near.join(best, ["a", "b"], "left_anti").join(named_a, "a", "left").join(named_b, "b", "left")
     rest = stage.put(rest.where(F.least("a", F.coalesce("la", "a")) != F.least("b", F.coalesce("lb", "b"))).select("a", "b"))
-    links = stage.put(links.unionByName(verified(rest, sets, percent, stage, large)))
-    rows = stage.put(rows)
-    stage.drop(first, second)
+    links = links.unionByName(verified(rest, reps, percent, stage))
     pair_of = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = pair_of(near)
-    label = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("to"))
+    tried, found = pair_of(near), None
     for turn in range(BRIDGES + 1):
-        open_ = _open(rows, stage.put(label), reps)
-        last = turn == BRIDGES
-        pairs = _block_pairs(open_, percent, not last)
-        pairs = stage.put(pair_of(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(stage.put(verified(pairs, sets, percent, stage, large)))
-        if not last:
-            tried = tried.unionByName(pairs)
+        if found is None or not found.isEmpty():  # labels have changed
             label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("to"))
-    stage.drop(rows, stars, best, rest)
+            open_ = stage.put(_open(rows, stage.put(label), reps))
+            if open_.isEmpty():
+                break
+        pairs = pair_of(_block_pairs(open_, percent, turn < BRIDGES)).distinct()
+        pairs = stage.put(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verified(pairs, reps, percent, stage)
+        links, tried = links.unionByName(found), tried.unionByName(pairs)
+    stage.drop(stars, best, rest)
     return links
 
 
@@ -401,32 +299,72 @@ def _open(rows: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
     return whole.unionByName(split)
 
 
+def _counted(docs: DataFrame, k: int, percent: int, stage: Stage) -> DataFrame:
+    """Staged row for each row of docs: doc_id, n, same (id of the set), least (smallest doc_id of that set in its
+    portion). The first row of a set in its portion also has held, members, prefix, cells, vector and, where large, fine;
+    these are null where too few of its shingles are shared."""
+
+    def describe(ids, texts_):
+        seen, values, n, same, first = {}, [], [], [], []
+        for i, t in enumerate(texts_):
+            s = shingles(t, k)
+            name = blake2b(s.tobytes(), digest_size=16).digest()
+            at = seen.setdefault(name, i) if len(s) else i
+            values.append(s if at == i else s[:0])
+            n.append(len(s))
+            same.append(name)
+            first.append(at)
+        owners = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(v) for v in values])
+        known = np.array([i is not None for i in ids])
+        return np.concatenate(values), owners, {"id": np.array([i or 0 for i in ids], np.int64), "known": known.astype(np.uint8), "n": np.array(n, np.int64), "same": np.frombuffer(b"".join(same), np.uint8), "first": np.array(first, np.int64)}
+
+    def assemble(kept, values, owners, logs):
+        ids, n, first = kept["id"], kept["n"], kept["first"]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        some = kept["known"] > 0
+        np.minimum.at(least, first[some], ids[some])
+        order = np.lexsort((values, logs, owners))
+        values, logs, held = values[order], logs[order], np.bincount(owners, minlength=len(ids))
+        at = np.r_[0, np.cumsum(held)]
+        fit = (n > 0) & (100 * held >= percent * n)
+        out = [[], [], [], [], []]
+        for i in range(len(ids)):
+            row = [None] * 5
+            if fit[i]:
+                v, c = values[at[i] : at[i + 1]], logs[at[i] : at[i + 1]]
+                p = int(n[i] - -(-percent * n[i] // 100) + 1 - (n[i] - held[i]))
+                v_sorted = np.sort(v)
+                row = [v_sorted.tobytes(), v[:p].view(np.int64), cells_of(c[:p]), vector_of(v, GROUPS), vector_of(v, 1024) if len(v) >= FINE else None]
+            for column, x in zip(out, row):
+                column.append(x)
+        same = [bytes(x) if m else None for x, m in zip(kept["same"].reshape(-1, 16), n)]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        columns = [pa.array(ids, mask=~some), pa.array(n), pa.array(same, pa.binary()), pa.array(least[first], mask=least[first] == np.iinfo(np.int64).max), pa.array(held, pa.int64(), mask=~fit), *(pa.array(c, t) for c, t in zip(out, kinds))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "same", "least", "held", "members", "prefix", "cells", "vector", "fine"])
+
+    return shared_elements(docs, describe, assemble, "doc_id long, n long, same binary, least long, held long, members binary, prefix array<long>, cells array<long>, vector binary, fine binary", stage)
+
+
 def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles. Null and
-    empty texts have no shingles and link with nothing. Rows that repeat a doc_id have to repeat its text, and are
-    answered one by one. A null doc_id links with nothing and has a null component. An empty table gives an empty result.
+    empty texts have no shingles and link with nothing. Rows are joined by their texts, whatever their doc_id: rows that
+    repeat a doc_id are answered one by one, with the same text or another, and rows with a null doc_id link too; a
+    component_id is null only where no reachable row has a doc_id. An empty table gives an empty result.
     """
-    spark, stage = docs.sparkSession, Stage(docs.sparkSession, "jaccard")
-    base = texts(docs, id_col, text_col)
-    known = base.where("doc_id is not null")
-    common, ranks = _frequent(known, k, stage)
-    made = stage.put(_signatures(base, k, percent, common, ranks))
-    some = made.where("n > 0 and doc_id is not null")
-    classes = stage.put(some.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes, (some["same"] == classes["same"]) & (some["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    reps = stage.put(reps.select("doc_id", "n", "prefix", "vector", "fine"))
-    large = reps.where("fine is not null").select("doc_id", "n", F.col("fine").alias("vector"))
-
-    def sets(ids, few, narrow):
-        return _sets(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k, narrow)
-
-    links = block_links(reps, common, sets, percent, stage, large)
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    out = made.select("doc_id", "n", "same").join(classes, "same", "left").join(found, "rep", "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    stage = Stage(docs.sparkSession, "jaccard")
+    made = _counted(texts(docs, id_col, text_col), k, percent, stage)
+    whole = ["n", "held", "members", "prefix", "cells", "vector", "fine"]
+    classes = made.where("members is not null").groupBy("same").agg(F.min("least").alias("least"), *(F.first(c, True).alias(c) for c in whole))
+    classes = stage.put(classes.withColumn("doc_id", F.monotonically_increasing_id()))
+    links = block_links(classes.select("doc_id", *whole), percent, stage)
+    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    named = stage.put(classes.select("doc_id", "same", "least").join(found, "doc_id", "left").select("same", "least", F.coalesce("component", "doc_id").alias("c")))
+    low = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    own = stage.put(named.join(low, "c").select("same", "component_id"))
+    out = made.select("doc_id", "n", "same", "least").join(own, "same", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .arrow import portions
 from .common import Stage, documents, texts
 from .components import components
-from .ngram_join import FULL, block_links
+from .ngram_join import block_links
+FULL = 65535
 from .shingles import _ODD, _hashes, mixed, shingles, words
 
 GROUPS = 16

@@ -199,18 +199,15 @@ def test_empty_tables(spark):
         assert f(none).count() == 0
 
 
-def test_similar_by_half_hashes():
-    """What halves of hashes call surely similar or surely apart agrees with the whole hashes."""
+def test_similar_by_shared_shingles():
+    """The shared shingles of two sets decide as the whole sets do."""
     rng = np.random.default_rng(3)
     for shared in (0, 900, 918, 919, 920, 925, 940, 1000):
         x = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) << np.uint64(1))
         y = np.unique(np.concatenate([x[:shared], rng.integers(0, 1 << 63, 1000 - shared, dtype=np.uint64) << np.uint64(1)]))
-        truth = 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
-        assert ngram_join.similar(x, y, 85) == (truth, True)
-        halves = [(v >> np.uint64(32)).astype(np.uint32) for v in (x, y)]
-        for a, b in (halves, (x, halves[1]), (halves[0], y)):
-            yes, sure = ngram_join.similar(a, b, 85)
-            assert yes == truth if sure else yes
+        both = np.intersect1d(x, y)
+        truth = 100 * len(both) >= 85 * len(np.union1d(x, y))
+        assert ngram_join.similar(x, y, len(x), len(y), 85) == ngram_join.similar(both, both, len(x), len(y), 85) == truth
 
 
 @pytest.mark.parametrize("ends", [True, False])
@@ -250,24 +247,23 @@ def test_short_lines(spark):
     assert got == {0: [], 1: list(range(5, 12)), 2: list(range(5, 12))}
 
 
-def test_full_counts_are_no_bound(spark):
-    """Sets of so many shingles that their 16-bit group counts are full reach the comparison of whole sets."""
-    for groups, n in ((64, 4_600_000), (1024, 70_000_000)):
-        v, n = np.full((2, groups), 65_535, "<u2"), np.array([n, n])
+def test_counts_of_very_large_sets(spark):
+    """Group counts over 65,535 do not wrap: equal sets of millions of shingles reach the comparison of whole sets."""
+    for groups, n in ((64, 5_000_000), (1024, 80_000_000)):
+        v, n = np.full((2, groups), n // groups, "<u4"), np.array([n, n])
+        v[:, 0] += np.uint32(n[0] - v[0].sum(dtype=np.int64))
         assert [x.tolist() for x in ngram_join.tree_pairs(v, n, 85)] == [[0], [1]]
         held = spark.createDataFrame([(i, int(n[0]), bytearray(v[0].tobytes())) for i in (1, 2)], "doc_id long, n long, vector binary")
         pairs = spark.createDataFrame([(1, 2)], "a long, b long")
         assert [tuple(r) for r in ngram_join._bounded(pairs, held, 85).collect()] == [(1, 2)]
         block = held.selectExpr("1L as s", "-1L as cell", "0L as side", "doc_id as doc", "n", "doc_id as label", "vector")
         assert [tuple(r) for r in ngram_join._block_pairs(block, 85).collect()] == [(1, 2)]
+    members = np.zeros(70_000, np.uint64)  # all in one group
+    assert np.frombuffer(ngram_join.vector_of(members, 64), "<u4").tolist() == [70_000] + [0] * 63
 
 
 def test_very_long_texts():
-    """Group counts of over a million shingles do not wrap, and places go on after 2 ** 20."""
-    line = " ".join(f"x{i}" for i in range(1_150_000))
-    _, _, n, *_, groups = paragraphs.signatures([line], 5, 5, np.ones((1, 1), np.uint64))
-    both = np.stack([groups[0], groups[0]])
-    assert n[0] == 1_149_996 and [x.tolist() for x in ngram_join.tree_pairs(both, np.array([n[0], n[0]]), 80)] == [[0], [1]]
+    """Places go on after 2 ** 20."""
     assert len(paragraphs.paragraphs("a b\n" * ((1 << 20) + 3), 60)) == (1 << 20) + 3
 
 
