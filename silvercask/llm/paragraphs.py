@@ -4,31 +4,34 @@ A paragraph is a line; a line of more than ``long`` words is cut where its words
 sentence whose last word's hash is even. So that what stands inside a line is found wherever it stands, every paragraph
 is also cut into passages: after every sentence, and sentences of more than ``WIDE`` words (texts without sentence
 ends too) at words that their neighbourhood chooses. Paragraphs and passages are units, all compared with all.
-Units with equal sets of five-word shingles are one class. Class representatives of more than ``SMALL`` shingles get a
-MinHash signature in ``bands`` bands of ``rows`` values: at a similarity of 0.8 a pair shares a band with probability
-1 - (1 - 0.8 ** 3) ** 8 = 0.997; smaller ones collide by their first shingles, always. Units that collide are joined as in the n-gram join (pivots first, then the rest of
-a bucket by bounds; no bucket is emitted as all its pairs), their exact Jaccard similarity is verified, and
-components of the links decide: the unit with the smallest (document, place) stays, the others go. Where that is a
-passage of a paragraph that goes for another component, the component's first paragraph stays, or else its first
-passage in a paragraph that stays; a paragraph that stays keeps the passages of its own component.
+
+The five-word shingles of all texts are counted over the corpus (exchange.py). A shingle that stands in one place only is
+in no intersection, so a unit of which more than a fifth stand in one place only is like no other, and most units are.
+Of the rest, units with equal sets are one class. Classes of more than ``SMALL`` shingles get a MinHash signature in
+``bands`` bands of ``rows`` values: at a similarity of 0.8 a pair shares a band with a probability of at least
+1 - (1 - 0.8 ** 3) ** 8 = 0.997 (the signature is of the shared shingles, which are more similar than the whole sets);
+smaller ones collide by their first shingles, always. Units that collide are joined as in the n-gram join (pivots
+first, then the rest of a bucket by bounds; no bucket is emitted as all its pairs), their exact Jaccard similarity is
+verified, and components of the links decide: the unit with the smallest (document, place) stays, the others go. Where
+that is a passage of a paragraph that goes for another component, the component's first paragraph stays, or else its
+first passage in a paragraph that stays; a paragraph that stays keeps the passages of its own component.
 """
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import portions
 from .common import Stage, documents, texts
 from .components import components
-from .ngram_join import block_links
-FULL = 65535
-from .shingles import _ODD, _hashes, mixed, shingles, words
+from .exchange import shared_elements
+from .ngram_join import block_links, cells_of, vector_of
+from .shingles import _LOWER, _ODD, _hashes, mixed
 
 GROUPS = 16
 #: Words of a passage at least; at most WIDE. A passage of 50 words or more then holds whole ones.
@@ -38,240 +41,273 @@ WIDE = 24
 SMALL = 20
 #: A word begins a window if no word this near has a smaller hash.
 NEAR = 5
-_END = re.compile(r"[.!?][\x20\x09-\x0D]+")
-_TOKEN = re.compile(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_END = np.zeros(256, bool)
+_END[list(b".!?")] = True
+
+
+class Words(NamedTuple):
+    """The words of some texts, one after the other: hash, text, place in the text's bytes, and whether a paragraph or a
+    passage begins with it."""
+
+    h: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    paragraph: np.ndarray
+    passage: np.ndarray
+
+
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs that begin where first is set."""
+    at = np.flatnonzero(first)
+    return at, np.diff(np.append(at, len(first)))
+
+
+def segmented(texts_: list[bytes], long: int) -> Words:
+    """Sentences of under LEAST words go with the one before; what is longer than WIDE words is cut into windows."""
+    data = b"\n".join(texts_)
+    raw = np.frombuffer(data, np.uint8)
+    blank = _BLANK[raw]
+    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    if not len(start):
+        none = np.empty(0, np.int64)
+        return Words(none.astype(np.uint64), none, none, none.astype(bool), none.astype(bool))
+    last = raw[np.flatnonzero(~blank & np.r_[blank[1:], True])]
+    w = data.translate(_LOWER).split()
+    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    ends = np.cumsum([len(t) + 1 for t in texts_])
+    text = np.searchsorted(ends, start, "right")
+    line = np.searchsorted(np.flatnonzero(raw == 10), start)
+    stop = np.r_[False, _END[last][:-1]]  # a sentence ends before this word
+    fresh = np.r_[True, line[1:] != line[:-1]]
+    _, size = _runs(fresh)
+    even = np.r_[False, (h[:-1] & np.uint64(1)) == 0]
+    paragraph = fresh | (stop & even & np.repeat(size > long, size))
+    passage = paragraph | stop
+    at, size = _runs(passage)
+    passage[at[(size < LEAST) & ~paragraph[at]]] = False
+    at, size = _runs(passage)
+    wide = np.repeat(size > WIDE, size)
+    if wide.any():
+        _cut_windows(h, passage, np.flatnonzero(wide))
+    return Words(h, text, start - np.r_[0, ends[:-1]][text], paragraph, passage)
+
+
+def _cut_windows(h: np.ndarray, passage: np.ndarray, some: np.ndarray) -> None:
+    """Passages of the words ``some`` are cut before words whose pair with the next has the smallest hash among NEAR
+    words to each side, and, where these are further apart than WIDE words, WIDE words after the last cut."""
+    at, size = _runs(passage[some])
+    own, place = np.repeat(np.arange(len(at)), size), np.arange(len(some)) - np.repeat(at, size)
+    left = np.repeat(size, size) - place
+    x = h[some]
+    with np.errstate(over="ignore"):
+        x = mixed(x * _ODD[0] + np.where(left > 1, np.append(x[1:], np.uint64(0)), np.uint64(0)) * _ODD[1])
+    least = (place >= LEAST) & (left >= LEAST)
+    for d in range(1, NEAR + 1):
+        same = own[d:] == own[:-d]
+        least[d:] &= ~same | (x[d:] < x[:-d])
+        least[:-d] &= ~same | (x[:-d] <= x[d:])
+    passage[some[least]] = True
+    at, size = _runs(passage[some])
+    for a, n in zip(at[size > WIDE].tolist(), size[size > WIDE].tolist()):
+        cuts = np.minimum(np.arange(WIDE, n, WIDE), n - LEAST)
+        passage[some[a + cuts]] = True
 
 
-def paragraphs(text: str, long: int) -> list[str]:
-    """The text in paragraphs, which together are the text."""
-    out = []
-    for line in _lines(text):
-        w = line.split(" ")
-        if len(w) <= long:
-            out.append(line)
-            continue
-        start = 0
-        for i, x in enumerate(w):
-            if x[-1:] in ".!?" and x and not _hashes[x.lower().encode()] & 1:
-                out.append(" ".join(w[start : i + 1]) + " " * (i + 1 < len(w)))
-                start = i + 1
-        if start < len(w):
-            out.append(" ".join(w[start:]))
-    return out
+def _cut(text: str, long: int, kind: str) -> list[str]:
+    data = text.encode()
+    w = segmented([data], long)
+    at = [0, *w.start[getattr(w, kind)][1:].tolist(), len(data)]
+    return [data[a:b].decode() for a, b in zip(at, at[1:]) if a < b]
 
 
-def _lines(text: str) -> list[str]:
-    parts = text.split("\n")
-    return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+def paragraphs(text: str, long: int = 60) -> list[str]:
+    """The text in paragraphs, which together are the text; blanks go with the word before, or else after."""
+    return _cut(text, long, "paragraph")
 
 
 def passages(paragraph: str) -> list[str]:
-    """The paragraph in passages, which together are the paragraph. Sentences of under LEAST words go with the one
-    before; what is longer than WIDE words is cut into windows."""
-    at = [0, *(m.end() for m in _END.finditer(paragraph)), len(paragraph)]
-    out, sizes = [], []
-    for a, b in zip(at, at[1:]):
-        if a == b:
-            continue
-        n = len(words(paragraph[a:b]))
-        if out and n < LEAST:
-            out[-1] += paragraph[a:b]
-            sizes[-1] += n
-        else:
-            out.append(paragraph[a:b])
-            sizes.append(n)
-    return [w for p, n in zip(out, sizes) for w in ([p] if n <= WIDE else _windows(p))]
-
-
-def _windows(text: str) -> list[str]:
-    """The text cut before words whose pair with the next has the smallest hash among NEAR words to each side, and,
-    where these are further apart than WIDE words, WIDE words after the last cut."""
-    w = words(text)
-    tokens = _TOKEN.findall(text)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    with np.errstate(over="ignore"):
-        h = mixed(h * _ODD[0] + np.r_[h[1:], np.uint64(0)] * _ODD[1])
-    end = np.full(NEAR, np.iinfo(np.uint64).max)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([end, h, end]), 2 * NEAR + 1)
-    least = (h < around[:, :NEAR].min(1)) & (h <= around[:, NEAR + 1 :].min(1))
-    cuts = [0]
-    for c in [*np.flatnonzero(least[LEAST : len(w) - LEAST + 1]) + LEAST, len(w)]:
-        while c - cuts[-1] > WIDE:
-            cuts.append(min(cuts[-1] + WIDE, c - LEAST))
-        cuts.append(int(c))
-    return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-
-def signatures(parts: list[str], k: int, least: int, params: np.ndarray, percent: int = 80):
+    """A paragraph in passages, which together are the paragraph."""
+    return _cut(paragraph, len(paragraph) + 1, "passage")
+
+
+def _units(w: Words, k: int, least: int) -> tuple[np.ndarray, ...]:
     """For the paragraphs and, where there are several, the passages of each, with at least ``least`` (passages LEAST)
-    words: place, part (-1: the paragraph), number of distinct shingles, two hashes of the set, keys of all units in
-    turn, their number for each unit, group counts. params: a row for each band."""
-    place, part, first, size, flat = [], [], [], [], []
-    for i, p in enumerate(parts):
-        w = words(p)
-        if len(w) < k:
-            continue
-        if len(w) >= least:
-            place.append(i)
-            part.append(-1)
-            first.append(len(flat))
-            size.append(len(w))
-        cut = passages(p) if len(w) >= 2 * LEAST else []
-        if len(cut) > 1:
-            at = len(flat)
-            for j, q in enumerate(cut):
-                n = len(words(q))
-                if n >= max(LEAST, k):
-                    place.append(i)
-                    part.append(j)
-                    first.append(at)
-                    size.append(n)
-                at += n
-        flat += w
-    if not place:
-        return None
-    place, part, first, size = (np.array(x, np.int64) for x in (place, part, first, size))
-    h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
-    with np.errstate(over="ignore"):
-        every = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            every = mixed(every + h[i : len(h) - k + 1 + i] * _ODD[i % 5])
-        n = size - k + 1
-        owner = np.repeat(np.arange(len(place)), n)
-        total = every[np.arange(len(owner)) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)]
-        order = np.lexsort((total, owner))
-        total = total[order]
-        new = np.r_[True, (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])]
-        total, owner = total[new], owner[new]
-        at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        n = np.diff(np.r_[at, len(total)])
-        same = np.stack([np.add.reduceat(mixed(total), at), np.add.reduceat(mixed(total ^ _ODD[1]), at)], 1)
-        # Bands for larger sets. A unit's shingles stand in a row: the hashes of a text's serve paragraphs and passages.
-        large = np.flatnonzero(n > SMALL)
-        ranges = np.stack([first[large], first[large] + size[large] - k + 1], 1).ravel()
-        keys = np.zeros((len(large), len(params)), np.uint64) + np.arange(len(params), dtype=np.uint64)
-        for band, ps in enumerate(params):
-            for p in ps if len(large) else ():
-                keys[:, band] = mixed(keys[:, band] * _ODD[2] + np.minimum.reduceat(np.append(mixed(every ^ p), np.uint64(0)), ranges)[::2])
-    # Small sets that are similar share one of their first shingles (prefix principle); at a size of both, both are keys.
-    held = np.where(100 * SMALL >= percent * n, n - -(-percent * n // 100) + 1, 0)
-    some = np.arange(held.sum()) - np.repeat(np.r_[0, np.cumsum(held)[:-1]], held)
-    short, of = total[np.repeat(at, held) + some], np.repeat(np.arange(len(n)), held)
-    of, key = np.concatenate([of, np.repeat(large, keys.shape[1])]), np.concatenate([short, keys.ravel()])
-    order = np.argsort(of, kind="stable")
-    groups = np.bincount(owner * GROUPS + (total >> np.uint64(60)).astype(np.int64), minlength=len(place) * GROUPS)
-    return place, part, n, same, key[order], np.bincount(of, minlength=len(n)), groups.reshape(-1, GROUPS).clip(0, FULL).astype("<u2")
-
-
-def _rows(docs: DataFrame, k: int, percent: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
-    """doc, place, part, n, same, prefix (keys), vector of all units."""
+    words: text, place, part (-1: the paragraph), first word, words."""
+    at, size = _runs(w.paragraph)
+    text = w.text[at]
+    _, each = _runs(np.r_[True, text[1:] != text[:-1]]) if len(at) else (at, at)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+    pat, psize = _runs(w.passage)
+    of = np.cumsum(w.paragraph)[pat] - 1
+    held = np.bincount(of, minlength=len(at))
+    part = np.arange(len(pat)) - (np.cumsum(held) - held)[of]
+    big, inner = size >= max(least, k), (psize >= max(LEAST, k)) & (held[of] > 1)
+    both = lambda x, y: np.concatenate([x, y])
+    return both(text[big], text[of[inner]]), both(place[big], place[of[inner]]), both(np.full(big.sum(), -1), part[inner]), both(at[big], pat[inner]), both(size[big], psize[inner])
+
+
+def _made(docs: DataFrame, stage: Stage, k: int, percent: int, least: int, long: int, bands: int, rows: int) -> DataFrame:
+    """Staged units that enough of is shared for a partner: doc, text (hash of the whole text), place, part, n, held
+    (shared shingles), same (id of the set), and for the first unit of a set in its portion members, prefix (keys),
+    cells, vector."""
     params = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _ODD[0]).reshape(bands, rows)
 
-    def run(batches):
-        for batch in batches:
-            for ids, texts_ in portions(batch):
-                out = [[], [], [], [], [], [], [], []]
-                for i, t in zip(ids, texts_):
-                    got = signatures(paragraphs(t, long), k, least, params, percent)
-                    if got is not None:
-                        for column, x in zip(out, (np.full(len(got[0]), i, np.int64), *got)):
-                            column.append(x)
-                if out[0]:
-                    doc, place, part, n, same, key, held, groups = map(np.concatenate, out)
-                    fixed = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
-                    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(key.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(n), fixed(same), keys, fixed(groups)], names=["doc", "place", "part", "n", "same", "prefix", "vector"])
-
-    return docs.mapInArrow(run, "doc long, place int, part int, n long, same binary, prefix array<long>, vector binary")
+    def describe(ids, texts_):
+        data = [t.encode() for t in texts_]
+        w = segmented(data, long)
+        text, place, part, first, size = _units(w, k, least)
+        name = np.array([xxhash.xxh64_intdigest(t, 42) for t in data], np.uint64).view(np.int64)
+        kept = {"doc": np.array(ids, np.int64)[text], "text": name[text], "place": place, "part": part, "first": first, "size": size, "words": np.array([len(w.h)])}
+        if len(w.h) < k:
+            return np.empty(0, np.uint64), np.empty(0, np.uint32), kept
+        with np.errstate(over="ignore"):
+            every = np.full(len(w.h) - k + 1, k, np.uint64)
+            for i in range(k):
+                every = mixed(every + w.h[i : len(w.h) - k + 1 + i] * _ODD[i % 5])
+        _, n = _runs(w.paragraph)
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(w.h))  # words to the end of the paragraph
+        whole = np.flatnonzero(left[: len(every)] >= k)
+        return every[whole], whole, kept
+
+    def assemble(kept, values, owners, logs):
+        first, t, total = kept["first"], kept["size"] - k + 1, int(kept["words"][0])
+        shared, value, log = np.zeros(total + 1, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint8)
+        shared[owners + 1], value[owners], log[owners] = 1, values, logs
+        before = np.cumsum(shared)
+        found = before[first + t] - before[first]
+        pick = np.flatnonzero(100 * found >= percent * t)
+        if not len(pick):
+            return None
+        unit = np.repeat(np.arange(len(pick)), t[pick])
+        at = np.arange(len(unit)) + np.repeat(first[pick] - (np.cumsum(t[pick]) - t[pick]), t[pick])
+        some = shared[at + 1] > 0
+        unit, at = unit[some], at[some]
+        order = np.lexsort((value[at], log[at], unit))
+        unit, v, c = unit[order], value[at][order], log[at][order]
+        new = np.r_[True, (v[1:] != v[:-1]) | (unit[1:] != unit[:-1])]
+        unit, v, c = unit[new], v[new], c[new]
+        held = np.bincount(unit, minlength=len(pick))
+        own = t[pick] - found[pick]  # shingles that stand here only
+        n = held + own
+        fit = 100 * held >= percent * n
+        edge = np.r_[0, np.cumsum(held)]
+        with np.errstate(over="ignore"):
+            same = np.stack([np.add.reduceat(mixed(v), edge[:-1]), np.add.reduceat(mixed(v ^ _ODD[1]), edge[:-1])], 1)
+        seen, out = set(), [[] for _ in range(11)]
+        for i in np.flatnonzero(fit).tolist():
+            x, logs_, size, j = v[edge[i] : edge[i + 1]], c[edge[i] : edge[i + 1]], int(n[i]), pick[i]
+            unit = [kept[name][j] for name in ("doc", "text", "place", "part")]
+            name = b"%d %d %d %d" % tuple(unit) if own[i] else same[i].tobytes()  # a set with a shingle of its own equals no other
+            row = [None] * 4
+            if name not in seen:
+                seen.add(name)
+                keys, cells = [], []
+                if percent * size <= 100 * SMALL:  # similar sets share one of their first shingles (prefix principle)
+                    p = int(held[i]) - -(-percent * size // 100) + 1
+                    keys.append(x[:p])
+                    cells.append(cells_of(logs_[:p]))
+                if size > SMALL:  # at a size of both, both are keys
+                    for column, y in zip((keys, cells), _bands(x, logs_, params)):
+                        column.append(y)
+                row = [np.sort(x).tobytes(), np.concatenate(keys).view(np.int64), np.concatenate(cells), vector_of(x, GROUPS)]
+            for column, y in zip(out, (*unit, size, held[i], name, *row)):
+                column.append(y)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc", "text", "place", "part", "n", "held", "same", "members", "prefix", "cells", "vector"])
+
+    return shared_elements(docs, describe, assemble, "doc long, text long, place int, part int, n long, held long, same binary, members binary, prefix array<long>, cells array<long>, vector binary", stage)
+
+
+def _bands(x: np.ndarray, logs: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each band of the MinHash signature, and the parts its bucket is cut into: no more units can be in it
+    than there are places of the rarest of its shingles."""
+    with np.errstate(over="ignore"):
+        ranked = mixed(x[None, :] ^ params.reshape(-1, 1))
+        where = ranked.argmin(1)
+        low = ranked[np.arange(len(ranked)), where].reshape(params.shape)
+        keys = np.arange(len(params), dtype=np.uint64)
+        for i in range(params.shape[1]):
+            keys = mixed(keys * _ODD[2] + low[:, i])
+    return keys, cells_of(logs[where].reshape(params.shape).min(1))
 
 
 def removals(docs: DataFrame, stage: Stage, k: int = 5, percent: int = 80, least: int = 5, long: int = 60, bands: int = 8, rows: int = 3) -> DataFrame:
-    """(doc, place, part, kept): paragraphs (part -1) and passages to remove, and the document of the unit that stays in
-    their place. docs: doc_id, text."""
-    made = stage.put(_rows(docs, k, percent, least, long, bands, rows))
-    least_of = F.min(F.struct("doc", "place", "part", "n", "prefix", "vector")).alias("rep")
-    reps = made.groupBy("same").agg(least_of, F.count(F.lit(1)).alias("units"))
-    reps = stage.put(reps.select("same", "rep.*", "units", F.monotonically_increasing_id().alias("doc_id")))
-    units = stage.put(made.select("doc", "place", "part", "same"))
-    stage.drop(made)
-
-    def sets(ids, few, narrow):
-        named = reps.select("doc_id", "doc", "place", "part").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        held = named.groupBy("doc").agg(F.collect_list(F.struct("place", "part", "doc_id")).alias("units"))
-        wanted = docs.join(F.broadcast(held) if few else held, F.col("doc_id") == F.col("doc"))
-
-        def run(batches):
-            for batch in batches:
-                for units, texts_ in portions(batch):
-                    pid, sets_ = [], []
-                    for own, t in zip(units, texts_):
-                        parts, cut = paragraphs(t, long), {}
-                        for u in own:
-                            text = parts[u["place"]]
-                            if u["part"] >= 0:
-                                if u["place"] not in cut:
-                                    cut[u["place"]] = passages(text)
-                                text = cut[u["place"]][u["part"]]
-                            pid.append(u["doc_id"])
-                            sets_.append(shingles(text, k).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(sets_, pa.binary()), pa.array([True] * len(pid), pa.bool_())], names=["doc_id", "members", "wide"])
-
-        return wanted.select("units", "text").mapInArrow(run, "doc_id long, members binary, wide boolean")
-
-    links = block_links(reps.select("doc_id", "n", "prefix", "vector"), {}, sets, percent, stage)
+    """(doc, text, place, part, kept): paragraphs (part -1) and passages to remove, and the document of the unit that
+    stays in their place. docs: doc_id, text; text in the result: its hash."""
+    made = _made(docs, stage, k, percent, least, long, bands, rows)
+    whole = ["n", "held", "members", "prefix", "cells", "vector"]
+    reps = made.groupBy("same").agg(*(F.first(c, True).alias(c) for c in whole), F.count(F.lit(1)).alias("units"))
+    reps = stage.put(reps.select("*", F.lit(None).cast("binary").alias("fine"), F.monotonically_increasing_id().alias("doc_id")))
+    links = block_links(reps.select("doc_id", *whole, "fine"), percent, stage)
     found = components(links).select(F.col("node").alias("doc_id"), "component")
     some = reps.select("same", "units", "doc_id").join(found, "doc_id", "left").where("units > 1 or component is not null").select("same", F.coalesce("component", "doc_id").alias("c"))
-    members = stage.put(units.join(some, "same").drop("same").distinct())
-    least_ = members.groupBy("c").agg(F.min(F.struct("doc", "place", "part")).alias("m"), F.min(F.when(F.col("part") < 0, F.struct("doc", "place"))).alias("lead"))
+    members = stage.put(made.select("doc", "text", "place", "part", "same").join(some, "same").drop("same").distinct())
+    stage.drop(made)
+    paragraph, unit = F.struct("doc", "text", "place"), F.struct("doc", "text", "place", "part")
+    least_ = members.groupBy("c").agg(F.min(unit).alias("m"), F.min(F.when(F.col("part") < 0, paragraph)).alias("lead"))
     # A passage that is its component's least may be in a paragraph that goes: there, the least paragraph stays.
-    paragraph = members.where("part < 0").join(least_, "c").where(F.struct("doc", "place", "part") != F.col("m")).select("doc", "place")
-    lost = least_.where("m.part >= 0").join(paragraph, (F.col("m.doc") == F.col("doc")) & (F.col("m.place") == F.col("place")), "left_semi")
+    going = members.where("part < 0").join(least_, "c").where(unit != F.col("m")).select(paragraph.alias("p"))
+    lost = least_.where("m.part >= 0").join(going, F.struct("m.doc", "m.text", "m.place") == F.col("p"), "left_semi")
     lead = least_.join(lost.select("c", F.lit(True).alias("lost")), "c", "left")
     lead = stage.put(lead.select("c", "m", F.when(F.col("lost") | (F.col("m.part") < 0), F.col("lead")).alias("lead")))
-    whole = members.where("part < 0").join(lead, "c").where(~F.coalesce(F.struct("doc", "place") == F.col("lead"), F.lit(False)))
-    whole = stage.put(whole.select("doc", "place", "part", F.coalesce("lead.doc", "m.doc").alias("kept")))
-    inner = stage.put(members.where("part >= 0").join(whole.select("doc", "place"), ["doc", "place"], "left_anti"))
-    first = inner.groupBy("c").agg(F.min(F.struct("doc", "place", "part")).alias("first"))
+    gone = members.where("part < 0").join(lead, "c").where(~F.coalesce(paragraph == F.col("lead"), F.lit(False)))
+    gone = stage.put(gone.select("doc", "text", "place", "part", F.coalesce("lead.doc", "m.doc").alias("kept")))
+    inner = stage.put(members.where("part >= 0").join(gone.select("doc", "text", "place"), ["doc", "text", "place"], "left_anti"))
+    first = inner.groupBy("c").agg(F.min(unit).alias("first"))
     inner = inner.join(first, "c").join(lead, "c")
-    stays = F.coalesce(F.struct("doc", "place") == F.col("lead"), F.struct("doc", "place", "part") == F.col("first"))
-    inner = inner.where(~stays).select("doc", "place", "part", F.coalesce("lead.doc", "first.doc").alias("kept"))
-    return whole.unionByName(inner)
+    stays = F.coalesce(paragraph == F.col("lead"), unit == F.col("first"))
+    inner = inner.where(~stays).select("doc", "text", "place", "part", F.coalesce("lead.doc", "first.doc").alias("kept"))
+    return gone.unionByName(inner)
 
 
 def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of docs: doc_id, n_removed (paragraphs and passages), removed (places of the paragraphs that go),
     passages (of paragraphs that stay, the passages that go: place of the paragraph, part), kept_in (documents that
-    keep a unit in place of one that goes here, this one included).
+    keep a unit in place of one that goes here, this one included), text_hash (which names the row with doc_id).
 
-    Null and empty texts, and texts of short lines only, keep everything. Rows that repeat a doc_id have to repeat
-    its text. Rows with a null doc_id keep everything. An empty table gives an empty result.
+    Null and empty texts, and texts of short lines only, keep everything; a paragraph or passage of under five words has
+    no shingle and stays. Rows that repeat a doc_id with another text are documents of their own; rows that repeat id and
+    text are one document, answered row by row. Rows with a null doc_id keep everything. An empty table gives an empty
+    result.
     """
     stage = Stage(docs.sparkSession, "paragraphs")
     base = texts(docs, id_col, text_col)
     gone = removals(base.where("doc_id is not null"), stage, **options)
     places = F.collect_set(F.when(F.col("part") < 0, F.col("place")))
     inner = F.collect_set(F.when(F.col("part") >= 0, F.struct("place", "part")))
-    each = gone.groupBy("doc").agg(F.array_sort(places).alias("removed"), F.array_sort(inner).alias("passages"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
+    each = gone.groupBy(F.col("doc").alias("doc_id"), F.col("text").alias("text_hash")).agg(F.array_sort(places).alias("removed"), F.array_sort(inner).alias("passages"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
     each = stage.put(each)
-    out = base.select("doc_id").join(each, F.col("doc_id") == F.col("doc"), "left")
+    out = base.select("doc_id", F.xxhash64("text").alias("text_hash")).join(each, ["doc_id", "text_hash"], "left")
     or_none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     removed, inner = or_none("removed", "array<int>"), or_none("passages", "array<struct<place:int,part:int>>")
-    return out.select("doc_id", (F.size(removed) + F.size(inner)).cast("long").alias("n_removed"), removed, inner, or_none("kept_in", "array<long>"))
+    return out.select("doc_id", (F.size(removed) + F.size(inner)).cast("long").alias("n_removed"), removed, inner, or_none("kept_in", "array<long>"), "text_hash")
 
 
 def without_paragraphs(docs: DataFrame, report: DataFrame, long: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text without the paragraphs and passages that a report removes."""
-    joined = texts(docs, id_col, text_col).join(report.where("n_removed > 0").select("doc_id", "removed", "passages").dropDuplicates(["doc_id"]), "doc_id", "left")
+    """doc_id and the text without the paragraphs and passages that a report of the same table removes.
+
+    Null texts come out empty; rows with a null doc_id and rows that the report does not name come out whole.
+    """
+    wanted = report.where("n_removed > 0").select("doc_id", "text_hash", "removed", "passages").dropDuplicates(["doc_id", "text_hash"])
+    joined = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"], "left")
 
     def run(batches):
         for batch in batches:
             kept = []
             for t, r, q in zip(batch.column("text"), batch.column("removed"), batch.column("passages")):
-                gone, inner = set(r.as_py() or ()), {}
-                for u in q.as_py() or ():
-                    inner.setdefault(u["place"], set()).add(u["part"])
-                parts = [(p if i not in inner else "".join(x for j, x in enumerate(passages(p)) if j not in inner[i])) for i, p in enumerate(paragraphs(t.as_py(), long)) if i not in gone] if gone or inner else [t.as_py()]
-                kept.append("".join(parts))
+                text, gone = t.as_py(), set(r.as_py() or ())
+                inner = {(u["place"], u["part"]) for u in q.as_py() or ()}
+                if gone or inner:
+                    data = text.encode()
+                    w = segmented([data], long)
+                    at = np.flatnonzero(w.passage)
+                    place = np.cumsum(w.paragraph)[at] - 1
+                    part = np.arange(len(at)) - np.searchsorted(place, place)
+                    cuts = [0, *w.start[at][1:].tolist(), len(data)]
+                    text = b"".join(data[a:b] for a, b, i, j in zip(cuts, cuts[1:], place.tolist(), part.tolist()) if i not in gone and (i, j) not in inner).decode()
+                kept.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], names=["doc_id", "text"])
 
     return joined.select("doc_id", "text", "removed", "passages").mapInArrow(run, "doc_id long, text string")
