@@ -30,6 +30,20 @@ def portions(batch: pa.RecordBatch, limit: int = PORTION) -> Iterator[tuple[list
         yield ids, texts
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:
+    """As portions, over the ends of batches: small batches make no small portions."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for more, some in portions(batch, limit):
+            n = sum(map(len, some))
+            if texts and (size + n > limit or len(texts) + len(some) > TEXTS):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids, texts, size = ids + more, texts + some, size + n
+    if texts:
+        yield ids, texts
+
+
 def map_texts(df: DataFrame, work: Callable[[list, list[str]], list], schema: str) -> DataFrame:
     """work(ids, texts) -> one list or array a column; df has doc_id and text."""
     target = to_arrow_schema(StructType.fromDDL(schema))

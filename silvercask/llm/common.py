@@ -24,8 +24,10 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share; a folder of our own only where none is set in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='silvercask-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 #: Spark's own setting that deletes an execution's shuffle files when it ends: a staged table has no use for them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Stage:
     """Tables written to the shared folder, so that a lost executor never costs more than one stage.
@@ -46,15 +51,19 @@ class Stage:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again. rows: how many at most go to Python at a time, where rows are large."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        settings = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {})
+        before = {k: self.spark.conf.get(k, "false" if k == CLEANUP else "10000") for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out

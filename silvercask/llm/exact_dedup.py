@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, low: int = 512, high: int = 4096, id_col: str =
     many = stage.put(groups.where("group_size > 1"))
     ids = made.join(many.select("recipe"), "recipe", "left_semi").select("doc_id")
     ids = F.broadcast(ids) if (many.agg(F.sum("group_size")).first()[0] or 0) <= BROADCAST_IDS else ids
-    moved = base.join(ids, "doc_id", "left_semi").select(F.explode(chunks(F.col("norm"), low, high)).alias("chunk"))
+    moved = base.join(ids.toDF("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.explode(chunks(F.col("norm"), low, high)).alias("chunk"))
     held = moved.groupBy(_identifier(F.col("chunk")).alias("id")).agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
     if not held.where("a <> b").isEmpty():  # an identifier of two chunks: let the chunks stand for themselves
         stage.drop(made, many)

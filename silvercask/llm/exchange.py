@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import portions
+from .arrow import gathered
 from .common import Stage
 
 #: Characters of a portion, and of the texts whose hashes meet in one range (8 to 10 bytes a word, so some 12 MB).
@@ -29,6 +29,8 @@ PIECE = 4_000_000
 RANGE = 8_000_000
 #: Bytes of a hash that are sent.
 SENT = 6
+#: Packed rows (or texts) that go to Python at a time.
+BLOBS = 128
 #: There are 2 ** 4 to 2 ** 20 ranges, by the length of all texts.
 BITS = (4, 20)
 
@@ -57,7 +59,7 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return {name: batch.column(name).values.to_numpy(zero_copy_only=False) for name in batch.schema.names}
 
 
-def _by(batches, name: str):
+def by_value(batches, name: str):
     """(value, rows) for each run of equal values of a column; holds the rows of one value."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -105,37 +107,36 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
 
     def send(batches):
         at, name = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for ids, texts in portions(batch, PIECE):
-                values, owners, kept = describe(ids, texts)
-                if 8 * SENT + bits < 64:
-                    low = np.uint64(64 - 8 * SENT - bits)
-                    values = values >> low << low
-                order = np.argsort(values, kind="stable")
-                values, owners = values[order], owners[order].astype(np.uint32)
-                first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
-                times = np.diff(np.r_[first, len(values)])
-                single = np.repeat(times == 1, times)
-                once, own = values[single], owners[single]
-                many, n = values[first[times > 1]], times[times > 1].astype(np.uint32)
-                kept = kept | {"_many": many, "_times": n, "_owners": owners[~single]}
-                edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-                x, y = np.append(np.searchsorted(once, edges), len(once)), np.append(np.searchsorted(many, edges), len(many))
-                some = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0))
-                width = max(1, (int(own.max()).bit_length() + 7) // 8) if len(own) else 1
-                cut = lambda a, e: pa.array([a[e[i] : e[i + 1]].tobytes() for i in some] + [None], pa.binary())
-                portion = at | name
-                name += 1
-                rows = len(some) + 1
-                columns = [pa.array([*some.tolist(), -1 - portion % 4093], pa.int64()), pa.array([portion] * rows, pa.int64()), pa.array([width] * rows, pa.int32())]
-                columns += [cut(_narrow(once << own_bits >> drop, SENT), x), cut(_narrow(own, width), x), cut(_narrow(many << own_bits >> drop, SENT), y), cut(n, y), pa.array([None] * len(some) + [pack(kept)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["range", "portion", "width", "once", "owner", "many", "times", "kept"])
+        for ids, texts in gathered(batches, PIECE):
+            values, owners, kept = describe(ids, texts)
+            if 8 * SENT + bits < 64:
+                low = np.uint64(64 - 8 * SENT - bits)
+                values = values >> low << low
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], owners[order].astype(np.uint32)
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(values)])
+            single = np.repeat(times == 1, times)
+            once, own = values[single], owners[single]
+            many, n = values[first[times > 1]], times[times > 1].astype(np.uint32)
+            kept = kept | {"_many": many, "_times": n, "_owners": owners[~single]}
+            edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            x, y = np.append(np.searchsorted(once, edges), len(once)), np.append(np.searchsorted(many, edges), len(many))
+            some = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0))
+            width = max(1, (int(own.max()).bit_length() + 7) // 8) if len(own) else 1
+            cut = lambda a, e: pa.array([a[e[i] : e[i + 1]].tobytes() for i in some] + [None], pa.binary())
+            portion = at | name
+            name += 1
+            rows = len(some) + 1
+            columns = [pa.array([*some.tolist(), -1 - portion % 4093], pa.int64()), pa.array([portion] * rows, pa.int64()), pa.array([width] * rows, pa.int32())]
+            columns += [cut(_narrow(once << own_bits >> drop, SENT), x), cut(_narrow(own, width), x), cut(_narrow(many << own_bits >> drop, SENT), y), cut(n, y), pa.array([None] * len(some) + [pack(kept)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "portion", "width", "once", "owner", "many", "times", "kept"])
 
     found = "range long, portion long, width int, value binary, owner binary, log binary, many binary, kept binary"
     names = ["range", "portion", "width", "value", "owner", "log", "many", "kept"]
 
     def count(batches):
-        for key, rows in _by(batches, "range"):
+        for key, rows in by_value(batches, "range"):
             if key < 0:
                 none = pa.nulls(rows.num_rows, pa.binary())
                 yield from pa.Table.from_arrays([rows.column("range"), rows.column("portion"), rows.column("width"), none, none, none, none, rows.column("kept")], names=names).to_batches()
@@ -160,7 +161,7 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:]), pa.nulls(len(out[0]), pa.binary())], names=names)
 
     def settle(batches):
-        for _, rows in _by(batches, "portion"):  # by range: what was kept comes first, then the hashes in order
+        for _, rows in by_value(batches, "portion"):  # by range: what was kept comes first, then the hashes in order
             kept = unpack(next(x.as_py() for x in rows.column("kept") if x.is_valid))
             many, times, own = kept.pop("_many"), kept.pop("_times"), kept.pop("_owners")
             logs, width = _array(rows.column("many"), "u1"), rows.column("width")[0].as_py()
@@ -172,4 +173,4 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
                 yield batch
 
     met = docs.mapInArrow(send, sent).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(count, found)
-    return stage.put(met.repartition(tasks, "portion").sortWithinPartitions("portion", "range").mapInArrow(settle, schema))
+    return stage.put(met.repartition(tasks, "portion").sortWithinPartitions("portion", "range").mapInArrow(settle, schema), rows=BLOBS)

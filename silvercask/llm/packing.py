@@ -10,22 +10,22 @@ documents get their places in it by rank among the pieces of their length. Ranks
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from tokenizers import Tokenizer
 
 from .arrow import portions
 from .common import Stage, documents, texts
-from .token_counts import byte_symbols
 
 #: Pieces of one length that are ranked together, about.
 RANKED = 500_000
@@ -111,21 +111,18 @@ def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {a: np.array(rows, np.int64) for a, rows in found.items()}
 
 
-_encodings: dict[str, tiktoken.Encoding] = {}
+_tokenizers: dict[str, Tokenizer] = {}
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a tokenizers file: its ids are in the order of its merges, as this library needs."""
-    if path not in _encodings:
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            j = json.load(f)
-        place = {m: b for b, m in enumerate(byte_symbols())}
-        special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        ranks = {bytes(place[c] for c in s): i for s, i in j["model"]["vocab"].items() if s not in special}
-        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _encodings[path]
+def tokenizer(path: str) -> Tokenizer:
+    """The file's tokenizer, once in each Python worker; a task is one thread of a cluster, so it starts none of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _tokenizers:
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        _tokenizers[path] = t
+    return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,14 +131,12 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "do
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        enc = encoding(path)
-        special = list(enc._special_tokens)
+        enc = tokenizer(path)
         for batch in batches:
-            for ids, texts_ in portions(batch):
+            for ids, texts_ in portions(batch, 200_000):
                 rows = []
-                for i, t in zip(ids, texts_):
-                    got = enc.encode(t, allowed_special="all") if any(s in t for s in special) else enc.encode_ordinary(t)
-                    a = np.array([*got, end_id], "<u4")
+                for i, got in zip(ids, enc.encode_batch_fast(texts_, add_special_tokens=False)):
+                    a = np.array([*got.ids, end_id], "<u4")
                     cuts = [0, *range(len(a) % size or size, len(a) + 1, size)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                         crc = zlib.crc32(a[x:y].tobytes())

@@ -157,9 +157,8 @@ def _made(docs: DataFrame, stage: Stage, k: int, percent: int, least: int, long:
     def describe(ids, texts_):
         data = [t.encode() for t in texts_]
         w = segmented(data, long)
-        text, place, part, first, size = _units(w, k, least)
         name = np.array([xxhash.xxh64_intdigest(t, 42) for t in data], np.uint64).view(np.int64)
-        kept = {"doc": np.array(ids, np.int64)[text], "text": name[text], "place": place, "part": part, "first": first, "size": size, "words": np.array([len(w.h)])}
+        kept = {"doc": np.array(ids, np.int64), "text": name, "words": np.bincount(w.text, minlength=len(ids)).astype(np.int32), "paragraph": np.packbits(w.paragraph), "passage": np.packbits(w.passage)}
         if len(w.h) < k:
             return np.empty(0, np.uint64), np.empty(0, np.uint32), kept
         with np.errstate(over="ignore"):
@@ -172,7 +171,11 @@ def _made(docs: DataFrame, stage: Stage, k: int, percent: int, least: int, long:
         return every[whole], whole, kept
 
     def assemble(kept, values, owners, logs):
-        first, t, total = kept["first"], kept["size"] - k + 1, int(kept["words"][0])
+        total, of = int(kept["words"].sum()), np.repeat(np.arange(len(kept["doc"])), kept["words"])
+        flags = (np.unpackbits(kept[c], count=total).astype(bool) for c in ("paragraph", "passage"))
+        text, place, part, first, size = _units(Words(of, of, of, *flags), k, least)
+        unit_of = {"doc": kept["doc"][text], "text": kept["text"][text], "place": place, "part": part}
+        t = size - k + 1
         shared, value, log = np.zeros(total + 1, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint8)
         shared[owners + 1], value[owners], log[owners] = 1, values, logs
         before = np.cumsum(shared)
@@ -198,17 +201,20 @@ def _made(docs: DataFrame, stage: Stage, k: int, percent: int, least: int, long:
         seen, out = set(), [[] for _ in range(11)]
         for i in np.flatnonzero(fit).tolist():
             x, logs_, size, j = v[edge[i] : edge[i + 1]], c[edge[i] : edge[i + 1]], int(n[i]), pick[i]
-            unit = [kept[name][j] for name in ("doc", "text", "place", "part")]
+            unit = [x[j] for x in unit_of.values()]
+            alone = 100 * size < percent * (size + 1)  # so small that only an equal set is similar
+            if alone and own[i]:
+                continue
             name = b"%d %d %d %d" % tuple(unit) if own[i] else same[i].tobytes()  # a set with a shingle of its own equals no other
             row = [None] * 4
             if name not in seen:
                 seen.add(name)
-                keys, cells = [], []
-                if percent * size <= 100 * SMALL:  # similar sets share one of their first shingles (prefix principle)
+                keys, cells = [x[:0]], [logs_[:0].astype(np.int64)]
+                if not alone and percent * size <= 100 * SMALL:  # similar sets share one of their first shingles (prefix principle)
                     p = int(held[i]) - -(-percent * size // 100) + 1
                     keys.append(x[:p])
                     cells.append(cells_of(logs_[:p]))
-                if size > SMALL:  # at a size of both, both are keys
+                if not alone and size > SMALL:  # at a size of both, both are keys
                     for column, y in zip((keys, cells), _bands(x, logs_, params)):
                         column.append(y)
                 row = [np.sort(x).tobytes(), np.concatenate(keys).view(np.int64), np.concatenate(cells), vector_of(x, GROUPS)]

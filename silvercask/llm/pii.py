@@ -61,7 +61,7 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind, those that fail their check dropped; by start, then kind."""
     found = _emails(text)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -93,7 +93,7 @@ def own_features(word: str) -> list[str]:
     short = re.sub(r"(.)\1+", r"\1+", s)
     digits, hexes = s.count("d"), sum(c in "0123456789abcdef" for c in word[:48])
     mixed = "d" in s and ("x" in s or "X" in s)
-    return ["s:" + s[:24], "c:" + short[:24], f"d:{min(digits, 12)}", f"l:{min(len(word), 48) // 6}", f"m:{mixed}:{min(len(word), 48) // 8}", f"h:{hexes >= 0.8 * len(word) and mixed}", "w:" + word.lower()[:24], "k:" + re.split(r"[=:]", word.lower())[0][:16] + "=" if "=" in word else "k:-"]
+    return ["s:" + s[:24], "c:" + short[:24], f"d:{min(digits, 12)}", f"l:{min(len(word), 48) // 6}", f"m:{mixed}:{min(len(word), 48) // 8}", f"h:{hexes >= 0.8 * min(len(word), 48) and mixed}", "w:" + word.lower()[:24], "k:" + re.split(r"[=:]", word.lower())[0][:16] + "=" if "=" in word else "k:-"]
 
 
 def near_features(word: str) -> list[str]:
@@ -170,7 +170,7 @@ class Crf:
         if found is None:
             none, near = np.zeros(len(self.labels)), near_features(word)
             found = np.array([sum((self.tables[k].get(f, none) for f in fs), none) for k, fs in enumerate((own_features(word), near, near))])
-            if key and len(self.alike) < 100_000:
+            if key and len(self.alike) < 30_000:
                 self.alike[key] = found
         self.rows[:, i] = found
         self.known[word] = i
@@ -178,7 +178,7 @@ class Crf:
 
     def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
         """The most probable labels of each line's words, all lines at once, the longest first."""
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known, self.rows = {}, np.zeros((3, 1024, len(self.labels)))
         known = self.known
         lens = np.array([len(x) for x in lines])

@@ -1,12 +1,13 @@
 """Scores by a gated recurrent language model, trained and run in numpy.
 
 Counts of all training tokens are exact and distributed. The commonest ``table`` tokens have their counts sent to the
-tasks, and the rest are joined. The commonest ``vocabulary`` of them are the model's words, sorted into classes of equal size by rank; p(word) = p(class | state) * p(word | class, state). Rarer
-words go through one unknown word, and share its probability by their smoothed counts. Training reads all training
-documents once: each task trains a copy by truncated backpropagation over windows of ``window`` tokens, many documents
-side by side, each with its own state that is carried from window to window; the copies' weights are averaged, weighted by
-tokens, in an aggregation. That is done in ``rounds``, each over its share of the documents and from the weights of the
-one before. Scoring carries the state through whole documents in the same way.
+tasks, and the rest are joined. The commonest ``vocabulary`` of them are the model's words, sorted into classes of equal
+size by rank; p(word) = p(class | state) * p(word | class, state). Rarer words go through one unknown word, and share its
+probability by their smoothed counts. Training reads all training documents once: they are dealt to shards by their ids,
+and each shard trains a copy by truncated backpropagation over windows of ``window`` tokens, many documents side by side,
+each with its own state that is carried from window to window; the copies' weights are averaged, weighted by tokens, in an
+aggregation. That is done in ``rounds``, each over its share of the documents and from the weights of the one before.
+Scoring carries the state through whole documents in the same way.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .arrow import PORTION, portions
 from .common import Stage, documents, texts
+from .exchange import by_value
 from .shingles import words
 
 END = b"\n"  # no word has it
+#: Weights are averaged as whole multiples of one part in this.
+FIXED = float(1 << 32)
 
 
 class Model:
@@ -199,68 +203,114 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int = 65536, hidden: int = 16, window: int = 32, lanes: int = 512, rate: float = 0.1, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The (token, n) with the greatest n, at most ``most``, sorted by n and token; of those that are just as common as the last, some by
+    their hash. Two small histograms find the cut, so that the driver gets no more rows than that."""
+    size = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("long")
+    slot = F.pmod(F.xxhash64("token"), F.lit(1 << 16))
+    left, cut = most, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["size"]):  # some 4,000 rows at most
+        if r["c"] > left:
+            cut = r["size"]
+            break
+        left -= r["c"]
+    whole = size > cut if cut is not None else F.lit(True)
+    if cut is not None and left:
+        edge = 0
+        for r in sorted(counts.where(size == cut).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: r["slot"]):  # 65,536 rows at most
+            if r["c"] > left:
+                break
+            left, edge = left - r["c"], r["slot"] + 1
+        whole = whole | ((size == cut) & (slot < edge))
+    return sorted(((bytes(r["token"]), r["n"]) for r in counts.where(whole).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def _groups(batches, size: int):
+    """Texts of a sorted stream in groups of some ``size`` characters, wherever the batches end."""
+    held, n = [], 0
+    for batch in batches:
+        for t in batch.column("text"):
+            t = t.as_py()
+            if held and n + len(t) > size:
+                yield held
+                held, n = [], 0
+            held.append(t)
+            n += len(t)
+    if held:
+        yield held
+
+
+def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int = 65536, hidden: int = 16, window: int = 32, lanes: int = 512, rate: float = 0.1, rounds: int = 4, shard_size: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0 (a null doc_id is not learnt from). Null and
     empty texts are one end token. Without training tokens every word is unknown, and base_score is a sum of
-    log10(0.1 / 0.1). Rows that repeat a doc_id are scored one by one. Scores are log10.
+    log10(0.1 / 0.1). Rows that repeat a doc_id are scored one by one. Scores are log10, and but for rounding a function of
+    the table: what a shard of some ``shard_size`` characters learns does not depend on partitions.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "lm")
     base = texts(docs, id_col, text_col)
     mine = F.coalesce(~held_out(), F.lit(False))
     counts = stage.put(_counts(base.where(mine)))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(max(table, vocabulary) - 2).collect()  # bounded by table
-    known_n = {bytes(r["token"]): r["n"] for r in top}
+    ends = next((r["n"] for r in counts.where(F.col("token") == F.lit(END)).collect()), 0)
+    top = commonest(counts.where(F.col("token") != F.lit(END)), max(table, vocabulary) - 2)
+    known_n = dict(top) | {END: ends}
     top = top[: vocabulary - 2]
-    ids = {END: 1, **{bytes(r["token"]): i + 2 for i, r in enumerate(top)}}
-    known_n[END] = next((r["n"] for r in counts.where(F.col("token") == F.lit(END)).collect()), 0)
+    ids = {END: 1, **{token: i + 2 for i, (token, _) in enumerate(top)}}
     size = 2 + len(top)
-    rare_tokens, rare_kinds = total - sum(r["n"] for r in top) - known_n[END], kinds - len(top) - (known_n[END] > 0)
-    frequency = np.array([rare_tokens, known_n[END], *(r["n"] for r in top)], np.float64)
+    rare_tokens, rare_kinds = total - sum(n for _, n in top) - ends, kinds - len(top) - (ends > 0)
+    frequency = np.array([rare_tokens, ends, *(n for _, n in top)], np.float64)
 
-    def numbered(texts_):
+    def numbered(split):
         out = []
-        for t in texts_:
-            w = words(t)
-            out.append(np.fromiter((ids.get(x, 0) for x in w), np.int64, len(w)) if w else np.empty(0, np.int64))
-            out[-1] = np.append(out[-1], 1)
+        for w in split:
+            line = np.ones(len(w) + 1, np.int64)
+            line[:-1] = np.fromiter((ids.get(x, 0) for x in w), np.int64, len(w))
+            out.append(line)
         return out
 
     weights = Model(size, hidden, frequency).vector()
 
     def train(start):
         def work(batches):
-            model, seen = Model(size, hidden).load(start), 0
-            for batch in batches:
-                for _, texts_ in portions(batch, 16 * PORTION):
-                    d = numbered(texts_)
+            for shard, rows in by_value(batches, "shard"):
+                model, seen = Model(size, hidden).load(start), 0
+                for texts_ in _groups(rows.to_batches(), 4 * PORTION):
+                    d = numbered([words(t) for t in texts_])
                     run(model, d, lanes, window, rate)
                     seen += sum(map(len, d))
-            if seen:
-                flat = model.vector()
+                flat = np.rint(model.vector().astype(np.float64) * FIXED).astype(np.int64)
                 parts = np.array_split(np.arange(len(flat)), max(1, len(flat) // 4096))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p].astype(np.float64) for p in parts], pa.list_(pa.float64()))], names=["part", "seen", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p] for p in parts], pa.list_(pa.int64()))], names=["part", "seen", "weights"])
 
         return work
 
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
+    # A shard's documents and their order come from the ids and texts alone, and copies are added up in whole numbers, so
+    # the model does not depend on how the table is cut into partitions or in which order tasks end.
+    characters = base.where(mine).agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, int(characters // shard_size))
+    drawn = F.xxhash64("doc_id", F.lit(11))
+    dealt = base.where(mine).select(F.pmod(drawn, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(drawn, 20), F.lit(shards)).alias("shard"), "doc_id", "text")
     for turn in range(rounds if total else 0):
-        copies = stage.put(base.where(mine & (share == turn)).mapInArrow(train(weights), "part int, seen long, weights array<double>"))
-        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
-        learnt = each.orderBy("part", "i").collect()  # the model's size, whatever the corpus
-        weights = np.array([r["w"] for r in learnt], np.float32) if learnt else weights
+        rows = dealt.where(F.col("round") == turn).select("shard", "doc_id", "text")
+        rows = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc_id", "text")
+        copies = stage.put(rows.mapInArrow(train(weights), "part int, seen long, weights array<long>"))
+        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).alias("w"), F.sum("seen").alias("seen"))
+        learnt = sorted(each.collect(), key=lambda r: (r["part"], r["i"]))  # the model's size, whatever the corpus
+        weights = np.array([int(r["w"]) / r["seen"] / FIXED for r in learnt], np.float32) if learnt else weights
+        stage.drop(copies)
 
     def score(batches):
         model = Model(size, hidden).load(weights)
         for batch in batches:
-            for own, texts_ in portions(batch, 16 * PORTION):
-                docs_ = numbered(texts_)
+            for own, texts_ in portions(batch, 4 * PORTION):
+                split = [words(t) for t in texts_]
+                docs_ = numbered(split)
                 natural = run(model, docs_, lanes, 64) / math.log(10)
                 rows, low = [], math.log10(rare_tokens + 0.1 * (rare_kinds + 1))
-                for i, t in enumerate(texts_):
-                    seen = Counter(words(t))
+                for i, w in enumerate(split):
+                    seen = Counter(w)
                     frequent = [(known_n[x], k) for x, k in seen.items() if x in known_n] + [(known_n[END], 1)]
                     natural[i] += sum(k * (math.log10(known_n[x] + 0.1) - low) for x, k in seen.items() if x in known_n and x not in ids)
                     rare = [(x, k) for x, k in seen.items() if x not in known_n]

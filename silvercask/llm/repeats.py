@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import PORTION, portions
@@ -37,6 +38,9 @@ CROWD = 20_000
 #: Ids (8 bytes each) and bytes of spans that are broadcast at most.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
+#: Where ids repeat with different texts: bits of a key for the texts of an id, and for the ids of a sorted partition.
+VARIANT_BITS, PLACE_BITS = 22, 27
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,8 +86,8 @@ def anchors(data: bytes, width: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 5
 
 
-def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(h, e, doc, place); place packs start, anchor - start and length.
+def _anchor_rows(docs: DataFrame, width: int, shift: int) -> DataFrame:
+    """(h, e, doc, place); place packs start, anchor - start and length. Documents are compared without their ``shift`` low bits.
 
     Contexts that repeat within an Arrow batch are settled here: all but the one in the smallest document come out
     with e null and a random h, as spans to remove. So a context of very many documents costs a row a batch.
@@ -101,7 +105,7 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 h, e, doc, place = h[order], e[order], doc[order], place[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])] if len(h) else np.empty(0, bool)
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
-                again = doc > least
+                again = (doc >> shift) > (least >> shift)
                 h = np.where(again, mixed(doc.view(np.uint64) ^ h.view(np.uint64)).view(np.int64), h)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(e, mask=again), pa.array(doc), pa.array(place)], names=["h", "e", "doc", "place"])
 
@@ -186,10 +190,10 @@ def context_spans(h: np.ndarray, doc: np.ndarray, contexts: list[bytes], width:
     start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     group = np.searchsorted(np.unique(h), h)
+    ends = np.r_[0, np.cumsum(windows)]
     for a, b in _portions(group, windows):  # whole anchors, some 100 000 suffixes at a time
-        pick = np.flatnonzero((row >= a) & (row < b)) if (a, b) != (0, len(contexts)) else np.arange(len(row))
-        r, s = row[pick], start[pick]
-        suffix = np.pad(text, ((0, 0), (0, top)))[r[:, None], s[:, None] + np.arange(top)]
+        r, s = row[ends[a] : ends[b]], start[ends[a] : ends[b]]
+        suffix = np.pad(text[a:b], ((0, 0), (0, top)))[(r - a)[:, None], s[:, None] + np.arange(top)]
         key = np.concatenate([np.ascontiguousarray(group[r].astype(">u4")).view(np.uint8).reshape(-1, 4), suffix], axis=1)
         order = _sorted_rows(key)
         r, s, suffix = r[order], s[order], suffix[order]
@@ -232,15 +236,17 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[last]], axis=1)
 
 
-def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
-    """(doc, spans binary of int64 pairs): what is to be removed from each document that has something to remove."""
-    seen = stage.put(_shared(_anchor_rows(docs, width)))
+def repeat_spans(docs: DataFrame, width: int, stage: Stage, shift: int = 0) -> DataFrame:
+    """(doc, spans binary of int64 pairs): what is to be removed from each document that has something to remove. Of two
+    documents that differ in their ``shift`` low bits only, none is smaller."""
+    smaller = F.shiftright("least", shift) < F.shiftright("doc", shift)
+    seen = stage.put(_shared(_anchor_rows(docs, width, shift)))
     least = stage.put(seen.where("e is not null").groupBy("h", "e").agg(F.min("doc").alias("least")))
     marked = seen.where("e is not null").join(least, ["h", "e"])
     start, size = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
-    inner = stage.put(seen.where("e is null").unionByName(marked.where("least < doc").drop("least")).select("doc", start.alias("a"), (start + size).alias("b")))
+    inner = stage.put(seen.where("e is null").unionByName(marked.where(smaller).drop("least")).select("doc", start.alias("a"), (start + size).alias("b")))
     many = stage.put(least.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"))
-    first = marked.where("least = doc").join(many, "h").select("doc", F.struct("h", "place", "contexts").alias("r"))
+    first = marked.where(~smaller).join(many, "h").select("doc", F.struct("h", "place", "contexts").alias("r"))
     asked = stage.put(first.groupBy("doc").agg(F.collect_list("r").alias("rs")))  # a document's own anchors
     few = asked.count() <= BROADCAST_IDS
     holders = docs.join(F.broadcast(asked.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi") if few else docs
@@ -264,7 +270,7 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
             return
         t = pa.Table.from_batches(parts).sort_by([("h", "ascending")])
         h, doc, at = (t.column(c).to_numpy() for c in ("h", "doc", "at"))
-        found = context_spans(h, doc, [x.as_py() for x in t.column("context")], width)
+        found = context_spans(h, doc >> shift, [x.as_py() for x in t.column("context")], width)
         n = [len(f) for f in found]
         flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2) + np.repeat(at, n)[:, None]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc", "a", "b"])
@@ -274,7 +280,7 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
     windows = crowd.select("doc", "at", "context", F.explode(F.sequence(F.lit(1), F.length("context") - width + 1)).alias("i"))
     windows = windows.select("doc", (F.col("at") + F.col("i") - 1).alias("a"), F.expr(f"substring(context, i, {width})").alias("w"))
     smallest = windows.groupBy("w").agg(F.min("doc").alias("least"))
-    crowded = windows.join(smallest, "w").where("least < doc").select("doc", "a", (F.col("a") + width).alias("b"))
+    crowded = windows.join(smallest, "w").where(smaller).select("doc", "a", (F.col("a") + width).alias("b"))
     every = inner.unionByName(outer).unionByName(crowded).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("s"))
 
     def merge(batches):
@@ -289,18 +295,40 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage) -> DataFrame:
     return out
 
 
+def _keys(docs: DataFrame, stage: Stage) -> DataFrame:
+    """(id, hash, key) for the distinct texts of each id: keys are in the order of the ids, and differ for the texts of
+    one id in their low bits only."""
+    each = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).distinct()
+    texts_ = stage.put(each.withColumn("variant", F.row_number().over(W.partitionBy("id").orderBy("hash")) - 1))
+    ordered = stage.put(texts_.select("id").distinct().orderBy("id").withColumn("place", F.monotonically_increasing_id()))
+    low, task = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("place", 33)
+    most = ordered.agg(F.max(low).alias("low"), F.max(task).alias("task")).first()
+    if most.low >= 1 << PLACE_BITS or most.task >= 1 << (63 - PLACE_BITS - VARIANT_BITS) or (texts_.agg(F.max("variant")).first()[0] or 0) >= 1 << VARIANT_BITS:
+        raise ValueError("too many ids in one sorted partition, or texts of one id")
+    rank = F.shiftleft(F.shiftleft(task, PLACE_BITS) + low, VARIANT_BITS)
+    return texts_.join(ordered.select("id", rank.alias("rank")), "id").select("id", "hash", (F.col("rank") + F.col("variant")).alias("key"))
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, kept text (bytes), spans; as digest: n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null text counts as empty. Texts shorter than ``width`` bytes keep everything. Rows that repeat a doc_id have to
-    repeat its text, and are answered one by one; a string in two rows of one id does not count as a repeat. Rows
-    with a null doc_id keep everything. Kept bytes need not be valid UTF-8, since spans are spans of bytes.
+    Null text counts as empty. Texts shorter than ``width`` bytes keep everything. Rows that repeat a doc_id, with the
+    same text or another, are answered one by one; a string in two rows of one id does not count as a repeat. Rows
+    with a null doc_id keep everything. Kept bytes need not be valid UTF-8, since spans are spans of bytes. An empty
+    table gives an empty result.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "repeats")
     base = texts(docs, id_col, text_col)
-    spans = repeat_spans(base.where("doc_id is not null"), width, stage)
+    known, shift = base.where("doc_id is not null"), 0
+    several = known.groupBy("doc_id").agg((F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several"))
+    if several.where("several").isEmpty():
+        base = base.withColumn("key", F.col("doc_id"))
+    else:
+        keys, shift = _keys(known, stage), VARIANT_BITS
+        base = base.join(keys, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left").select("doc_id", "text", "key")
+    spans = repeat_spans(base.where("key is not null").select(F.col("key").alias("doc_id"), "text"), width, stage, shift)
     size = spans.agg(F.sum(F.length("spans") + 16)).first()[0] or 0
-    joined = base.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, base["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
+    joined = base.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, base["key"] == spans["doc"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:

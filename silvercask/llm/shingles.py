@@ -12,7 +12,7 @@ import xxhash
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Words whose hashes a Python worker keeps.
-KEPT = 500_000
+KEPT = 200_000
 
 
 class _Hashes(dict):
