@@ -1,248 +1,8 @@
-"""Named queries over the driver tables, each with the SQL it must agree with.
-
-The tables stand for the model: customer = patient, orders = study, (order, supplier) = series, lineitem = instance,
-events = log, documents = text findings and payloads, pages = URLs.
-"""
+"""Named queries over the driver tables, each with the SQL it must agree with where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from ..functions import scalars as S
-from ..operators import codec, deid, phi
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-_SCORE = f"""greatest(CASE WHEN regexp_matches(text, '{phi.DATE}') THEN 90 ELSE 0 END, CASE WHEN regexp_matches(text, '{phi.PHONE}') THEN 95 ELSE 0 END,
- CASE WHEN regexp_matches(text, '{phi.EMAIL}') THEN 100 ELSE 0 END, CASE WHEN regexp_matches(text, '{phi.MRN}') THEN 95 ELSE 0 END)"""
-
-
-@query(f"SELECT lang, CASE WHEN s >= 50 THEN 'redact' ELSE 'keep' END AS decision, s AS score, count(*) AS n FROM (SELECT lang, {_SCORE} AS s FROM documents) GROUP BY ALL")
-def phi_pattern_scores(spark, sf):
-    d = table(spark, sf, "documents").select("lang", phi.pattern_score(F.col("text")).alias("score"))
-    return d.groupBy("lang", F.when(F.col("score") >= phi.REDACT, "redact").otherwise("keep").alias("decision"), "score").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""WITH k AS (SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]+', '', 'g') AS v FROM customer WHERE c_custkey % 100 = 0),
-t AS (SELECT c_custkey AS id, regexp_replace(upper(c_name), '[^A-Z0-9]+', '', 'g') AS v FROM customer)
-SELECT k.c_custkey AS known, count(*) AS n FROM k JOIN t ON k.v = t.v OR (length(k.v) >= 4 AND length(t.v) >= 4 AND (contains(k.v, t.v) OR contains(t.v, k.v)
- OR (levenshtein(k.v, t.v) <= 2 AND levenshtein(k.v, t.v) / greatest(length(k.v), length(t.v)) <= 0.35))) GROUP BY 1""")
-def phi_fuzzy_known_values(spark, sf):
-    c = table(spark, sf, "customer")
-    known = c.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("known"), phi.normalized(F.col("c_name")).alias("a"))
-    tokens = c.select(phi.normalized(F.col("c_name")).alias("b"))
-    return phi.fuzzy_pairs(known, tokens).join(known, "a").join(tokens, "b").groupBy("known").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def phi_fuzzy_document_tokens(spark, sf):
-    """All customers against all tokens of the documents, with how often the matching tokens occur."""
-    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("known"), phi.normalized(F.col("c_name")).alias("a"))
-    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    tokens = words.groupBy(phi.normalized(F.col("word")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return phi.fuzzy_pairs(known, tokens).join(known, "a").join(tokens, "b").groupBy("known").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_tokens"))
-
-
-_ITEMS = """SELECT concat('1.2.840.', CASE WHEN l_orderkey % 17 = 0 THEN '0' ELSE '' END, l_orderkey) AS study, concat('1.2.840.', l_orderkey, '.', l_suppkey) AS series,
- concat('1.2.840.', l_orderkey, '.', l_suppkey, '.', l_linenumber) AS sop, l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 8 AS modality, l_quantity, l_orderkey FROM lineitem"""
-
-
-def items(spark, sf):
-    pre = F.when(F.col("l_orderkey") % 17 == 0, "0").otherwise("")
-    series = F.concat(F.lit("1.2.840."), F.col("l_orderkey"), F.lit("."), F.col("l_suppkey"))
-    return table(spark, sf, "lineitem").select(F.concat(F.lit("1.2.840."), pre, F.col("l_orderkey")).alias("study"), series.alias("series"), F.concat(series, F.lit("."), F.col("l_linenumber")).alias("sop"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 8).alias("modality"), "l_quantity", "l_orderkey")
-
-
-@query(f"""SELECT study, count(*) AS n, count(DISTINCT series) AS n_series, string_agg(DISTINCT CAST(modality AS VARCHAR), '/' ORDER BY CAST(modality AS VARCHAR)) AS modalities FROM ({_ITEMS}) GROUP BY 1""")
-def catalog_payload(spark, sf):
-    return items(spark, sf).groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("series").alias("n_series"), F.array_join(F.array_sort(F.collect_set(F.col("modality").cast("string"))), "/").alias("modalities"))
-
-
-@query(f"""WITH u AS (SELECT * FROM ({_ITEMS}) UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM ({_ITEMS}) WHERE l_orderkey % 50 = 0),
-d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY study, series, sop ORDER BY seq) = 1)
-SELECT sop, concat('Study_', right(study, 28)) AS study_dir, concat('Series_', lpad(CAST(modality AS VARCHAR), 3, '0'), '_', right(series, 28)) AS series_dir, seq FROM d
-WHERE length(study) <= 64 AND regexp_matches(study, '^([0-9]|[1-9][0-9]*)(\\.([0-9]|[1-9][0-9]*))*$')""")
-def manifest_build(spark, sf):
-    i = items(spark, sf)
-    u = i.unionByName(i.where("l_orderkey % 50 = 0").withColumn("seq", F.col("seq") + 1000000000))
-    first = u.groupBy("study", "series", "sop").agg(F.min("seq").alias("seq"), F.min_by("modality", "seq").alias("modality"))
-    ok = first.where(S.valid_uid(F.col("study")).isNotNull())
-    return ok.select("sop", F.concat(F.lit("Study_"), S.short_uid(F.col("study"))).alias("study_dir"), F.concat(F.lit("Series_"), S.series_number(F.col("modality").cast("string")), F.lit("_"), S.short_uid(F.col("series"))).alias("series_dir"), "seq")
-
-
-@query("""WITH s AS (SELECT o_custkey AS patient, concat(o_orderkey, '.1111111111222222222233333333') AS uid, o_orderkey AS seq FROM orders),
-b AS (SELECT patient, uid, concat('Study_', right(uid, 28)) AS base, seq FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY patient, base ORDER BY seq) AS k FROM b)
-SELECT uid, CASE WHEN k = 1 THEN base ELSE concat(left(base, 120 - 4 - greatest(2, length(CAST(k AS VARCHAR)))), '_DUP', CASE WHEN k < 10 THEN '0' ELSE '' END, k) END AS dir FROM r""")
-def manifest_collisions(spark, sf):
-    s = table(spark, sf, "orders").select(F.col("o_custkey").alias("patient"), F.concat(F.col("o_orderkey"), F.lit(".1111111111222222222233333333")).alias("uid"), F.col("o_orderkey").alias("seq"))
-    b = s.withColumn("base", F.concat(F.lit("Study_"), S.short_uid(F.col("uid"))))
-    k = F.row_number().over(W.partitionBy("patient", "base").orderBy("seq"))
-    tail = F.concat(F.lit("_DUP"), S.pad_left(F.col("k").cast("string"), 2))
-    return b.withColumn("k", k).select("uid", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat(F.left("base", 120 - F.length(tail)), tail)).alias("dir"))
-
-
-@query(f"""WITH e AS (SELECT series, modality, max(l_quantity) AS frames, bool_or(l_quantity > 1) AS multi FROM ({_ITEMS}) GROUP BY 1, 2)
-SELECT modality, count(*) AS total, count(*) FILTER (WHERE multi) AS multiframe, max(frames) AS max_frames FROM e GROUP BY 1""")
-def modality_summary(spark, sf):
-    e = items(spark, sf).groupBy("series", "modality").agg(F.max("l_quantity").alias("frames"))
-    return e.groupBy("modality").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("frames") > 1).alias("multiframe"), F.max("frames").alias("max_frames"))
-
-
-@query(f"""SELECT error, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT regexp_matches(study, '^([0-9]|[1-9][0-9]*)(\\.([0-9]|[1-9][0-9]*))*$') THEN 'study uid' END, CASE WHEN seq % 13 = 0 THEN 'source' END]) AS error FROM ({_ITEMS})) WHERE error IS NOT NULL GROUP BY 1""")
-def preflight_errors(spark, sf):
-    errors = F.array_compact(F.array(F.when(S.valid_uid(F.col("study")).isNull(), "study uid"), F.when(F.col("seq") % 13 == 0, "source")))
-    return items(spark, sf).select(F.explode(errors).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
-
-
-_OFFSET = "(CASE WHEN {n} = 0 THEN 1 ELSE {n} END)".format(n="(CAST(concat('0x', left(sha256(CAST(o_custkey AS VARCHAR)), 8)) AS BIGINT) % 3651 - 1825)")
-
-
-@query(f"SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CAST({_OFFSET} AS INTEGER), '%Y%m%d') AS shifted FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey % 10 = 0")
-def deid_date_shift(spark, sf):
-    o = table(spark, sf, "orders")
-    raw = F.when(F.col("o_orderkey") % 10 == 0, "20240231").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return o.select("o_orderkey", S.shift_date(raw, S.day_offset(F.col("o_custkey").cast("string"))).alias("shifted"))
-
-
-@query(f"SELECT sop, concat('2.25.1', lpad(CAST(CAST(concat('0x', substr(sha256(sop), 1, 12)) AS BIGINT) AS VARCHAR), 15, '0'), lpad(CAST(CAST(concat('0x', substr(sha256(sop), 13, 12)) AS BIGINT) AS VARCHAR), 15, '0')) AS mapped FROM ({_ITEMS})")
-def deid_uid_remap(spark, sf):
-    return items(spark, sf).select("sop", S.mapped_uid(F.col("sop")).alias("mapped"))
-
-
-_AGE = "concat(lpad(CAST(c_custkey % 110 AS VARCHAR), 3, '0'), CASE c_custkey % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'W' WHEN 2 THEN 'M' WHEN 3 THEN 'Y' ELSE '?' END)"
-
-
-@query(f"SELECT c_custkey, CASE WHEN right(a, 1) <> 'Y' THEN a WHEN CAST(left(a, 3) AS INT) > 89 THEN '090Y' ELSE concat(lpad(CAST(CAST(left(a, 3) AS INT) // 5 * 5 AS VARCHAR), 3, '0'), 'Y') END AS age FROM (SELECT c_custkey, {_AGE} AS a FROM customer)")
-def deid_age(spark, sf):
-    unit = F.element_at(F.array(*map(F.lit, "DWMY?")), (F.col("c_custkey") % 5 + 1).cast("int"))
-    raw = F.concat(S.pad_left((F.col("c_custkey") % 110).cast("string")), unit)
-    return table(spark, sf, "customer").select("c_custkey", S.age(raw).alias("age"))
-
-
-def _attributes(spark, sf):
-    o, key = table(spark, sf, "orders"), F.col("o_orderkey").cast("string")
-    rows = [("00100020", "LO", F.concat(F.lit("PAT"), F.col("o_custkey"))), ("00080020", "DA", F.date_format("o_orderdate", "yyyyMMdd")), ("00080030", "TM", F.lit("101112")), ("00080018", "UI", F.concat(F.lit("1.2."), key)), ("00081030", "LO", F.col("o_orderstatus")), ("00091001", "LO", F.lit("private")), ("00420011", "OB", F.when(F.col("o_orderkey") % 40 == 0, "x").otherwise("")), ("00180015", "CS", F.lit("HEAD"))]
-    each = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(v).alias("vr"), x.cast("string").alias("value")) for t, v, x in rows))
-    return o.select(key.alias("instance_id"), F.col("o_custkey").cast("string").alias("subject"), F.explode(each).alias("a")).select("instance_id", "subject", F.col("a.tag").alias("path"), "a.tag", "a.vr", "a.value")
-
-
-_RULES = [("00100020", "@ptid"), ("00080020", "@hashdate"), ("00080030", "@keep"), ("00080018", "@uid"), ("00081030", "@keepdescriptor"), ("00420011", "@remove()"), ("00180015", "")]
-
-
-@query(f"""SELECT '00100020' AS tag, 'patient' AS action, 'ANON' AS new_value, count(*) AS n FROM orders UNION ALL SELECT '00080030', 'remove', NULL, count(*) FROM orders UNION ALL SELECT '00081030', 'remove', NULL, count(*) FROM orders
- UNION ALL SELECT '00091001', 'remove', NULL, count(*) FROM orders UNION ALL SELECT '00420011', 'remove', NULL, count(*) FROM orders UNION ALL SELECT '00180015', 'keep', 'HEAD', count(*) FROM orders
- UNION ALL SELECT '00080020', 'shift', strftime(CAST(o_orderdate AS DATE) + CAST({_OFFSET} AS INTEGER), '%Y%m%d'), count(*) FROM orders GROUP BY 3""")
-def deid_rules_walk(spark, sf):
-    out = deid.apply_rules(_attributes(spark, sf), spark.createDataFrame(_RULES, "tag string, rule string"))
-    return out.where("tag <> '00080018'").groupBy("tag", "action", "new_value").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS instance_id FROM orders WHERE o_orderkey % 40 = 0")
-def hazard_reject(spark, sf):
-    return deid.hazardous(_attributes(spark, sf))
-
-
-@query("""SELECT coalesce(a.p_name, b.p_name) AS tag, CASE WHEN a.p_name IS NULL THEN 'Missing in JSON' WHEN b.p_name IS NULL THEN 'Only in JSON' WHEN a.p_brand = b.p_brand THEN 'Match' ELSE 'Rule Mismatch' END AS status, coalesce(b.p_brand, a.p_brand) AS rule
- FROM (SELECT concat(p_name, p_partkey) AS p_name, p_brand FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT concat(p_name, p_partkey) AS p_name, CASE WHEN p_partkey % 7 = 0 THEN '@keep' ELSE p_brand END AS p_brand FROM part WHERE p_partkey % 5 <> 0) b ON a.p_name = b.p_name""")
-def rule_diff(spark, sf):
-    p = table(spark, sf, "part").withColumn("tag", F.concat("p_name", "p_partkey"))
-    return deid.rule_diff(p.where("p_partkey % 3 <> 0").select("tag", F.col("p_brand").alias("rule")), p.where("p_partkey % 5 <> 0").select("tag", F.when(F.col("p_partkey") % 7 == 0, "@keep").otherwise(F.col("p_brand")).alias("rule")))
-
-
-@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(p_name, ' ..', p_type, '/', p_brand, '_'), '\.\.', '_', 'g'), '[<>:"/\\|?*]|\s+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS path,
- replace(replace(concat('<', p_name, '&'), '&', '&amp;'), '<', '&lt;') AS html FROM part""")
-def path_sanitize(spark, sf):
-    raw = F.concat("p_name", F.lit(" .."), "p_type", F.lit("/"), "p_brand", F.lit("_"))
-    return table(spark, sf, "part").select("p_partkey", S.sanitize(raw, "x").alias("path"), S.escape_html(F.concat(F.lit("<"), "p_name", F.lit("&"))).alias("html"))
-
-
-@query("""SELECT doc_id, CASE WHEN b >= 1048576 THEN concat(floor(b / 1048576.0 * 10 + 0.5)::BIGINT // 10, '.', floor(b / 1048576.0 * 10 + 0.5)::BIGINT % 10, ' MB') WHEN b >= 10240 THEN concat(floor(b / 1024.0 + 0.5)::BIGINT, ' KB')
- WHEN b >= 1024 THEN concat(floor(b / 1024.0 * 10 + 0.5)::BIGINT // 10, '.', floor(b / 1024.0 * 10 + 0.5)::BIGINT % 10, ' KB') WHEN b > 0 THEN concat(b, ' B') ELSE '0 B' END AS size,
- CASE WHEN s >= 60 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s, 's') END AS took FROM (SELECT doc_id, strlen(text) AS b, floor(n_chars * 37 / 1000.0 + 0.5)::BIGINT AS s FROM documents)""")
-def format_helpers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.format_bytes(F.octet_length("text")).alias("size"), S.format_duration(F.col("n_chars") * 37).alias("took"))
-
-
-@query(r"""SELECT page_id, concat(url, CASE WHEN page_id % 2 = 0 THEN '' ELSE '/x' END) AS clean, page_id % 3 = 0 AS framed FROM pages""")
-def url_normalize(spark, sf):
-    p = table(spark, sf, "pages")
-    raw = F.concat(F.lit(" wadors:"), "url", F.lit("/frames/"), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, "").otherwise("/x"))
-    return p.select("page_id", S.normalize_url(raw).alias("clean"), S.has_frame(F.concat("url", F.when(F.col("page_id") % 3 == 0, "&frame=2").otherwise(""))).alias("framed"))
-
-
-@query("""SELECT event_id, coalesce(CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 50 * 1000 AS DOUBLE) END, least(30000.0, 500 * pow(2.0, event_id % 9))) AS delay, s = 408 OR s = 429 OR s >= 500 AS again, s BETWEEN 300 AND 399 OR s IN (401, 403) AS session FROM (SELECT *, 300 + event_id % 250 AS s FROM events)""")
-def retry_policy(spark, sf):
-    e, s = table(spark, sf, "events"), F.lit(300) + F.col("event_id") % 250
-    return e.select("event_id", S.retry_delay(F.col("event_id") % 9 + 1, F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 50 * 1000)).alias("delay"), S.retryable(s).alias("again"), S.session_error(s).alias("session"))
-
-
-@query("SELECT doc_id, concat(sha256(text), '  ', doc_id, '.txt') AS line FROM documents")
-def checksums(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws("  ", F.sha2("text", 256), F.concat("doc_id", F.lit(".txt"))).alias("line"))
-
-
-@query()
-def crc32_sizes(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.crc32("text").alias("crc"), F.octet_length("text").alias("size"))
-
-
-@query("SELECT doc_id, sum(strlen(text)) OVER w AS used, sum(strlen(text)) OVER w <= 100000 AND count(*) OVER w <= 60 AS fits FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
-def zip_budget(spark, sf):
-    w = W.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf, "documents").select("doc_id", "source", F.octet_length("text").alias("b"))
-    return d.select("doc_id", F.sum("b").over(w).alias("used"), ((F.sum("b").over(w) <= 100000) & (F.count(F.lit(1)).over(w) <= 60)).alias("fits"))
-
-
-@query("SELECT doc_id, coalesce(sum(b + 8) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT doc_id, source, strlen(text) + strlen(text) % 2 AS b FROM documents)")
-def offset_table(spark, sf):
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    size = F.octet_length("text") + F.octet_length("text") % 2
-    return table(spark, sf, "documents").select("doc_id", "source", size.alias("b")).select("doc_id", F.coalesce(F.sum(F.col("b") + 8).over(w), F.lit(0)).alias("start"))
-
-
-@query("""SELECT user_id, sum(n) AS failed, arg_max(cause, n * 1000 - cause_id) AS main_cause FROM (SELECT user_id, event_id % 5 AS cause_id, concat('HTTP ', 500 + event_id % 5) AS cause, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2, 3) GROUP BY 1""")
-def failures_by_series(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'error'")
-    causes = e.groupBy("user_id", (F.col("event_id") % 5).alias("c"), F.concat(F.lit("HTTP "), 500 + F.col("event_id") % 5).alias("cause")).agg(F.count(F.lit(1)).alias("n"))
-    return causes.groupBy("user_id").agg(F.sum("n").alias("failed"), F.max_by("cause", F.col("n") * 1000 - F.col("c")).alias("main_cause"))
-
-
-@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
-def log_tail(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "event_type")
-
-
-@query("SELECT l_orderkey, l_linenumber, len(list_filter(range(0, CAST(l_quantity AS BIGINT)), lambda f: f % 20 = 0 OR f = CAST(l_quantity AS BIGINT) // 2 OR f = CAST(l_quantity AS BIGINT) - 1)) AS frames FROM lineitem")
-def frame_sampling(spark, sf):
-    n = F.col("l_quantity").cast("int")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.size(codec.sampled_frames(n)).cast("long").alias("frames"))
-
-
-@query("SELECT l_orderkey, l_linenumber, greatest(0, l_suppkey % 500 - 4) AS x0, greatest(0, l_partkey % 500 - 4) AS y0, least(512, l_suppkey % 500 + 24) AS x1, least(512, l_partkey % 500 + 14) AS y1 FROM lineitem")
-def mask_geometry(spark, sf):
-    m = codec.mask(F.col("l_suppkey") % 500, F.col("l_partkey") % 500, F.lit(20), F.lit(10), F.lit(512), F.lit(512))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", m.alias("m")).select("l_orderkey", "l_linenumber", "m.*")
-
+from . import deidentify, exports, findings, frames, hierarchy  # noqa: F401  (they register their queries)
+from .base import ORACLES, QUERIES
 
-@query("SELECT doc_id, true AS same FROM documents")
-def rle_roundtrip(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
-    return d.select("doc_id", (codec.unrle(codec.rle("b"), F.octet_length("b")) == F.col("b")).alias("same"))
+__all__ = ["ORACLES", "QUERIES"]

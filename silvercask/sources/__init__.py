@@ -1 +1 @@
-
+"""Files of attributes, rule tables and captured JSON as DataFrames."""

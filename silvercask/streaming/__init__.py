@@ -1 +1 @@
-
+"""Attributes that keep arriving."""

@@ -64,12 +64,28 @@ def test_run_length_frames():
         data = bytes(rng.choice((0, 0, 0, 7, rng.randrange(256))) for _ in range(n))
         assert codec.decode_rle(codec.encode_rle(data, 2), n) == data if n else True
         assert codec.unpack_bits(codec.pack_bits(data), n) == data
+    for width, samples in ((1, 1), (2, 1), (1, 3), (2, 3)):
+        data = bytes(rng.choice((5, 5, 5, rng.randrange(256))) for _ in range(60 * width * samples))
+        packed = codec.encode_rle(data, width, samples)
+        assert codec.decode_rle(packed, len(data), width, samples) == data
+        assert int.from_bytes(packed[:4], "little") == width * samples and len(packed) % 2 == 0
+        # the first segment is the high byte of the first sample
+        first = codec.unpack_bits(packed[64:], 60)
+        assert first == bytes(data[i * width * samples + width - 1] for i in range(60))
+    with pytest.raises(ValueError):
+        codec.decode_rle(b"short", 4)
+
+
+def test_null_frames(spark):
+    df = spark.createDataFrame([(None,), (bytearray(b"aaab"),)], "b binary").select(codec.rle("b").alias("r"), "b")
+    got = df.select(codec.unrle("r", F.lit(4)).alias("u")).collect()
+    assert [None if r.u is None else bytes(r.u) for r in got] == [None, b"aaab"]
 
 
 def test_removed_sequence_takes_its_items(spark):
     attrs = spark.createDataFrame([("i", "00400275", "00400275", "SQ", None, "s"), ("i", "00400275[0].00100020", "00100020", "LO", "P", "s"), ("i", "00100020", "00100020", "LO", "P", "s")], "instance_id string, path string, tag string, vr string, value string, subject string")
     rules = spark.createDataFrame([("00400275", "@remove()"), ("00100020", "@ptid")], "tag string, rule string")
-    got = {r.path: (r.action, r.new_value) for r in deid.apply_rules(attrs, rules).collect()}
+    got = {r.path: (r.action, r.new_value) for r in deid.apply_rules(attrs, rules, deid.Options("key")).collect()}
     assert got == {"00400275": ("remove", None), "00100020": ("patient", "ANON")}
 
 
@@ -103,3 +119,233 @@ def test_fuzzy_document_tokens_takes_every_customer(spark, tmp_path):
     spark.createDataFrame([(1, "Seen: customer#000000007, twice customer#000000007"), (2, None), (3, "xCustomer#000000033x other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.known: (r.n_values, r.n_tokens) for r in registry.QUERIES["phi_fuzzy_document_tokens"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(1, 41)) and got[7] == (1, 2) and got[33] == (2, 3)
+
+
+def walk(spark, rows, rules, **options):
+    attrs = spark.createDataFrame([("i", p, p[-8:], vr, v) for p, vr, v in rows], "instance_id string, path string, tag string, vr string, value string")
+    out = deid.apply_rules(attrs, spark.createDataFrame(rules, "tag string, rule string"), deid.Options("key", **options))
+    return {r.path: (r.action, r.new_value) for r in out.collect()}
+
+
+def test_nothing_personal_stays(spark):
+    rows = [("00100010", "PN", "A^B"), ("00100030", "DA", "19800101"), ("00080050", "SH", "ACC9876"), ("00080016", "UI", "1.2.840.1"), ("00080018", "UI", "1.2.3"), ("00104000", "LT", "x"), ("00020016", "AE", "SITE"), ("00020002", "UI", "1.2")]
+    rules = [("00100010", "@ptid"), ("00100030", "@birthdate"), ("00080050", "@acc"), ("00080016", ""), ("00080018", "@remove()"), ("00104000", "@some(new, rule)")]
+    got = walk(spark, rows, rules)
+    assert got["00100010"] == ("name", "ANONYMOUS") and got["00100030"] == ("birthdate", "") and got["00080050"] == ("accession", "")
+    assert got["00080016"] == ("keep", "1.2.840.1") and got["00080018"][0] == "uid" and got["00080018"][1].startswith("2.25.1")
+    assert got["00104000"] == ("remove", None) and got["00020016"] == ("remove", None) and got["00020002"] == ("keep", "1.2")
+    with pytest.raises(ValueError):
+        S.keyed_hash(F.lit("x"), "")
+
+
+def test_options_keep_classes(spark):
+    rows = [("00080090", "PN", "Doc"), ("00180050", "DS", "1"), ("00204000", "LT", "c"), ("60003000", "OW", "x"), ("50003000", "OW", "x"), ("0008103E", "LO", "s"), ("00181030", "LO", "p"), ("00081010", "SH", "d"), ("00080080", "LO", "h"), ("00101010", "AS", "093Y"), ("00080030", "TM", "10"), ("00080020", "DA", "2024-01-31"), ("00100040", "CS", "F"), ("00091001", "LO", "x"), ("00091001", "LO", "x")]
+    rules = [("00080090", "@remove()"), ("00180050", "@remove()"), ("00204000", "@remove()"), ("0008103E", "@keepseriesdescriptor"), ("00181030", "@keepprotocolname"), ("00081010", "@device"), ("00080080", "@institution"), ("00101010", "@age"), ("00080030", ""), ("00080020", "@hashdate"), ("00100040", "@characteristic")]
+    kept = dict(keepPhysicians=True, keepAcquisitionParameters=True, keepComments=True, keepOverlays=True, keepCurves=True, keepSeriesDescriptors=True, keepProtocolName=True, keepDeviceIdentity=True, keepInstitutionIdentity=True, keepPatientCharacteristics=True, keepExactTimes=True, keepDates=True, newPatientSex="O", privateTags="keep_all")
+    got = walk(spark, rows, rules, **kept)
+    assert got["00101010"] == ("age", "090Y") and got["00100040"] == ("replace", "O") and got["00080020"] == ("keep", "20240131")
+    assert all(a == "keep" for p, (a, _) in got.items() if p not in ("00101010", "00100040"))
+    assert {a for a, _ in walk(spark, rows, rules).values()} == {"remove", "shift"}
+
+
+def test_whitelisted_sequence_stays_whole(spark):
+    rows = [("00400275", "SQ", "1"), ("00400275[0].00100010", "PN", "A^B"), ("00400555", "SQ", "0")]
+    got = walk(spark, rows, [("00400275", "@remove()"), ("00100010", "@ptid"), ("00400555", "@empty()")], whitelist="0040-0275; junk")
+    assert got == {"00400275": ("keep", "1"), "00400275[0].00100010": ("keep", "A^B"), "00400555": ("empty", "")}
+
+
+def test_contributing_equipment(spark):
+    rows = [("0018A001", "SQ", "1"), ("0018A001[0].00080070", "LO", "maker")]
+    got = walk(spark, rows, [("0018A001", ""), ("00080070", "")], addContributingEquipment=True)
+    assert got["0018A001[1].0040A170[0].00080100"] == ("add", "109104") and got["0018A001"] == ("recurse", "1")
+    got = walk(spark, rows, [("0018A001", "@remove()")], addContributingEquipment=True)
+    assert got["0018A001"][0] == "add" and "0018A001[0].0018A003" in got
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("k", "k" * 64, "long " * 30):
+        assert one(spark, "1.2.3", lambda c: S.keyed_hash(c, secret)) == hmac.new(secret.encode(), b"1.2.3", hashlib.sha256).hexdigest()  # noqa: B023
+    days = lambda x: one(spark, x, lambda c: S.day_offset(c, "k"))
+    assert days(None) == days("") == days(" UNKNOWN ") != 0 and -1825 <= days("x") <= 1825
+
+
+@pytest.mark.parametrize("text", ["5.2 CM", "120 KVP", "LIVER", "AP", "MI 1.2", "", None])
+def test_safe_tokens_are_kept(spark, text):
+    df = spark.createDataFrame([("i", 0, 0, 0, 10, text)], "instance_id string, frame int, x int, y int, w int, text string")
+    assert [(r.score, r.decision) for r in phi.classify(df).collect()] == [(0, "keep")]
+
+
+def test_findings_near_labels_and_metadata(spark):
+    rows = [(0, 0, 40, "Name:"), (50, 3, 40, "Xavier"), (100, 6, 40, "Ypsilon"), (200, 6, 40, "far"), (0, 40, 40, "Jos\u00e9"), (0, 80, 40, "plain")]
+    df = spark.createDataFrame([("i", 0, x, y, w, t) for x, y, w, t in rows], "instance_id string, frame int, x int, y int, w int, text string")
+    known = spark.createDataFrame([("i", ["JOSE"])], "instance_id string, known array<string>")
+    got = {r.text: (r.score, r.decision) for r in phi.classify(df, known).collect()}
+    assert got == {"Name:": (85, "redact"), "Xavier": (90, "redact"), "Ypsilon": (90, "redact"), "far": (0, "keep"), "Jos\u00e9": (100, "redact"), "plain": (0, "keep")}
+
+
+def test_unicode_forms(spark):
+    assert one(spark, "\u00c9l\u00e8ve \uff11", lambda c: phi.normalized(c)) == "ELEVE1"
+    assert one(spark, "\uff21\u3000b", lambda c: S.sanitize(c, "x")) == "A_b"
+
+
+def test_files_round_trip(spark):
+    from silvercask.sources import part10
+
+    rows = [("00080018", "00080018", "UI", "1.2.3", None), ("00100010", "00100010", "PN", "A^B", None), ("00280010", "00280010", "US", "512\\7", None), ("00400555", "00400555", "SQ", "2", None), ("00400555[0].00400555", "00400555", "SQ", "1", None), ("00400555[0].00400555[0].0040A160", "0040A160", "UT", "inner", None), ("00400555[1].00091001", "00091001", "UN", None, b"\1\2\3\4"), ("7FE00010", "7FE00010", "OB", "0\\4", b"abcd")]
+    data = part10.build(rows)
+    got = {p: (vr, v, b) for p, _, vr, v, b in part10.parse(data)}
+    for p, _, vr, v, b in rows:
+        assert got[p] == (vr, v, b)
+    assert got["00020010"][1] == part10.EXPLICIT and got["00020003"][1] == "1.2.3"
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(data[:150])), ("c", bytearray(b"no")), ("d", None)], "path string, content binary")
+    read = part10.read_attributes(files)
+    assert {r.instance_id for r in read.where("error is not null").collect()} == {"b", "c", "d"}
+    assert [tuple(r) for r in part10.headers(read.where("error is null")).collect()] == [("a", "1.2.3", None, None)]
+
+
+def test_archives(spark, tmp_path):
+    import datetime
+    import io
+    import zipfile
+
+    from silvercask.operators import archive
+
+    ts = datetime.datetime(1979, 5, 6, 7, 8, 9)
+    files = spark.createDataFrame([(1, "b/x", bytearray(b"xx"), ts), (1, "a", None, None), (1, "a", bytearray(b"later"), ts), (2, None, bytearray(b"z"), ts)], "archive int, path string, data binary, ts timestamp")
+    got = {r.archive: zipfile.ZipFile(io.BytesIO(bytes(r.zip))) for r in archive.archives(files).collect()}
+    assert got[1].namelist() == ["a", "b/x"] and got[1].read("b/x") == b"xx" and got[1].read("a") == b""
+    assert got[1].infolist()[1].compress_type == zipfile.ZIP_STORED and got[1].infolist()[1].date_time[0] == 1980
+    written = archive.write_files(files.where("archive = 1 and path = 'b/x'"), str(tmp_path)).collect()
+    assert [(r.path, r.bytes) for r in written] == [("b/x", 2)] and (tmp_path / "b" / "x").read_bytes() == b"xx"
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_running_sums_in_ranges(spark, rows, monkeypatch):
+    from silvercask.operators import archive
+
+    monkeypatch.setattr(archive, "RANGE", rows)
+    rng = random.Random(3)
+    data = [(g, i * 7 - 50, rng.randint(0, 9)) for g in ("a", None) for i in range(40)]
+    rng.shuffle(data)
+    got = {(r.g, r.k): (r._sum, r._count) for r in archive.running(spark.createDataFrame(data, "g string, k long, bytes long"), "g", "k").collect()}
+    for g, k, _ in data:
+        assert got[g, k] == (sum(b for h, x, b in data if h == g and x <= k), sum(h == g and x <= k for h, x, _ in data))
+
+
+def test_rule_files(spark, tmp_path):
+    from silvercask.sources import rules
+
+    (tmp_path / "r.json").write_text('{"00100010": {"name": "PatientName", "rule": "@ptid"}, "00080020": "@hashdate"}')
+    (tmp_path / "r.script").write_text('<script>\n <e en="T" t="00100010" n="PatientName">@ptid</e>\n <e en="F" t="00080005" n="Set"></e>\n <r>x</r>\n</script>')
+    (tmp_path / "c.json").write_text('{"studies": [{"StudyInstanceUID": "1.2", "series": []}]}')
+    assert {tuple(r) for r in rules.json_rules(spark, str(tmp_path / "r.json")).collect()} == {("00100010", "PatientName", "@ptid"), ("00080020", "Unknown", "@hashdate")}
+    assert {tuple(r) for r in rules.script_rules(spark, str(tmp_path / "r.script")).collect()} == {("00100010", "PatientName", "@ptid"), ("00080005", "Set", "")}
+    assert [r.study for r in rules.captured_studies(spark, str(tmp_path / "c.json")).collect()] == ["1.2"]
+
+
+def test_streamed_attributes_are_as_in_a_batch(spark, tmp_path):
+    from silvercask.streaming.ingest import deidentify_stream
+
+    schema = "instance_id string, path string, tag string, vr string, value string, subject string"
+    attrs = spark.createDataFrame([(str(i), "00080018", "00080018", "UI", f"1.2.{i}", "s") for i in range(5)], schema)
+    attrs.write.parquet(str(tmp_path / "in"))
+    rules, options = spark.createDataFrame([("00080018", "@uid")], "tag string, rule string"), deid.Options("key")
+    deidentify_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), rules, options, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    want = {(r.path, r.new_value) for r in deid.apply_rules(attrs, rules, options).collect()}
+    assert {(r.path, r.new_value) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_collision_names_pass_over_taken_ones(spark):
+    from silvercask.operators import manifest
+
+    rows = spark.createDataFrame([("p", "a", "X", 1), ("p", "b", "X", 2), ("p", "c", "X_DUP02", 3), ("p", "d", "X", 4)], "parent string, key string, base string, seq long")
+    got = {r.key: r.name for r in manifest.distinct_names(rows, ["parent"], "key", "base", "seq").collect()}
+    assert got == {"a": "X", "b": "X_DUP03", "c": "X_DUP02", "d": "X_DUP04"}
+
+
+def test_masks_and_text_in_frames():
+    import numpy as np
+
+    from silvercask.operators import pixels
+
+    frame = pixels.drawn("PATIENT 42", 2, 160, 480)
+    image = pixels.Image(160, 480)
+    boxes = pixels.find_text(pixels.rendered(frame, image))
+    assert "".join(b.text for b in boxes) == "PATIENT42"
+    after = pixels.masked(frame, image, [(b.x, b.y, b.w, b.h) for b in boxes])
+    assert not after.any() and pixels.find_text(pixels.rendered(after[:, :, 0], image)) == []
+    low = pixels.Image(4, 4, photometric="MONOCHROME1", bits=16, stored=12)
+    out = pixels.masked(np.zeros((4, 4), np.uint16), low, [(1, 1, 0, 0)], margin=1, color="double", width=1)[:, :, 0]
+    assert out[:3, :3].tolist() == [[4095] * 3] * 3 and out[3, 3] == 0
+    assert pixels.is_contour(np.ones((10, 40), np.uint8)) and not pixels.is_contour(np.tile([1, 1, 0, 0, 0], (10, 8)).astype(np.uint8))
+    with pytest.raises(ValueError):
+        pixels.Image(4, 4, bits=12)
+
+
+def test_report(spark):
+    from silvercask.operators import report
+
+    failed = spark.createDataFrame([("s1", "1", "d", "HTTP 500", 1, "3", "1.2", "dcm"), ("s1", "1", "d", "", 2, "", "1.3", "dcm")], "series string, number string, description string, error string, seq long, instance string, sop string, extension string")
+    notes = spark.createDataFrame([("1.2.dcm: face",)], "entry string")
+    log = spark.createDataFrame([(1, "error", "a"), (2, "info", "b")], "ts long, type string, message string")
+    text = report.run_report({"done": 3, "failed": 2, "total": 5, "total_bytes": 2048, "duration_ms": 61_000}, failed, notes, log, "run")
+    for line in ("Outcome:     Completed with failures", "Volume:      2.0 KB", "Duration:    1m 1s", "image set 1 — d — 2 file(s) missing", "    1× HTTP 500", "    image set 1 — d · 1.3.dcm: Unknown download error", "[2] INFO: b"):
+        assert line in text.split("\n")
+
+
+def test_fetch_retries_and_classifies():
+    from silvercask.sources import fetch
+
+    slept = []
+
+    def server(*answers):
+        left = list(answers)
+
+        def get(url, accept):
+            a = left.pop(0)
+            if isinstance(a, OSError):
+                raise a
+            return a
+
+        return get
+
+    ok = (200, {"content-type": "application/dicom; x=1"}, b"data")
+    run = lambda *answers: fetch.fetch_one("http://h", None, "dcm", server(*answers), 2, slept.append)
+    assert run((503, {"retry-after": "3"}, b""), OSError("failed"), ok) == (b"data", None, None, 200, 3) and slept == [3.0, 1.0]
+    assert run((404, {}, b""))[1:] == ("HttpError", "HTTP 404", 404, 1)
+    assert run((302, {}, b""))[1] == "SessionExpired" and run((200, {"content-type": "text/html"}, b""))[1] == "PayloadValidation"
+    assert run(*[(500, {}, b"")] * 3)[1:] == ("HttpError", "HTTP 500", 500, 3)
+    assert fetch.wait_ms(9, None, 0) == 30_000 and fetch.wait_ms(1, "Thu, 01 Jan 1970 00:00:05 GMT", 2) == 3000 and fetch.wait_ms(2, "soon", 0) == 1000
+    assert fetch.fetch_one(None, None, "dcm")[1] == "Source"
+
+
+def test_export_from_end_to_end(spark, tmp_path):
+    from silvercask.operators import job
+    from silvercask.sources import part10
+
+    def make(i, extra=()):
+        return part10.build([("00080018", "00080018", "UI", f"1.2.{i}", None), ("0020000D", "0020000D", "UI", "1.1", None), ("0020000E", "0020000E", "UI", "1.1.1", None), ("00100010", "00100010", "PN", "A^B", None), ("00100020", "00100020", "LO", "P1", None), *extra])
+
+    contents = {1: make(1), 2: make(9), 3: b"junk", 4: make(4, [("00420011", "00420011", "OB", None, b"%PDF")]), 5: None}
+    rows = []
+    for i, data in contents.items():
+        if data is not None:
+            (tmp_path / f"{i}").write_bytes(data)
+        rows.append(("1.1", "1.1.1", f"1.2.{i}", None, str(tmp_path / f"{i}"), "dcm", "P", "S", "R"))
+    items = spark.createDataFrame(rows, "study string, series string, sop string, url string, path string, extension string, patient_dir string, study_dir string, series_dir string")
+    rules = spark.createDataFrame([("00080018", "@uid"), ("0020000D", "@uid"), ("0020000E", "@uid"), ("00100010", "@ptid"), ("00100020", "@ptid")], "tag string, rule string")
+    run = lambda some: {r.sop: r for r in job.export(some, rules, deid.Options("key"), str(tmp_path / "out"), str(tmp_path / "work")).collect()}
+    got = run(items)
+    assert {k: (r.error or "ok").split(":")[0] for k, r in got.items()} == {"1.2.1": "ok", "1.2.2": "Payload mismatch", "1.2.3": "Payload unreadable", "1.2.4": "UnsafePayload", "1.2.5": "File"}
+    back = {p: v for p, _, _, v, _ in part10.parse((tmp_path / "out" / got["1.2.1"].file).read_bytes())}
+    assert back["00100010"] == "ANONYMOUS" and back["00080018"].startswith("2.25.") and back["00020003"].startswith("2.25.")
+    (tmp_path / "5").write_bytes(make(5))
+    (tmp_path / "1").unlink()  # what is written is not fetched again
+    again = run(items)
+    assert again["1.2.1"].error is None and again["1.2.5"].error is None
+    with pytest.raises(job.NothingSaved):
+        job.export(items.where("sop = '1.2.3'"), rules, deid.Options("key"), str(tmp_path / "out2"), str(tmp_path / "work2"))
+    assert job.deviations(job.preset("retain_dates", "k")) == ["keepPhysicians", "keepDescriptors", "keepExactTimes", "keepDates"] and job.deviations(job.preset("strict", "k")) == []
