@@ -163,7 +163,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, ids array<int>, decoded string. Null text counts as empty: no ids, ''."""
+    """One row per row of docs: doc_id, ids array<int>, decoded string. Null text counts as empty: no ids, ''. Rows that
+    repeat a doc_id are encoded one by one; an empty table gives an empty result; other columns of docs are not read."""
 
     def work(ids, texts_):
         c = codec(path)
@@ -174,7 +175,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode(), but hashes in place of ids and decoded text, so that neither leaves the Python worker."""
+    """As encode(), but hashes in place of ids and decoded text, so that neither leaves the Python worker; nulls, repeats
+    and empty tables as there."""
 
     def work(ids, texts_):
         c = codec(path)
@@ -190,4 +192,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() over documents: null and empty texts have no ids, and decode to an empty text."""
     return digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

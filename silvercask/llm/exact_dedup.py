@@ -56,6 +56,7 @@ def exact_dedup(docs: DataFrame, low: int = 512, high: int = 4096, id_col: str =
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup() over documents: null and empty texts are equal, repeated rows are answered one by one."""
     return exact_dedup(documents(spark, sf_dir)).drop("n_chunks")
 
 

@@ -368,4 +368,5 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_classes() over documents: sets of four-word shingles, 85 percent."""
     return jaccard_classes(documents(spark, sf_dir))

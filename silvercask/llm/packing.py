@@ -11,12 +11,14 @@ documents get their places in it by rank among the pieces of their length. Ranks
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,9 @@ from tokenizers import Tokenizer
 
 from .arrow import portions
 from .common import Stage, documents, texts
+from .token_counts import byte_symbols
 
+_BLANKS = re.compile(r"\s{1000}")
 #: Pieces of one length that are ranked together, about.
 RANKED = 500_000
 
@@ -111,6 +115,23 @@ def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {a: np.array(rows, np.int64) for a, rows in found.items()}
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(path: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary of a tokenizers file: its ids are in the order of its merges, as this library needs."""
+    if path not in _encodings:
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            j = json.load(f)
+        place = {m: b for b, m in enumerate(byte_symbols())}
+        special = {t["content"]: t["id"] for t in j["added_tokens"]}
+        ranks = {bytes(place[c] for c in s): i for s, i in j["model"]["vocab"].items() if s not in special}
+        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _encodings[path]
+
+
 _tokenizers: dict[str, Tokenizer] = {}
 
 
@@ -125,18 +146,30 @@ def tokenizer(path: str) -> Tokenizer:
     return _tokenizers[path]
 
 
+def token_ids(path: str, texts_: list[str]) -> list[list[int]]:
+    """The ids of each text. The faster of two libraries with equal ids breaks down on very long runs of white space
+    (its patterns go back over them), so texts with such a run are left to the other."""
+    enc, out = encoding(path), []
+    special = list(enc._special_tokens)
+    for t in texts_:
+        if _BLANKS.search(t):
+            out.append(tokenizer(path).encode(t, add_special_tokens=False).ids)
+        else:
+            out.append(enc.encode(t, allowed_special="all") if any(x in t for x in special) else enc.encode_ordinary(t))
+    return out
+
+
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and a salt. The first piece of a longer document takes what is over."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        enc = tokenizer(path)
         for batch in batches:
-            for ids, texts_ in portions(batch, 200_000):
+            for ids, texts_ in portions(batch):
                 rows = []
-                for i, got in zip(ids, enc.encode_batch_fast(texts_, add_special_tokens=False)):
-                    a = np.array([*got.ids, end_id], "<u4")
+                for i, got in zip(ids, token_ids(path, texts_)):
+                    a = np.array([*got, end_id], "<u4")
                     cuts = [0, *range(len(a) % size or size, len(a) + 1, size)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                         crc = zlib.crc32(a[x:y].tobytes())
@@ -181,4 +214,5 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() over documents: null and empty texts are one end id."""
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -320,4 +320,5 @@ def without_paragraphs(docs: DataFrame, report: DataFrame, long: int = 60, id_co
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paragraph_report() over documents, at five words and a similarity of 0.8."""
     return paragraph_report(documents(spark, sf_dir))

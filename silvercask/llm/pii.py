@@ -310,4 +310,5 @@ def redacted_rows(docs: DataFrame, model: Crf | None = None, text_col: str = "te
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find() over documents: null and empty texts have no spans, rows that repeat an id are answered one by one."""
     return find(documents(spark, sf_dir))

@@ -156,4 +156,5 @@ def quality(docs: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality() over documents: null and empty texts have no words and are not kept."""
     return quality(documents(spark, sf_dir))

@@ -332,4 +332,5 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
 
 
 def op5_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """language_model_scores() over documents: null and empty texts are one end token."""
     return language_model_scores(documents(spark, sf_dir))

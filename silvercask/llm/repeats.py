@@ -347,4 +347,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() over documents, as digests; what it says of nulls, short texts and repeated rows holds."""
     return remove_repeats(documents(spark, sf_dir), digest=True)

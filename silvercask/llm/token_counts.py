@@ -164,4 +164,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() over documents: null and empty texts have no tokens, repeated rows are counted one by one."""
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -347,3 +347,14 @@ def test_pipeline_stage_by_stage(spark):
     packed = packing.pack(seen[4], P.path("byte_bpe_50k.json")).drop("sequence_id", "offset")
     key = lambda d: sorted(tuple(r) for r in d.select(*packed.columns).collect())
     assert key(seen[5]) == key(packed)
+
+
+def test_ids_of_long_runs():
+    """A million blanks, marks or letters in a row: the ids of the reference library."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
+    for t in (" " * 1_000_000 + "x", "a" + "\n" * 1000 + " b", "word" + " \t" * 600 + " c", "!" * 50_000, "ab " * 400 + " " * 999 + "c", "<|endoftext|> x" + " " * 2000):
+        assert packing.token_ids(path, [t]) == [ref.encode(t, add_special_tokens=False).ids]
