@@ -33,7 +33,7 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go; null and empty texts have no words and are rejected. An empty table gives an empty one."""
     keyed = _keyed(docs)
     return _without(keyed, quality.quality(keyed, id_col=KEY).where("not kept").select("doc_id"))
 
@@ -63,13 +63,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; n_chars counts the new text."""
+    """Personal data is replaced by its kind in brackets; n_chars counts the new text. A null text stays null (and its
+    n_chars too); rows that repeat an id or a text are redacted one by one."""
     model = pii.Crf.train()
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     return pii.redacted_rows(docs, model).select(*[F.col(c) if c in rest else F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1,024 tokens, a row for each piece. A null or empty text is one end token; rows
+    that repeat an id are packed one by one; an empty table gives an empty result."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
