@@ -7,11 +7,13 @@ a hash that a portion holds more than once is sent once, with its count, so a sh
 to its portion with the logarithm of its count. A shingle that stays behind occurs once in the corpus: it can be in no
 intersection, so the rest of a join needs neither it nor the texts again.
 
-A portion is named by its task and its place there, which a repeated task gives again.
+A portion is named by its task, its place there and its hashes, which a repeated task gives again if its rows come in
+the same order, as they do from files and staged tables; if they do not, the job fails, and no wrong rows come out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -106,7 +108,7 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
     sent = "range long, portion long, width int, once binary, owner binary, many binary, times binary, kept binary"
 
     def send(batches):
-        at, name = TaskContext.get().partitionId() << 32, 0
+        task, nth = TaskContext.get().partitionId(), 0
         for ids, texts in gathered(batches, PIECE):
             values, owners, kept = describe(ids, texts)
             if 8 * SENT + bits < 64:
@@ -125,8 +127,8 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
             some = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0))
             width = max(1, (int(own.max()).bit_length() + 7) // 8) if len(own) else 1
             cut = lambda a, e: pa.array([a[e[i] : e[i + 1]].tobytes() for i in some] + [None], pa.binary())
-            portion = at | name
-            name += 1
+            portion = task << 43 | nth << 23 | zlib.crc32(values.tobytes()) & 0x7FFFFF
+            nth += 1
             rows = len(some) + 1
             columns = [pa.array([*some.tolist(), -1 - portion % 4093], pa.int64()), pa.array([portion] * rows, pa.int64()), pa.array([width] * rows, pa.int32())]
             columns += [cut(_narrow(once << own_bits >> drop, SENT), x), cut(_narrow(own, width), x), cut(_narrow(many << own_bits >> drop, SENT), y), cut(n, y), pa.array([None] * len(some) + [pack(kept)], pa.binary())]
@@ -162,7 +164,10 @@ def shared_elements(docs: DataFrame, describe: Callable, assemble: Callable, sch
 
     def settle(batches):
         for _, rows in by_value(batches, "portion"):  # by range: what was kept comes first, then the hashes in order
-            kept = unpack(next(x.as_py() for x in rows.column("kept") if x.is_valid))
+            found = [x.as_py() for x in rows.column("kept") if x.is_valid]
+            if len(found) != 1:
+                raise RuntimeError("a repeated task has read other rows than before; stage the input")
+            kept = unpack(found[0])
             many, times, own = kept.pop("_many"), kept.pop("_times"), kept.pop("_owners")
             logs, width = _array(rows.column("many"), "u1"), rows.column("width")[0].as_py()
             whole = [(_wide(x.as_buffer(), SENT) << drop >> own_bits) | (np.uint64(r) << np.uint64(64 - bits)) for r, x in zip(rows.column("range").to_pylist(), rows.column("value")) if x.is_valid]

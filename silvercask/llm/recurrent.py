@@ -5,8 +5,8 @@ tasks, and the rest are joined. The commonest ``vocabulary`` of them are the mod
 size by rank; p(word) = p(class | state) * p(word | class, state). Rarer words go through one unknown word, and share its
 probability by their smoothed counts. Training reads all training documents once: they are dealt to shards by their ids,
 and each shard trains a copy by truncated backpropagation over windows of ``window`` tokens, many documents side by side,
-each with its own state that is carried from window to window; the copies' weights are averaged, weighted by tokens, in an
-aggregation. That is done in ``rounds``, each over its share of the documents and from the weights of the one before.
+each with its own state that is carried from window to window (for PIECE tokens); the copies' weights are averaged,
+weighted by tokens, in an aggregation. That is done in ``rounds``, each over its share of the documents and from the weights of the one before.
 Scoring carries the state through whole documents in the same way.
 """
 
@@ -21,12 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import PORTION, portions
+from .arrow import PORTION, gathered, portions
 from .common import Stage, documents, texts
 from .exchange import by_value
 from .shingles import words
 
 END = b"\n"  # no word has it
+#: Tokens that are trained on in one go; of a longer document, the next ones start from a state of zeros.
+PIECE = 2048
+#: Tokens of a document that is scored with other long ones, as many as there are in ``HELD`` tokens: side by side.
+LONG, HELD = 4096, 2_000_000
+#: Rows of a softmax that are worked on at a time, so that they stay in the cache.
+ROWS = 2048
 #: Weights are averaged as whole multiples of one part in this.
 FIXED = float(1 << 32)
 
@@ -63,37 +69,75 @@ class Model:
     def step(self, x: np.ndarray, h: np.ndarray):
         """Gates and next states for input words x and states h."""
         n, w = self.hidden, self.w
-        a = w["x"][x]
-        g = np.tanh((a[:, : 2 * n] + h @ w["u"]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+        a = w["x"].take(x, 0)
+        g = h @ w["u"]
+        g += a[:, : 2 * n]
+        g = _sigmoid(g)
         z, r = g[:, :n], g[:, n:]
-        c = np.tanh(a[:, 2 * n :] + (r * h) @ w["v"])
-        return z, r, c, (1 - z) * h + z * c
+        c = (r * h) @ w["v"]
+        c += a[:, 2 * n :]
+        c *= 2
+        c = _sigmoid(c)
+        c *= 2
+        c -= 1
+        new = c - h
+        new *= z
+        new += h
+        return z, r, c, new
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
-        """Natural log probability of words y after states h; with grad, also the gradient of minus their sum."""
+        """Natural log probability of words y after states h; with grad, also the gradient of minus their sum.
+
+        States are within (-1, 1), so sums of weights bound the logits, and no maximum has to be taken off them first."""
         w = self.w
         k, j = np.divmod(y, self.width)
-        e = h @ w["c"] + w["cb"]
-        e = np.exp(e - e.max(1, keepdims=True))
-        p = e / e.sum(1, keepdims=True)
-        out = np.log(np.maximum(p[np.arange(len(y)), k], 1e-30))
+        out = np.empty(len(y), h.dtype)
+        gh, gc, gcb = np.zeros_like(h), np.zeros_like(w["c"]), np.zeros_like(w["cb"])
+        for a in range(0, len(y), ROWS):
+            here, own = h[a : a + ROWS], (np.arange(len(y[a : a + ROWS])), k[a : a + ROWS])
+            p, out[a : a + ROWS] = _softmax(here, w["c"], w["cb"], own, grad)
+            if grad:
+                p[own] -= 1
+                gh[a : a + ROWS] = p @ w["c"].T
+                gc += here.T @ p
+                gcb += p.sum(0)
         order = np.argsort(k, kind="stable")
         cuts = np.searchsorted(k[order], np.arange(self.classes + 1))
-        gh, go, gob = np.zeros_like(h), np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+        go, gob = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
         for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            q = h[at] @ w["o"][c] + w["ob"][c]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            own = np.arange(len(at)), j[at]
-            out[at] += np.log(np.maximum(q[own], 1e-30))
-            if grad:
-                q[own] -= 1
-                gh[at], go[c], gob[c] = q @ w["o"][c].T, h[at].T @ q, q.sum(0)
-        if not grad:
-            return out
-        p[np.arange(len(y)), k] -= 1
-        return out, gh + p @ w["c"].T, {"c": h.T @ p, "cb": p.sum(0), "o": go, "ob": gob}
+            for a in range(cuts[c], cuts[c + 1], ROWS):
+                at = order[a : min(a + ROWS, cuts[c + 1])]
+                here, own = h[at], (np.arange(len(at)), j[at])
+                q, lp = _softmax(here, w["o"][c], w["ob"][c], own, grad)
+                out[at] += lp
+                if grad:
+                    q[own] -= 1
+                    gh[at] += q @ w["o"][c].T
+                    go[c] += here.T @ q
+                    gob[c] += q.sum(0)
+        return (out, gh, {"c": gc, "cb": gcb, "o": go, "ob": gob}) if grad else out
+
+
+def _sigmoid(a: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(a, out=a)
+    np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    a += 1
+    return np.reciprocal(a, out=a)
+
+
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: tuple, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(all probabilities if whole, log probabilities of the own ones)."""
+    e = h @ weights
+    e += bias
+    np.minimum(e, 80, out=e)
+    mine = e[own]
+    np.exp(e, out=e)
+    total = e.sum(1)
+    if whole:
+        e /= total[:, None]
+    return e, np.maximum(mine - np.log(total), -69)
 
 
 class Streams:
@@ -278,7 +322,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
                 model, seen = Model(size, hidden).load(start), 0
                 for texts_ in _groups(rows.to_batches(), 4 * PORTION):
                     d = numbered([words(t) for t in texts_])
-                    run(model, d, lanes, window, rate)
+                    run(model, [x[a : a + PIECE] for x in d for a in range(0, len(x), PIECE)], lanes, window, rate)
                     seen += sum(map(len, d))
                 flat = np.rint(model.vector().astype(np.float64) * FIXED).astype(np.int64)
                 parts = np.array_split(np.arange(len(flat)), max(1, len(flat) // 4096))
@@ -296,26 +340,47 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
         rows = dealt.where(F.col("round") == turn).select("shard", "doc_id", "text")
         rows = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc_id", "text")
         copies = stage.put(rows.mapInArrow(train(weights), "part int, seen long, weights array<long>"))
-        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).alias("w"), F.sum("seen").alias("seen"))
-        learnt = sorted(each.collect(), key=lambda r: (r["part"], r["i"]))  # the model's size, whatever the corpus
-        weights = np.array([int(r["w"]) / r["seen"] / FIXED for r in learnt], np.float32) if learnt else weights
+        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).cast("double") / F.sum("seen")).alias("w"))
+        learnt = each.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("i", "w")))["w"].alias("w")).collect()  # the model's size, whatever the corpus
+        if learnt:
+            weights = np.concatenate([np.array(r["w"], np.float64) for r in sorted(learnt, key=lambda r: r["part"])]).astype(np.float64) / FIXED
+            weights = weights.astype(np.float32)
+        del learnt
         stage.drop(copies)
 
+    # Of each common token: its part of the base score, what it adds to that of the unknown word, and whether it is known.
+    low, under = math.log10(rare_tokens + 0.1 * (rare_kinds + 1)), math.log10(total + 0.1 * (kinds + 1))
+    table_ = {x: (math.log10(n + 0.1) - under, 0.0 if x in ids else math.log10(n + 0.1) - low, float(n > 0)) for x, n in known_n.items()}
+
+    names = ["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"]
+    kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+
     def score(batches):
         model = Model(size, hidden).load(weights)
-        for batch in batches:
-            for own, texts_ in portions(batch, 4 * PORTION):
-                split = [words(t) for t in texts_]
-                docs_ = numbered(split)
-                natural = run(model, docs_, lanes, 64) / math.log(10)
-                rows, low = [], math.log10(rare_tokens + 0.1 * (rare_kinds + 1))
-                for i, w in enumerate(split):
-                    seen = Counter(w)
-                    frequent = [(known_n[x], k) for x, k in seen.items() if x in known_n] + [(known_n[END], 1)]
-                    natural[i] += sum(k * (math.log10(known_n[x] + 0.1) - low) for x, k in seen.items() if x in known_n and x not in ids)
-                    rare = [(x, k) for x, k in seen.items() if x not in known_n]
-                    rows.append((sum(k * math.log10((c + 0.1) / (total + 0.1 * (kinds + 1))) for c, k in frequent), sum(k for c, k in frequent if c), rare))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(d) for d in docs_], pa.int64()), pa.array(natural), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[x for x, _ in r[2]] for r in rows], pa.list_(pa.binary())), pa.array([[k for _, k in r[2]] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"])
+
+        def scored(some):
+            """Rows (tokens, doc_id, score of the common words that the model has not, base score, known, rare words)."""
+            natural = run(model, [r[0] for r in some], lanes, 64) / math.log(10)
+            columns = zip(*((i, len(d), float(n) + more, frequent, known, [x for x, _ in rare], [k for _, k in rare]) for n, (d, i, more, frequent, known, rare) in zip(natural, some)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], names=names)
+
+        held, tokens = [], 0
+        for own, texts_ in gathered(batches, 4 * PORTION):
+            split, short = [words(t) for t in texts_], []
+            for i, w, d in zip(own, split, numbered(split)):
+                seen = Counter(w)
+                seen[END] = 1
+                rare = [(x, k) for x, k in seen.items() if x not in table_]
+                sums = np.array([table_[x] for x in seen if x in table_]).T @ np.array([k for x, k in seen.items() if x in table_], np.float64)
+                (held if len(d) > LONG else short).append((d.astype(np.int32), i, float(sums[1]), float(sums[0]), int(sums[2]), rare))
+                tokens += len(d) if len(d) > LONG else 0
+            if short:
+                yield scored(short)
+            if tokens > HELD:
+                yield scored(held)
+                held, tokens = [], 0
+        if held:
+            yield scored(held)
 
     # A row's number keeps rows apart that repeat a doc_id; the table is written before it is read twice.
     made = stage.put(base.mapInArrow(score, "doc_id long, n_tokens long, score double, frequent double, known long, rare array<binary>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
