@@ -85,7 +85,8 @@ def whitelist_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows (id, text) of whitelists -> id, tag, name: the tags in them, each once, with the rules' names for them."""
     tag = F.upper(F.regexp_replace("part", "[^0-9A-Fa-f]", ""))
     tags = texts.select("id", F.explode(F.split("text", r"[,;\s]+")).alias("part")).select("id", tag.alias("tag")).where(F.length("tag") == 8).distinct()
-    return tags.join(_small(rules.select("tag", "name")), "tag", "left").select("id", "tag", F.coalesce("name", F.lit("Unknown")).alias("name"))
+    unknown = F.when(_odd(), "Private Attribute (Vendor Specific)").otherwise("Unknown DICOM Attribute")
+    return tags.join(_small(rules.select("tag", "name")), "tag", "left").select("id", "tag", F.coalesce(S.missing(F.col("name")), unknown).alias("name"))
 
 
 def _small(rules: DataFrame) -> DataFrame:
@@ -270,6 +271,21 @@ def _with_equipment(out: DataFrame) -> DataFrame:
     return out.where("path <> '0018A001' or action <> 'remove'").unionByName(added, allowMissingColumns=True)
 
 
+def method_codes(o: Options) -> list[tuple[str, str]]:
+    """The standard's codes for how attributes were treated, with their meanings; for files whose pixels are known to be
+    clean, which no run claims by itself."""
+    # Codes of the standard.
+    codes = [("113100", "Basic Application Confidentiality Profile")]
+    codes += [("113108", "Retain Patient Characteristics Option")] * o.keepPatientCharacteristics
+    codes += [("113109", "Retain Device Identity Option")] * o.keepDeviceIdentity
+    codes += [("113112", "Retain Institution Identity Option")] * o.keepInstitutionIdentity
+    codes += [("113106", "Retain Longitudinal Temporal Information Full Dates Option") if o.keepDates else ("113107", "Retain Longitudinal Temporal Information Modified Dates Option")]
+    codes += [("113110", "Retain UIDs Option")] * (not o.remapUids)
+    codes += [("113111", "Retain Safe Private Option")] * (o.privateTags == "keep_safe")
+    codes += [("113104", "Clean Structured Content Option")] * (o.structuredContent == "sanitize")
+    return codes
+
+
 def contains_remappable_uid(attrs: DataFrame) -> DataFrame:
     """The sequences (instance_id, path) with has_uid: whether any UID that a new one would replace is within them."""
     uids = F.collect_list(F.when((F.col("vr") == "UI") & ~F.col("tag").isin(*INVARIANT_UIDS), F.col("path"))).over(W.partitionBy("instance_id"))

@@ -138,12 +138,12 @@ def distinct_names(rows: DataFrame, parent: list[str], key: str, base: str, seq:
 
     A name that was itself given as a base is passed over: counting goes on until a free one is found."""
     first = rows.groupBy(*parent, key, base).agg(F.min(seq).alias("_first"))
-    taken = F.collect_set(base).over(W.partitionBy(*parent))
+    taken = F.collect_set(F.when(F.rlike(base, F.lit("_DUP[0-9]{2,}$")), F.col(base))).over(W.partitionBy(*parent))  # few
     k = F.row_number().over(W.partitionBy(*parent, base).orderBy("_first", key))
     named = first.withColumn("_k", k).withColumn("_taken", taken)
     # The numbers 2, 3, ... whose names are free, of which the k-th name takes the one at k - 1.
     spare = F.filter(F.sequence(F.lit(2), F.col("_k") + F.size("_taken")), lambda n: ~F.array_contains(F.col("_taken"), with_suffix(F.col(base), n)))
-    number = F.when(F.col("_k") == 1, F.lit(1)).otherwise(F.element_at(spare, F.col("_k") - 1))
+    number = F.when((F.col("_k") == 1) | (F.size("_taken") == 0), F.col("_k")).otherwise(F.element_at(spare, F.col("_k") - 1))
     return named.select(*parent, key, with_suffix(F.col(base), number).alias("name"))
 
 

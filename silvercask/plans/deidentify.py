@@ -214,7 +214,7 @@ def rule_diff(spark, sf):
     return deid.rule_diff(p.where("p_partkey % 3 <> 0").select("tag", F.col("p_brand").alias("rule")), p.where("p_partkey % 5 <> 0").select("tag", F.when(F.col("p_partkey") % 7 == 0, "@keep").otherwise(F.col("p_brand")).alias("rule")))
 
 
-@query("""SELECT DISTINCT p_partkey AS id, lpad(upper(to_hex(p_partkey)), 8, '0') AS tag, CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'Unknown' END AS name FROM part UNION ALL SELECT p_partkey, '00100010', 'Unknown' FROM part""")
+@query("""SELECT DISTINCT p_partkey AS id, lpad(upper(to_hex(p_partkey)), 8, '0') AS tag, CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'Unknown DICOM Attribute' END AS name FROM part UNION ALL SELECT p_partkey, '00100010', 'Unknown DICOM Attribute' FROM part""")
 def tag_whitelist(spark, sf):
     p = table(spark, sf, "part")
     tag = F.lpad(F.hex("p_partkey"), 8, "0")

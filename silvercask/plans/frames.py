@@ -172,3 +172,17 @@ def redacted_frames(spark, sf):
     frames = made.select("instance_id", F.lit(0).alias("frame"), F.lit(1).alias("n_frames"), F.lit(160).alias("rows"), F.lit(480).alias("cols"), F.lit(1).alias("samples"), F.lit(8).alias("bits"), F.lit("MONOCHROME2").alias("photometric"), F.lit(R.RLE).alias("syntax"), F.when(F.col("instance_id") % 3 == 0, "NO").otherwise("YES").alias("burned_in"), "data")
     out = pixels.redact_frames(frames, lambda boxes: [b.text.startswith("NAME") for b in boxes])
     return out.select(F.col("instance_id").alias("p_partkey"), "n_boxes", "syntax", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT p_partkey, p_partkey % 5 <> 0 AND p_size % 4 <> 0 AS framed, p_partkey % 3 <> 0 AS rebuilt, CASE WHEN p_partkey % 3 = 0 THEN '1.2.840.10008.5.1.4.1.1.7' ELSE '1.2.3' END AS sop_class, CASE WHEN p_size % 2 = 0 THEN '1.2.840.10008.1.2.5' ELSE '1.2.840.10008.1.2.1' END AS syntax,
+ concat('[', 256 * (p_size % 100) + 1, ', ', 2, ']') AS words, concat('2024', lpad((p_size % 12 + 1)::VARCHAR, 2, '0'), '15') AS day FROM part""")
+def reconstruction(spark, sf):
+    """What a file is rebuilt from: whether it has frames, whether its header is complete, words in base64, dates with signs."""
+    k, i = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(k % 3 == 0, "").otherwise("1.2.3")
+    meta = R.meta_row(kind, F.concat(F.lit("1.2."), k), F.when(i % 2 == 0, R.RLE))
+    word = F.concat(F.unhex(F.lit("01")), F.unhex(F.lpad(F.hex(i % 100), 2, "0")), F.unhex(F.lit("020077")))
+    words = F.concat(F.lit("["), F.array_join(R.inline_words(F.base64(word)).cast("array<string>"), ", "), F.lit("]"))
+    day = F.concat(F.lit("2024-"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit(".15"))
+    framed = R.uses_frames(F.when(k % 5 == 0, "x").otherwise("512"), F.lit(512), i % 4)
+    return table(spark, sf, "part").select("p_partkey", framed.alias("framed"), R.reconstructable(kind, k.cast("string")).alias("rebuilt"), meta["sop_class"].alias("sop_class"), meta["syntax"].alias("syntax"), words.alias("words"), R.normalized_value(F.lit("DA"), day).alias("day"))

@@ -349,3 +349,8 @@ def test_export_from_end_to_end(spark, tmp_path):
     with pytest.raises(job.NothingSaved):
         job.export(items.where("sop = '1.2.3'"), rules, deid.Options("key"), str(tmp_path / "out2"), str(tmp_path / "work2"))
     assert job.deviations(job.preset("retain_dates", "k")) == ["keepPhysicians", "keepDescriptors", "keepExactTimes", "keepDates"] and job.deviations(job.preset("strict", "k")) == []
+
+
+def test_method_codes():
+    assert [c for c, _ in deid.method_codes(deid.Options("k"))] == ["113100", "113107"]
+    assert [c for c, _ in deid.method_codes(deid.Options("k", keepDates=True, remapUids=False, privateTags="keep_safe", structuredContent="sanitize"))] == ["113100", "113106", "113110", "113111", "113104"]
