@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -269,6 +270,19 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in counts.where(whole).collect()), key=lambda x: (-x[1], x[0]))
 
 
+class _Ranks(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The sum of each part of x between two edges."""
+    out, some = np.zeros(len(edge) - 1), np.flatnonzero(np.diff(edge))
+    if len(some):
+        out[some] = np.add.reduceat(x.astype(np.float64), edge[some])
+    return out
+
+
 def _groups(batches, size: int):
     """Texts of a sorted stream in groups of some ``size`` characters, wherever the batches end."""
     held, n = [], 0
@@ -301,18 +315,23 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
     top = commonest(counts.where(F.col("token") != F.lit(END)), max(table, vocabulary) - 2)
     known_n = dict(top) | {END: ends}
     top = top[: vocabulary - 2]
-    ids = {END: 1, **{token: i + 2 for i, (token, _) in enumerate(top)}}
     size = 2 + len(top)
     rare_tokens, rare_kinds = total - sum(n for _, n in top) - ends, kinds - len(top) - (ends > 0)
     frequency = np.array([rare_tokens, ends, *(n for _, n in top)], np.float64)
 
-    def numbered(split):
-        out = []
-        for w in split:
-            line = np.ones(len(w) + 1, np.int64)
-            line[:-1] = np.fromiter((ids.get(x, 0) for x in w), np.int64, len(w))
-            out.append(line)
-        return out
+    # The model's word of a rank in the table; the last entry is that of rank -1, of words that are not in it.
+    word_of = np.zeros(len(known_n) + 1, np.int32)
+    word_of[: len(top)] = np.arange(2, size)
+    ranks = _Ranks((x, i) for i, x in enumerate(x for x in known_n if x != END))
+
+    def ranked(split):
+        """Ranks of the words of all texts, one text after the other, and the model's words of each, with its end."""
+        n = np.array([len(w) for w in split])
+        flat = np.fromiter(map(ranks.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        ends = np.cumsum(n + 1)
+        line = np.ones(int(ends[-1]), np.int32)
+        line[np.delete(np.arange(len(line)), ends - 1)] = word_of[flat]
+        return flat, n, np.split(line, ends[:-1])
 
     weights = Model(size, hidden, frequency).vector()
 
@@ -321,7 +340,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
             for shard, rows in by_value(batches, "shard"):
                 model, seen = Model(size, hidden).load(start), 0
                 for texts_ in _groups(rows.to_batches(), 4 * PORTION):
-                    d = numbered([words(t) for t in texts_])
+                    d = ranked([words(t) for t in texts_])[2]
                     run(model, [x[a : a + PIECE] for x in d for a in range(0, len(x), PIECE)], lanes, window, rate)
                     seen += sum(map(len, d))
                 flat = np.rint(model.vector().astype(np.float64) * FIXED).astype(np.int64)
@@ -348,9 +367,12 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
         del learnt
         stage.drop(copies)
 
-    # Of each common token: its part of the base score, what it adds to that of the unknown word, and whether it is known.
+    # Of each rank: its part of the base score, what it adds to that of the unknown word, and whether it is known.
     low, under = math.log10(rare_tokens + 0.1 * (rare_kinds + 1)), math.log10(total + 0.1 * (kinds + 1))
-    table_ = {x: (math.log10(n + 0.1) - under, 0.0 if x in ids else math.log10(n + 0.1) - low, float(n > 0)) for x, n in known_n.items()}
+    common = np.array([n for x, n in known_n.items() if x != END] + [0], np.float64)
+    base_of = np.append(np.log10(common[:-1] + 0.1) - under, 0.0)
+    more_of = np.append(np.where(word_of[: len(common) - 1] > 0, 0.0, np.log10(common[:-1] + 0.1) - low), 0.0)
+    end_base, end_known = math.log10(ends + 0.1) - under, int(ends > 0)
 
     names = ["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"]
     kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
@@ -367,12 +389,13 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
         held, tokens = [], 0
         for own, texts_ in gathered(batches, 4 * PORTION):
             split, short = [words(t) for t in texts_], []
-            for i, w, d in zip(own, split, numbered(split)):
-                seen = Counter(w)
-                seen[END] = 1
-                rare = [(x, k) for x, k in seen.items() if x not in table_]
-                sums = np.array([table_[x] for x in seen if x in table_]).T @ np.array([k for x, k in seen.items() if x in table_], np.float64)
-                (held if len(d) > LONG else short).append((d.astype(np.int32), i, float(sums[1]), float(sums[0]), int(sums[2]), rare))
+            flat, n, lines = ranked(split)
+            edge = np.r_[0, np.cumsum(n)]
+            frequent, more, known, missed = (_sums(x, edge) for x in (base_of[flat], more_of[flat], flat >= 0, flat < 0))
+            for k, (i, w, d) in enumerate(zip(own, split, lines)):
+                a, b = edge[k], edge[k + 1]
+                rare = list(Counter(w[x] for x in np.flatnonzero(flat[a:b] < 0).tolist()).items()) if missed[k] else []
+                (held if len(d) > LONG else short).append((d, i, float(more[k]), float(frequent[k]) + end_base, int(known[k]) + end_known, rare))
                 tokens += len(d) if len(d) > LONG else 0
             if short:
                 yield scored(short)
