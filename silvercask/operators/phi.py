@@ -42,9 +42,9 @@ def pattern_score(text: Column, word: Column | None = None) -> Column:
 
 def fuzzy(a: Column, b: Column, most: int = 2) -> Column:
     """Equal; or of four letters and more, one within the other, or few edits for their length."""
-    d, longest = F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))
+    d, longest = F.levenshtein(a, b, most), F.greatest(F.length(a), F.length(b))  # -1: more than that
     both = (F.length(a) >= 4) & (F.length(b) >= 4)
-    return (a == b) | both & (F.contains(a, b) | F.contains(b, a) | (d <= most) & (d / longest <= 0.35))
+    return (a == b) | both & (F.contains(a, b) | F.contains(b, a) | (d >= 0) & (d / longest <= 0.35))
 
 
 def _deletions(c: Column) -> Column:
@@ -79,8 +79,8 @@ def fuzzy_pairs(known: DataFrame, tokens: DataFrame) -> DataFrame:
         found = found.unionByName(outer.join(a, "a", "left_semi"))
         near = b.where(F.length("b").between(long[0] - 2, long[-1] + 2)).select("b", F.explode(_neighbourhood(F.col("b"))).alias("key"))
         near = a.select("a", F.explode(_neighbourhood(F.col("a"))).alias("key")).join(near, "key").select("a", "b")
-        found = found.unionByName(near)
-    return found.distinct().where(fuzzy(F.col("a"), F.col("b")))
+        found = found.unionByName(near.where(F.abs(F.length("a") - F.length("b")) <= 2))
+    return found.where(fuzzy(F.col("a"), F.col("b"))).distinct()  # what is not similar is not shuffled again
 
 
 def reading_lines(boxes: DataFrame, step: int = 10, frame: str = "frame") -> DataFrame:
