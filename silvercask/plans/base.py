@@ -6,8 +6,6 @@ findings and payloads, pages = URLs.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +32,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def hmac_sql(value: str) -> str:
     """HMAC-SHA-256 of a text expression, as SQL."""
     key = SECRET.encode().ljust(64, b"\0")
-    assert len(key) == 64 and hashlib
     inner, outer = ("'" + "".join(f"\\x{x ^ y:02X}" for x in key) + "'::BLOB" for y in (0x36, 0x5C))
     return f"sha256({outer} || unhex(sha256({inner} || encode({value}))))"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import codec, pixels
 from ..operators import records as R
 from ..sources import part10

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import manifest as M
-from .base import GRAMMAR_SQL, INSTANCES, ITEMS, SECRET, instances, items, offset_sql, query, table, uid_sql  # noqa: F401
+from .base import GRAMMAR_SQL, INSTANCES, ITEMS, SECRET, instances, items, query, table, uid_sql
 
 _NAMES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.MODALITIES.items()) + " ELSE code END"
 
@@ -20,9 +20,6 @@ def catalog_payload(spark, sf):
     return M.catalogue(i).select("study", "n", F.size("series").cast("long").alias("n_series"), F.array_join(F.transform("series", lambda s: s["series"]), " ").alias("series"), "modalities")
 
 
-_SHORT = "right({0}, 28)"
-
-
 @query(f"""WITH u AS (SELECT *, CASE WHEN url = '' THEN '' ELSE regexp_replace(url, '&frame=2$', '') END AS object_url, row_number() OVER (PARTITION BY study, series ORDER BY seq) - 1 AS place FROM ({INSTANCES}) WHERE url <> '' OR has_file),
 n AS (SELECT *, coalesce(nullif(sop, ''), nullif(regexp_extract(object_url, 'objectUID=([^&]*)', 1), '')) AS uid FROM u),
 d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY study, series, coalesce(uid, nullif(object_url, ''), concat('instance-', place)), object_url ORDER BY seq) = 1),
@@ -66,7 +63,6 @@ SELECT study, series, 'series' AS kind, NULL AS object_uid, 0 AS entry, most AS
 UNION ALL SELECT study, series, 'singleframe', NULL, 0, 0, (total - multi)::BIGINT FROM s WHERE split AND total > multi
 UNION ALL SELECT study, series, 'multiframe', object_uid, row_number() OVER (PARTITION BY study, series ORDER BY first), frame_count, n FROM g JOIN (SELECT study, series FROM s WHERE split) USING (study, series)""")
 def multiframe_groups(spark, sf):
-    # Series are merged by supplier's last digit, so that some hold several objects.
     return M.selection_entries(instances(spark, sf))
 
 
