@@ -81,11 +81,12 @@ def whitelist_tags(given: str | tuple | list) -> list[str]:
     return list(dict.fromkeys(x for x in clean if len(x) == 8))
 
 
-def whitelist_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (id, text) of whitelists -> id, tag, name: the tags in them, each once, with the rules' names for them."""
+def whitelist_rows(texts: DataFrame, rules: DataFrame, private: str = "Private Attribute (Vendor Specific)") -> DataFrame:
+    """Rows (id, text) of whitelists -> id, tag, name: the tags in them, each once, with the rules' names for them;
+    those of odd groups that have none are ``private``."""
     tag = F.upper(F.regexp_replace("part", "[^0-9A-Fa-f]", ""))
     tags = texts.select("id", F.explode(F.split("text", r"[,;\s]+")).alias("part")).select("id", tag.alias("tag")).where(F.length("tag") == 8).distinct()
-    unknown = F.when(_odd(), "Private Attribute (Vendor Specific)").otherwise("Unknown DICOM Attribute")
+    unknown = F.when(_odd(), private).otherwise("Unknown DICOM Attribute")
     return tags.join(_small(rules.select("tag", "name")), "tag", "left").select("id", "tag", F.coalesce(S.missing(F.col("name")), unknown).alias("name"))
 
 

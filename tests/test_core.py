@@ -121,6 +121,16 @@ def test_fuzzy_document_tokens_takes_every_customer(spark, tmp_path):
     assert set(got) == set(range(1, 41)) and got[7] == (1, 2) and got[33] == (2, 3)
 
 
+def test_tag_whitelist_of_large_keys_against_sql(spark, tmp_path):
+    keys = [0, 7, 65535, 65536, 65537, 0x00100010, 0x00100011, 0x0FFFFFFF]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = duckdb.connect().execute(registry.ORACLES["tag_whitelist"].replace("FROM part", f"FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["tag_whitelist"](spark, str(tmp_path)).collect())) == sorted(want)
+    texts, rules = spark.createDataFrame([(1, "0009,1001 00091001 00100010 00100011")], "id long, text string"), spark.createDataFrame([("00100010", "Name")], "tag string, name string")
+    names = {r.tag: r.name for r in deid.whitelist_rows(texts, rules).collect()}
+    assert names == {"00091001": "Private Attribute (Vendor Specific)", "00100010": "Name", "00100011": "Unknown DICOM Attribute"}
+
+
 def walk(spark, rows, rules, **options):
     attrs = spark.createDataFrame([("i", p, p[-8:], vr, v) for p, vr, v in rows], "instance_id string, path string, tag string, vr string, value string")
     out = deid.apply_rules(attrs, spark.createDataFrame(rules, "tag string, rule string"), deid.Options("key", **options))
