@@ -11,6 +11,8 @@ Other lengths: pairs, of the lengths that do occur, by sorted joins: what is sma
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -220,6 +222,16 @@ def _same_length(known: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataF
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(collect, "id long, n_values long, n long")
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """df, computed once: in the folder that driver and executors share, or in a local session's own storage."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df.localCheckpoint()
+    path = f"{root.rstrip('/')}/fuzzy-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _near(lengths: list[int], others: list[int], c: Column) -> Column:
     """Whether a length has one or two more or less among the others."""
     return F.length(c).isin([n for n in lengths if any(abs(n - m) in (1, 2) for m in others)])
@@ -251,8 +263,8 @@ def _other_lengths(a: DataFrame, b: DataFrame, long: list[int], seen: list[int])
 def fuzzy_counts(known: DataFrame, tokens: DataFrame) -> DataFrame:
     """(a, n_values, n): for the distinct values a of known that have any, how many distinct tokens b are fuzzily like it,
     and the sum of their n. tokens: (b, n), each b once. Values are told apart by 64 bits, keys by 128."""
-    known = known.select("a").where("a is not null").distinct()
-    tokens = tokens.select("b", F.col("n").cast("long").alias("n")).where("b is not null")
+    known = _staged(known.select("a").where("a is not null").distinct())
+    tokens = _staged(tokens.select("b", F.col("n").cast("long").alias("n")).where("b is not null"))
     lengths = lambda df, c: sorted(r[0] for r in df.select(F.length(c)).distinct().collect())  # noqa: E731  (a row for each length)
     sizes, seen = lengths(known, "a"), lengths(tokens, "b")
     keyed = known.select(F.xxhash64("a").alias("id"), "a")
