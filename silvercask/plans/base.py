@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that are small but much work each, dealt to all cores: a file of them is a single task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def hmac_sql(value: str) -> str:
     """HMAC-SHA-256 of a text expression, as SQL."""
     key = SECRET.encode().ljust(64, b"\0")

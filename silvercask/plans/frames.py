@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import codec, pixels
 from ..operators import records as R
 from ..sources import part10
-from .base import query, table
+from .base import query, spread, table
 
 
 @query("SELECT l_orderkey, l_linenumber, len(list_filter(range(0, CAST(l_quantity AS BIGINT)), lambda f: f % 20 = 0 OR f = CAST(l_quantity AS BIGINT) // 2 OR f = CAST(l_quantity AS BIGINT) - 1)) AS frames FROM lineitem")
@@ -150,10 +150,10 @@ def micro_ocr(spark, sf):
 
     def read(batches):
         for batch in batches:
-            found = ["".join(b.text for b in pixels.find_text(pixels.rendered(pixels.drawn(f"ID{k % 1000}", 2, 160, 480), pixels.Image(160, 480)))) for k in batch.column("p_partkey").to_pylist()]
+            found = ["".join(b.text for b in pixels.find_text(pixels.seen(pixels.drawn(f"ID{k % 1000}", 2, 160, 480), pixels.Image(160, 480)))) for k in batch.column("p_partkey").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), pa.array(found, pa.string())], names=["p_partkey", "text"])
 
-    return table(spark, sf, "part").select("p_partkey").mapInArrow(read, "p_partkey long, text string")
+    return spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").mapInArrow(read, "p_partkey long, text string")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS n_boxes, '1.2.840.10008.1.2.5' AS syntax, CASE WHEN p_partkey % 5 = 0 THEN true ELSE false END AS failed FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 0, '1.2.840.10008.1.2.5', p_partkey % 3 <> 0 FROM part WHERE p_partkey % 5 = 0")

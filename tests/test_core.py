@@ -4,11 +4,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from silvercask.functions import scalars as S
-from silvercask.operators import codec, deid, fuzzy, phi
+from silvercask.operators import codec, deid, fuzzy, phi, pixels
 from silvercask.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -321,6 +322,21 @@ def test_masks_and_text_in_frames():
         pixels.Image(4, 4, bits=12)
 
 
+@pytest.mark.parametrize("query", ["micro_ocr"])
+def test_frames_are_dealt_to_all_cores(spark, query):
+    assert registry.QUERIES[query](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_text_is_found_in_brightness_as_in_colours():
+    rng = np.random.default_rng(3)
+    for photometric, center in (("MONOCHROME2", None), ("MONOCHROME1", None), ("MONOCHROME2", 90.0)):
+        image = pixels.Image(128, 512, photometric=photometric, center=center, width=150.0)
+        frame = np.maximum(pixels.drawn("NAME42", 2), rng.integers(0, 40, (128, 512), np.uint8))
+        frame = 255 - frame if photometric == "MONOCHROME1" else frame
+        assert (pixels.rendered(frame, image) == pixels.brightness(frame, image)[:, :, None]).all()
+        assert pixels.find_text(pixels.seen(frame, image)) == pixels.find_text(pixels.rendered(frame, image))
+
+
 def test_report(spark):
     from silvercask.operators import report
 
