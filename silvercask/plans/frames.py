@@ -167,7 +167,7 @@ def redacted_frames(spark, sf):
             data = [codec.encode_rle(pixels.drawn(f"NAME{k % 100}", 2, 160, 480).tobytes()) if k % 5 else b"broken" for k in keys]
             yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), pa.array(data, pa.binary())], names=["instance_id", "data"])
 
-    made = table(spark, sf, "part").select("p_partkey").mapInArrow(draw, "instance_id long, data binary")
+    made = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").mapInArrow(draw, "instance_id long, data binary")
     frames = made.select("instance_id", F.lit(0).alias("frame"), F.lit(1).alias("n_frames"), F.lit(160).alias("rows"), F.lit(480).alias("cols"), F.lit(1).alias("samples"), F.lit(8).alias("bits"), F.lit("MONOCHROME2").alias("photometric"), F.lit(R.RLE).alias("syntax"), F.when(F.col("instance_id") % 3 == 0, "NO").otherwise("YES").alias("burned_in"), "data")
     out = pixels.redact_frames(frames, lambda boxes: [b.text.startswith("NAME") for b in boxes])
     return out.select(F.col("instance_id").alias("p_partkey"), "n_boxes", "syntax", F.col("error").isNotNull().alias("failed"))

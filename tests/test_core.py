@@ -322,7 +322,7 @@ def test_masks_and_text_in_frames():
         pixels.Image(4, 4, bits=12)
 
 
-@pytest.mark.parametrize("query", ["micro_ocr"])
+@pytest.mark.parametrize("query", ["micro_ocr", "redacted_frames"])
 def test_frames_are_dealt_to_all_cores(spark, query):
     assert registry.QUERIES[query](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
