@@ -31,7 +31,7 @@ END = b"\n"  # no word has it
 #: Tokens that are trained on in one go; of a longer document, the next ones start from a state of zeros.
 PIECE = 2048
 #: Tokens of a document that is scored with other long ones, as many as there are in ``HELD`` tokens: side by side.
-LONG, HELD = 4096, 2_000_000
+LONG, HELD = 1024, 2_000_000
 #: Rows of a softmax that are worked on at a time, so that they stay in the cache.
 ROWS = 2048
 #: Weights are averaged as whole multiples of one part in this.
@@ -41,7 +41,8 @@ FIXED = float(1 << 32)
 class Model:
     """A GRU with one weight table for its input words, and a class-factored softmax over ``size`` words.
 
-    Word 0 is the unknown word; word ids are by rank, class c holds ids c * width to (c + 1) * width - 1.
+    Word 0 is the unknown word; word ids are by rank, class c holds ids c * width to (c + 1) * width - 1. Weights of the
+    gates come one gate after the other, so that all that is worked on lies in one piece; the last row of c and o is the bias.
     """
 
     def __init__(self, size: int, hidden: int, counts: np.ndarray | None = None, seed: int = 7):
@@ -50,12 +51,14 @@ class Model:
         self.width = max(1, math.isqrt(max(size - 1, 0)) + 1)
         self.classes = -(-size // self.width)
         r = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.w = {"x": r(size, 3 * hidden), "u": r(hidden, 2 * hidden), "v": r(hidden, hidden), "c": r(hidden, self.classes), "cb": np.zeros(self.classes, np.float32), "o": r(self.classes, hidden, self.width), "ob": np.zeros((self.classes, self.width), np.float32)}
+        gates = lambda a: np.ascontiguousarray(a.reshape(len(a), -1, hidden).transpose(1, 0, 2))
+        self.w = {"x": gates(r(size, 3 * hidden)), "u": gates(r(hidden, 2 * hidden)), "v": r(hidden, hidden), "c": r(hidden, self.classes), "o": r(self.classes, hidden, self.width)}
         n = np.zeros(self.classes * self.width)  # the output starts as the words' own frequencies
         n[:size] = 0.1 + (0 if counts is None else counts)
         n = n.reshape(self.classes, self.width)
-        self.w["cb"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
-        self.w["ob"] = np.where(n > 0, np.log(np.maximum(n, 1e-9) / n.sum(1, keepdims=True)), -30).astype(np.float32)
+        own = np.where(n > 0, np.log(np.maximum(n, 1e-9) / n.sum(1, keepdims=True)), -30)
+        self.w["c"] = np.concatenate([self.w["c"], np.log(n.sum(1) / n.sum()).astype(np.float32)[None]])
+        self.w["o"] = np.concatenate([self.w["o"], own.astype(np.float32)[:, None]], 1)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -67,112 +70,124 @@ class Model:
             at += v.size
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """Gates and next states for input words x and states h."""
-        n, w = self.hidden, self.w
-        a = w["x"].take(x, 0)
-        g = h @ w["u"]
-        g += a[:, : 2 * n]
-        g = _sigmoid(g)
-        z, r = g[:, :n], g[:, n:]
-        c = (r * h) @ w["v"]
-        c += a[:, 2 * n :]
+    def step(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, rh: np.ndarray, c: np.ndarray, new: np.ndarray) -> None:
+        """For input words x and states h: what both gates hold back (1 - gate), the reset states, candidates and next states."""
+        a = self.w["x"].take(x, 1)
+        np.matmul(h, self.w["u"], out=g)
+        g += a[:2]
+        _held_back(g)
+        np.multiply(h, g[1], out=rh)
+        np.subtract(h, rh, out=rh)
+        np.matmul(rh, self.w["v"], out=c)
+        c += a[2]
         c *= 2
-        c = _sigmoid(c)
-        c *= 2
-        c -= 1
-        new = c - h
-        new *= z
-        new += h
-        return z, r, c, new
+        _held_back(c)
+        c *= -2
+        c += 1
+        np.subtract(h, c, out=new)
+        new *= g[0]
+        new += c
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
         """Natural log probability of words y after states h; with grad, also the gradient of minus their sum.
 
         States are within (-1, 1), so sums of weights bound the logits, and no maximum has to be taken off them first."""
-        w = self.w
+        w, n = self.w, self.hidden
         k, j = np.divmod(y, self.width)
-        out = np.empty(len(y), h.dtype)
-        gh, gc, gcb = np.zeros_like(h), np.zeros_like(w["c"]), np.zeros_like(w["cb"])
+        order = _order(k, self.classes)
+        k, j = k[order], j[order]
+        cuts = np.searchsorted(k, np.arange(self.classes + 1))
+        rows = np.empty((len(y), n + 1), h.dtype)
+        rows[:, :n], rows[:, n] = h.take(order, 0), 1
+        lp, gh = np.empty(len(y), h.dtype), np.empty((len(y), n) if grad else (0, n), h.dtype)
+        gc, go = np.zeros_like(w["c"]), np.zeros_like(w["o"]) if grad else None
+        high = _high(w["c"])
         for a in range(0, len(y), ROWS):
-            here, own = h[a : a + ROWS], (np.arange(len(y[a : a + ROWS])), k[a : a + ROWS])
-            p, out[a : a + ROWS] = _softmax(here, w["c"], w["cb"], own, grad)
-            if grad:
-                p[own] -= 1
-                gh[a : a + ROWS] = p @ w["c"].T
-                gc += here.T @ p
-                gcb += p.sum(0)
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.classes + 1))
-        go, gob = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+            b = min(a + ROWS, len(y))
+            lp[a:b] = _softmax(rows[a:b], w["c"], k[a:b], high, gh[a:b] if grad else None, gc)
+        high = _high(w["o"])
+        more = np.empty((ROWS, n), h.dtype)
         for c in np.flatnonzero(np.diff(cuts)):
             for a in range(cuts[c], cuts[c + 1], ROWS):
-                at = order[a : min(a + ROWS, cuts[c + 1])]
-                here, own = h[at], (np.arange(len(at)), j[at])
-                q, lp = _softmax(here, w["o"][c], w["ob"][c], own, grad)
-                out[at] += lp
+                b = min(a + ROWS, cuts[c + 1])
+                lp[a:b] += _softmax(rows[a:b], w["o"][c], j[a:b], high, more[: b - a] if grad else None, go[c] if grad else None)
                 if grad:
-                    q[own] -= 1
-                    gh[at] += q @ w["o"][c].T
-                    go[c] += here.T @ q
-                    gob[c] += q.sum(0)
-        return (out, gh, {"c": gc, "cb": gcb, "o": go, "ob": gob}) if grad else out
+                    gh[a:b] += more[: b - a]
+        out = np.empty_like(lp)
+        out[order] = lp
+        if not grad:
+            return out
+        back = np.empty_like(gh)
+        back[order] = gh
+        return out, back, {"c": gc, "o": go}
+
 
+def _order(a: np.ndarray, most: int) -> np.ndarray:
+    """Numbers below ``most`` in a stable order; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(a.astype(np.uint16) if most <= 1 << 16 else a, kind="stable")
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(a, out=a)
-    np.minimum(a, 80, out=a)
+
+def _held_back(a: np.ndarray) -> None:
+    """1 - the logistic function, in place; what overflows is 0."""
     np.exp(a, out=a)
     a += 1
-    return np.reciprocal(a, out=a)
+    np.reciprocal(a, out=a)
+
 
+def _high(weights: np.ndarray) -> bool:
+    """Whether a logit may pass 80, of states within (-1, 1)."""
+    return bool((np.abs(weights[..., :-1, :]).sum(-2) + weights[..., -1, :]).max() > 80)
 
-def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: tuple, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(all probabilities if whole, log probabilities of the own ones)."""
-    e = h @ weights
-    e += bias
-    np.minimum(e, 80, out=e)
-    mine = e[own]
+
+def _softmax(rows: np.ndarray, weights: np.ndarray, own: np.ndarray, high: bool, gh: np.ndarray | None, gw: np.ndarray | None) -> np.ndarray:
+    """Log probabilities of the own columns; gh is set to the gradient of the states and added to gw that of the weights."""
+    e = rows @ weights
+    if high:
+        np.minimum(e, 80, out=e)
+    flat, at = e.reshape(-1), np.arange(0, e.size, e.shape[1])
+    at += own
+    mine = flat.take(at)
     np.exp(e, out=e)
-    total = e.sum(1)
-    if whole:
-        e /= total[:, None]
-    return e, np.maximum(mine - np.log(total), -69)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if gh is not None:
+        flat[at] -= total  # total times (probability - 1 for the own one)
+        part = np.reciprocal(total)[:, None]
+        np.matmul(e, weights[:-1].T, out=gh)
+        gh *= part
+        gw += (rows * part).T @ e
+    return np.maximum(mine - np.log(total), -69)
 
 
 class Streams:
     """Documents side by side: column b of a window goes on where it was, and takes the next document after an end."""
 
     def __init__(self, docs: list[np.ndarray], lanes: int):
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        self.lanes = [[] for _ in range(max(1, min(lanes, len(docs))))]
-        load = [(0, i) for i in range(len(self.lanes))]
-        for d in order.tolist():
-            n, i = heapq.heappop(load)
-            self.lanes[i].append(d)
-            heapq.heappush(load, (n + len(docs[d]), i))
-        self.tokens = [np.concatenate([docs[d] for d in lane]) if lane else np.empty(0, np.int64) for lane in self.lanes]
-        self.owner = [np.repeat(lane, [len(docs[d]) for d in lane]) for lane in self.lanes]
-        rank = np.argsort([-len(t) for t in self.tokens], kind="stable")
-        self.tokens, self.owner = [self.tokens[i] for i in rank], [self.owner[i] for i in rank]
+        size = np.array([len(d) for d in docs])
+        own = [[] for _ in range(max(1, min(lanes, len(docs))))]
+        load = [(0, i) for i in range(len(own))]
+        for d in np.argsort(-size, kind="stable").tolist():
+            n, i = load[0]
+            own[i].append(d)
+            heapq.heapreplace(load, (n + int(size[d]), i))
+        lens = np.array([size[lane].sum() for lane in own])
+        rank = np.argsort(-lens, kind="stable")  # lanes are sorted by length, and lie one after the other
+        line = np.array([d for i in rank for d in own[i] if size[d]])
+        self.lens = lens[rank]
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.y, self.owner = np.concatenate([docs[d] for d in line]).astype(np.int32), np.repeat(line, size[line])
+        self.fresh = np.zeros(len(self.y), bool)
+        self.fresh[np.cumsum(size[line]) - size[line]] = True
+        self.x = np.where(self.fresh, 1, np.roll(self.y, 1)).astype(np.int64)  # a document begins after an end, which is word 1
 
     def windows(self, size: int):
-        """(inputs, targets, owners, live lanes of each step); an input of -1 starts a document."""
-        lens = np.array([len(t) for t in self.tokens])
-        live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), "right")  # lanes are sorted by length
-        for a in range(0, int(lens[0]), size):
-            n, m = int(live[a]), min(size, int(lens[0]) - a)
-            y = np.full((n, m), -1, np.int32)
-            own, prev, last = y.copy(), np.full((n, m + 1), -1, np.int32), np.full((n, m + 1), -1, np.int32)
-            for i in range(n):
-                t = self.tokens[i][a : a + m]
-                y[i, : len(t)], own[i, : len(t)] = t, self.owner[i][a : a + m]
-                if a:
-                    prev[i, 0], last[i, 0] = self.tokens[i][a - 1], self.owner[i][a - 1]
-            prev[:, 1:], last[:, 1:] = y, own
-            x = np.where(last[:, :-1] == own, prev[:, :-1], -1)
-            yield x.T, y.T, own.T, live[a : a + m]
+        """(inputs, targets, owners, whether a document starts there, where each step starts); step after step, and in each
+        the lanes that are not over."""
+        live = np.searchsorted(-self.lens, -np.arange(1, self.lens[0] + 1), "right")
+        for a in range(0, int(self.lens[0]), size):
+            n, rows = live[a], live[a : a + size]
+            at = self.starts[:n] + np.arange(a, a + len(rows))[:, None]
+            at = at.ravel() if rows[-1] == n else at[np.arange(n) < rows[:, None]]
+            yield self.x[at], self.y[at], self.owner[at], self.fresh[at], np.r_[0, np.cumsum(rows)].tolist()
 
 
 def run(model: Model, docs: list[np.ndarray], lanes: int, window: int, rate: float = 0.0) -> np.ndarray:
@@ -181,54 +196,68 @@ def run(model: Model, docs: list[np.ndarray], lanes: int, window: int, rate: flo
     if not docs:
         return scores
     n, w = model.hidden, model.w
-    h = None
+    kind = w["v"].dtype
     square = {k: np.full(v.shape, 1e-4, np.float32) for k, v in w.items()} if rate else {}
-    for x, y, own, live in Streams(docs, lanes).windows(window):
-        h = np.zeros((x.shape[1], n), np.float32) if h is None else h[: x.shape[1]]
-        kept, states = [], []
-        for t in range(int((live > 0).sum())):
-            m = live[t]
-            fresh = x[t, :m] < 0
-            before = np.where(fresh[:, None], np.float32(0), h[:m])
-            word = np.where(fresh, 1, x[t, :m])  # a document begins after an end, which is word 1
-            z, r, c, new = model.step(word, before)
-            kept.append((word, fresh, before, z, r, c))
-            states.append(new)
-            h = new if m == len(h) else np.concatenate([new, h[m:]])
-        flat, target, owner = np.concatenate(states), np.concatenate([y[t, : len(s)] for t, s in enumerate(states)]), np.concatenate([own[t, : len(s)] for t, s in enumerate(states)])
-        if not rate:
-            scores += np.bincount(owner, model.log_probs(flat, target), len(docs))
-            continue
-        lp, gh, grads = model.log_probs(flat, target, True)
-        scores += np.bincount(owner, lp, len(docs))
-        cuts = np.cumsum([len(s) for s in states])[:-1]
-        gh = np.split(gh, cuts)
-        gx, gu, gv = np.zeros_like(w["x"]), np.zeros_like(w["u"]), np.zeros_like(w["v"])
-        back, words_, parts = np.zeros((x.shape[1], n), np.float32), [], []
-        for t in range(len(states) - 1, -1, -1):
-            word, fresh, before, z, r, c = kept[t]
-            m = len(word)
-            d = gh[t] + back[:m]
-            dc = d * z * (1 - c * c)
-            drh = dc @ w["v"].T
-            da = np.concatenate([d * (c - before) * z * (1 - z), drh * before * r * (1 - r)], 1)
-            gv += (r * before).T @ dc
-            gu += before.T @ da
-            words_.append(word)
-            parts.append(np.concatenate([da, dc], 1))
-            back[:m] = np.where(fresh[:, None], 0, d * (1 - z) + drh * r + da @ w["u"].T)
-        words_, parts = np.concatenate(words_), np.concatenate(parts)
-        order = np.argsort(words_, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(words_[order]) > 0])
-        gx[words_[order][first]] = np.add.reduceat(parts[order], first)
-        grads |= {"x": gx, "u": gu, "v": gv}
-        for k, g in grads.items():
-            g = np.clip(g, -50, 50)
-            square[k] += g * g
-            w[k] -= rate * g / np.sqrt(square[k])
+    h = np.zeros((min(lanes, len(docs)), n), kind)
+    with np.errstate(over="ignore"):
+        for x, y, owner, fresh, edge in Streams(docs, lanes).windows(window):
+            states = np.empty((len(x), n), kind)
+            # What is learnt from is kept for the whole window; else each step takes the place of the one before.
+            held = len(x) if rate else edge[1]
+            g, rh, c, before = np.empty((2, held, n), kind), np.empty((held, n), kind), np.empty((held, n), kind), np.empty((held, n), kind)
+            for a, b in zip(edge, edge[1:]):
+                at = slice(a, b) if rate else slice(0, b - a)
+                before[at] = h[: b - a]
+                if fresh[a:b].any():
+                    before[at][fresh[a:b]] = 0
+                h = states[a:b]
+                model.step(x[a:b], before[at], g[:, at], rh[at], c[at], h)
+            if not rate:
+                scores += np.bincount(owner, model.log_probs(states, y), len(docs))
+                continue
+            lp, gh, grads = model.log_probs(states, y, True)
+            scores += np.bincount(owner, lp, len(docs))
+            for k, v in (grads | _gradients(model, x, fresh, edge, g, rh, c, before, gh)).items():
+                np.clip(v, -50, 50, out=v)
+                part = v * v
+                square[k] += part
+                np.sqrt(square[k], out=part)
+                np.divide(v, part, out=part)
+                part *= rate
+                w[k] -= part
     return scores
 
 
+def _gradients(model: Model, x: np.ndarray, fresh: np.ndarray, edge: list[int], g: np.ndarray, rh: np.ndarray, c: np.ndarray, before: np.ndarray, gh: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of x, u and v from that of the states, which is added to: what does not hang on it is made at once."""
+    w, (q, s) = model.w, g
+    r = 1 - s
+    to_c, to_z, to_r = (1 - q) * (1 - c * c), (c - before) * q * (1 - q), before * r * s
+    d = np.empty((3, *gh.shape), gh.dtype)
+    back, (uz, ur), v = gh[:0], w["u"].transpose(0, 2, 1), w["v"].T
+    for a, b in zip(edge[-2::-1], edge[:0:-1]):
+        own = gh[a:b]
+        own[: len(back)] += back
+        dz, dr, dc = d[:, a:b]
+        np.multiply(own, to_c[a:b], out=dc)
+        drh = dc @ v
+        np.multiply(own, to_z[a:b], out=dz)
+        np.multiply(drh, to_r[a:b], out=dr)
+        back = own * q[a:b]
+        drh *= r[a:b]
+        back += drh
+        back += dz @ uz
+        back += dr @ ur
+        if fresh[a:b].any():
+            back[fresh[a:b]] = 0
+    order = _order(x, model.size)
+    words_ = x[order]
+    first = np.flatnonzero(np.r_[True, np.diff(words_) > 0])
+    gx = np.zeros_like(w["x"])
+    gx[:, words_[first]] = np.add.reduceat(d.take(order, 1), first, 1)
+    return {"x": gx, "u": np.matmul(before.T, d[:2]), "v": rh.T @ d[2]}
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 10 == 0
 
