@@ -30,7 +30,7 @@ from .shingles import words
 END = b"\n"  # no word has it
 #: Tokens that are trained on in one go; of a longer document, the next ones start from a state of zeros.
 PIECE = 2048
-#: Tokens of a document that is scored with other long ones, as many as there are in ``HELD`` tokens: side by side.
+#: Tokens of a document that is scored with other long ones; documents are scored side by side, those of ``HELD`` tokens at a time.
 LONG, HELD = 1024, 2_000_000
 #: Rows of a softmax that are worked on at a time, so that they stay in the cache.
 ROWS = 2048
@@ -312,21 +312,37 @@ def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(batches, size: int):
-    """Texts of a sorted stream in groups of some ``size`` characters, wherever the batches end."""
+def _groups(batches, size: int, code):
+    """Documents of a sorted stream in groups of some ``size`` characters, wherever the batches end."""
     held, n = [], 0
     for batch in batches:
-        for t in batch.column("text"):
-            t = t.as_py()
-            if held and n + len(t) > size:
+        for d, k in zip(batch.column("words"), batch.column("chars").to_pylist()):
+            if held and n + k > size:
                 yield held
                 held, n = [], 0
-            held.append(t)
-            n += len(t)
+            held.append(np.frombuffer(d.as_buffer(), code))
+            n += k
     if held:
         yield held
 
 
+def _added(columns, named):
+    """Work on batches of (part, seen, columns): of each part of the weights, the tokens seen and the sums of ``named``'s two
+    arrays. Weights times tokens are added up in whole numbers, as high and low halves, so that no order matters."""
+
+    def work(batches):
+        held = {}
+        for batch in batches:
+            for i, (part, seen) in enumerate(zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist())):
+                more = named(seen, *(np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in columns))
+                old = held.get(part)
+                held[part] = (old[0] + seen, old[1] + more[0], old[2] + more[1]) if old else (seen, *more)
+        for part, (seen, high, low) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([high.tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary())], names=["part", "seen", "high", "low"])
+
+    return work
+
+
 def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int = 65536, hidden: int = 16, window: int = 32, lanes: int = 512, rate: float = 0.1, rounds: int = 4, shard_size: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -348,19 +364,43 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
     rare_tokens, rare_kinds = total - sum(n for _, n in top) - ends, kinds - len(top) - (ends > 0)
     frequency = np.array([rare_tokens, ends, *(n for _, n in top)], np.float64)
 
+    code = np.uint16 if size <= 1 << 16 else np.uint32
     # The model's word of a rank in the table; the last entry is that of rank -1, of words that are not in it.
     word_of = np.zeros(len(known_n) + 1, np.int32)
     word_of[: len(top)] = np.arange(2, size)
     ranks = _Ranks((x, i) for i, x in enumerate(x for x in known_n if x != END))
 
     def ranked(split):
-        """Ranks of the words of all texts, one text after the other, and the model's words of each, with its end."""
+        """Ranks of the words of all texts, one text after the other, how many each has, and the model's words, with each text's end."""
         n = np.array([len(w) for w in split])
         flat = np.fromiter(map(ranks.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
         ends = np.cumsum(n + 1)
-        line = np.ones(int(ends[-1]), np.int32)
+        line = np.ones(int(ends[-1]), code)
         line[np.delete(np.arange(len(line)), ends - 1)] = word_of[flat]
-        return flat, n, np.split(line, ends[:-1])
+        return flat, n, line
+
+    # Of each rank: its part of the base score, what it adds to that of the unknown word, and whether it is known.
+    low, under = math.log10(rare_tokens + 0.1 * (rare_kinds + 1)), math.log10(total + 0.1 * (kinds + 1))
+    common = np.array([n for x, n in known_n.items() if x != END] + [0], np.float64)
+    base_of = np.append(np.log10(common[:-1] + 0.1) - under, 0.0)
+    more_of = np.append(np.where(word_of[: len(common) - 1] > 0, 0.0, np.log10(common[:-1] + 0.1) - low), 0.0)
+    end_base, end_known = math.log10(ends + 0.1) - under, int(ends > 0)
+
+    def numbered(batches):
+        """The model's words of each text, and what its score needs of the words that the model has not."""
+        for own, texts_ in gathered(batches, 4 * PORTION):
+            split = [words(t) for t in texts_]
+            flat, n, line = ranked(split)
+            edge = np.r_[0, np.cumsum(n)]
+            frequent, more, known, missed = (_sums(x, edge) for x in (base_of[flat], more_of[flat], flat >= 0, flat < 0))
+            rare = [list(Counter(w[x] for x in np.flatnonzero(flat[a:b] < 0).tolist()).items()) if m else [] for w, a, b, m in zip(split, edge, edge[1:], missed)]
+            cuts = (np.r_[0, np.cumsum(n + 1)] * line.itemsize).astype(np.int64)
+            coded = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(cuts), pa.py_buffer(line)]).cast(pa.binary())
+            columns = [pa.array(own, pa.int64()), pa.array([len(t) for t in texts_], pa.int64()), coded, pa.array(more), pa.array(frequent + end_base), pa.array(known.astype(np.int64) + end_known), pa.array([[x for x, _ in r] for r in rare], pa.list_(pa.binary())), pa.array([[k for _, k in r] for r in rare], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chars", "words", "more", "frequent", "known", "rare", "times"])
+
+    # Texts are cut into words once more only, after the counts. A row's number keeps rows apart that repeat a doc_id.
+    lines = stage.put(base.mapInArrow(numbered, "doc_id long, chars long, words binary, more double, frequent double, known long, rare array<binary>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
 
     weights = Model(size, hidden, frequency).vector()
 
@@ -368,82 +408,70 @@ def language_model_scores(docs: DataFrame, vocabulary: int = 4096, table: int =
         def work(batches):
             for shard, rows in by_value(batches, "shard"):
                 model, seen = Model(size, hidden).load(start), 0
-                for texts_ in _groups(rows.to_batches(), 4 * PORTION):
-                    d = ranked([words(t) for t in texts_])[2]
+                for d in _groups(rows.to_batches(), 4 * PORTION, code):
                     run(model, [x[a : a + PIECE] for x in d for a in range(0, len(x), PIECE)], lanes, window, rate)
                     seen += sum(map(len, d))
                 flat = np.rint(model.vector().astype(np.float64) * FIXED).astype(np.int64)
-                parts = np.array_split(np.arange(len(flat)), max(1, len(flat) // 4096))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p] for p in parts], pa.list_(pa.int64()))], names=["part", "seen", "weights"])
+                parts = np.array_split(flat, max(1, len(flat) // 4096))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "seen", "weights"])
 
         return work
 
-    # A shard's documents and their order come from the ids and texts alone, and copies are added up in whole numbers, so
+    # A shard's documents and their order come from the ids and words alone, and copies are added up in whole numbers, so
     # the model does not depend on how the table is cut into partitions or in which order tasks end.
-    characters = base.where(mine).agg(F.sum(F.length("text"))).first()[0] or 0
+    characters = lines.where(mine).agg(F.sum("chars")).first()[0] or 0
     shards = max(1, int(characters // shard_size))
     drawn = F.xxhash64("doc_id", F.lit(11))
-    dealt = base.where(mine).select(F.pmod(drawn, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(drawn, 20), F.lit(shards)).alias("shard"), "doc_id", "text")
+    dealt = lines.where(mine).select(F.pmod(drawn, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(drawn, 20), F.lit(shards)).alias("shard"), "doc_id", "words", "chars")
     for turn in range(rounds if total else 0):
-        rows = dealt.where(F.col("round") == turn).select("shard", "doc_id", "text")
-        rows = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc_id", "text")
-        copies = stage.put(rows.mapInArrow(train(weights), "part int, seen long, weights array<long>"))
-        each = copies.select("part", "seen", F.posexplode("weights").alias("i", "w")).groupBy("part", "i").agg((F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).cast("double") / F.sum("seen")).alias("w"))
-        learnt = each.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("i", "w")))["w"].alias("w")).collect()  # the model's size, whatever the corpus
+        rows = dealt.where(F.col("round") == turn).select("shard", "doc_id", "words", "chars")
+        rows = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc_id", "words", "chars")
+        copies = stage.put(rows.mapInArrow(train(weights), "part int, seen long, weights binary"))
+        halves = "part int, seen long, high binary, low binary"
+        some = stage.put(copies.mapInArrow(_added(["weights"], lambda seen, w: ((w >> 16) * seen, (w & 0xFFFF) * seen)), halves), 256)  # rows of 32 KB
+        learnt = some.repartition("part").mapInArrow(_added(["high", "low"], lambda seen, high, low: (high, low)), halves).collect()  # the model's size, whatever the corpus
         if learnt:
-            weights = np.concatenate([np.array(r["w"], np.float64) for r in sorted(learnt, key=lambda r: r["part"])]).astype(np.float64) / FIXED
+            halved = [(r["seen"], *(np.frombuffer(r[k], np.int64).astype(np.float64) for k in ("high", "low"))) for r in sorted(learnt, key=lambda r: r["part"])]
+            weights = np.concatenate([(high * 65536 + low) / seen for seen, high, low in halved]) / FIXED
             weights = weights.astype(np.float32)
         del learnt
-        stage.drop(copies)
-
-    # Of each rank: its part of the base score, what it adds to that of the unknown word, and whether it is known.
-    low, under = math.log10(rare_tokens + 0.1 * (rare_kinds + 1)), math.log10(total + 0.1 * (kinds + 1))
-    common = np.array([n for x, n in known_n.items() if x != END] + [0], np.float64)
-    base_of = np.append(np.log10(common[:-1] + 0.1) - under, 0.0)
-    more_of = np.append(np.where(word_of[: len(common) - 1] > 0, 0.0, np.log10(common[:-1] + 0.1) - low), 0.0)
-    end_base, end_known = math.log10(ends + 0.1) - under, int(ends > 0)
+        stage.drop(copies, some)
 
-    names = ["doc_id", "n_tokens", "score", "frequent", "known", "rare", "times"]
-    kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["row", "doc_id", "n_tokens", "score", "frequent", "known"]
+    kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def score(batches):
         model = Model(size, hidden).load(weights)
 
         def scored(some):
-            """Rows (tokens, doc_id, score of the common words that the model has not, base score, known, rare words)."""
+            """Rows (words, row, doc_id, score of the common words that the model has not, base score, known)."""
             natural = run(model, [r[0] for r in some], lanes, 64) / math.log(10)
-            columns = zip(*((i, len(d), float(n) + more, frequent, known, [x for x, _ in rare], [k for _, k in rare]) for n, (d, i, more, frequent, known, rare) in zip(natural, some)))
+            columns = zip(*((k, i, len(d), float(n) + more, frequent, known) for n, (d, k, i, more, frequent, known) in zip(natural, some)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], names=names)
 
-        held, tokens = [], 0
-        for own, texts_ in gathered(batches, 4 * PORTION):
-            split, short = [words(t) for t in texts_], []
-            flat, n, lines = ranked(split)
-            edge = np.r_[0, np.cumsum(n)]
-            frequent, more, known, missed = (_sums(x, edge) for x in (base_of[flat], more_of[flat], flat >= 0, flat < 0))
-            for k, (i, w, d) in enumerate(zip(own, split, lines)):
-                a, b = edge[k], edge[k + 1]
-                rare = list(Counter(w[x] for x in np.flatnonzero(flat[a:b] < 0).tolist()).items()) if missed[k] else []
-                (held if len(d) > LONG else short).append((d, i, float(more[k]), float(frequent[k]) + end_base, int(known[k]) + end_known, rare))
-                tokens += len(d) if len(d) > LONG else 0
-            if short:
-                yield scored(short)
-            if tokens > HELD:
-                yield scored(held)
-                held, tokens = [], 0
-        if held:
-            yield scored(held)
-
-    # A row's number keeps rows apart that repeat a doc_id; the table is written before it is read twice.
-    made = stage.put(base.mapInArrow(score, "doc_id long, n_tokens long, score double, frequent double, known long, rare array<binary>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
-    rare = made.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("k"))
+        held, tokens = {True: [], False: []}, {True: 0, False: 0}
+        for batch in batches:
+            for d, *rest in zip(batch.column("words"), *(batch.column(c).to_pylist() for c in ("row", "doc_id", "more", "frequent", "known"))):
+                d = np.frombuffer(d.as_buffer(), code)
+                long = len(d) > LONG
+                held[long].append((d, *rest))
+                tokens[long] += len(d)
+                if tokens[long] > HELD:
+                    yield scored(held[long])
+                    held[long], tokens[long] = [], 0
+        for some in held.values():
+            if some:
+                yield scored(some)
+
+    made = stage.put(lines.select("row", "doc_id", "words", "more", "frequent", "known").mapInArrow(score, "row long, doc_id long, n_tokens long, score double, frequent double, known long"))
+    rare = lines.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("k"))
     c = F.coalesce("n", F.lit(0))
     per = rare.join(counts, "token", "left").groupBy("row").agg(
         F.sum(F.col("k") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))).alias("rare_base"),
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((c + 0.1) / (rare_tokens + 0.1 * (rare_kinds + 1)))).alias("rare_score"),
     )
-    out = made.drop("rare", "times").join(per, "row", "left")
+    out = made.join(per, "row", "left")
     zero = F.lit(0.0)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("frequent") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("rare_score", zero)).alias("score"))
 
