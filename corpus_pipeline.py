@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvercask.llm import exact_dedup, ngram_join, packing, pii, quality
+from silvercask.llm.arrow import ROWS
 from silvercask.llm.common import Stage
 
 #: The key of a row while a stage decides.
@@ -64,10 +65,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars counts the new text. A null text stays null (and its
-    n_chars too); rows that repeat an id or a text are redacted one by one."""
+    n_chars too); rows that repeat an id or a text are redacted one by one. Staged, so that few rows at a time are in
+    Python whoever writes the result."""
     model = pii.Crf.train()
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    return pii.redacted_rows(docs, model).select(*[F.col(c) if c in rest else F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return Stage(spark, "pii").put(pii.redacted_rows(docs, model), rows=ROWS).select(*[F.col(c) if c in rest else F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,16 @@ from pyspark.sql.types import StructType
 PORTION = 2_000_000
 #: Texts that are worked on at a time, however short.
 TEXTS = 65_536
+#: Whole rows with their texts that go to Python at a time, where Spark's 10,000 are too large beside what else is held.
+ROWS = 512
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; else a worker that is reused keeps the most that any task before has held."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if give_back:
+        give_back(0)
 
 
 def portions(batch: pa.RecordBatch, limit: int = PORTION) -> Iterator[tuple[list, list[str]]]:

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from .arrow import portions
+from .arrow import ROWS, portions, trim
 from .common import Stage, documents, texts
 from .token_counts import byte_symbols
 
@@ -175,6 +175,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "do
                         crc = zlib.crc32(a[x:y].tobytes())
                         rows.append((i, k, x, y - x, crc, zlib.crc32(f"{i} {k} {crc}".encode())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
+        trim()
 
     return texts(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -187,7 +188,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col:
     fixed order (doc_id, piece, checksum); so a rerun gives the same packing.
     """
     spark = docs.sparkSession
-    made = Stage(spark, "packing").put(pieces(docs, path, size, end_id, id_col, text_col))
+    made = Stage(spark, "packing").put(pieces(docs, path, size, end_id, id_col, text_col), rows=ROWS)
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``size`` rows
     salts = max(16, max(counts.values(), default=0) // RANKED)
     lots = made.withColumn("salt", F.pmod("salt", F.lit(salts)))

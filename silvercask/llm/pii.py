@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import map_texts, portions
+from .arrow import map_texts, portions, trim
 from .common import WORD, documents, texts
 from .pii_labelled import LABELLED
 
@@ -294,17 +294,21 @@ def redact(text: str, found: list[Span]) -> str:
 
 
 def redacted_rows(docs: DataFrame, model: Crf | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with the text without personal data; a null text stays null. No shuffle."""
+    """The rows of docs, all columns, with the text without personal data; a null text stays null. No shuffle.
+
+    Rows go out a portion at a time, so a batch of Spark's is held once and never beside a whole batch of new texts.
+    """
     model = model or Crf.train()
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for _, texts_ in portions(pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at).fill_null("")], names=["i", "t"])):
-                out += [redact(t, every) for t, (_, every) in zip(texts_, spans(model, texts_))]
-            new = pa.compute.if_else(batch.column(at).is_null(), pa.scalar(None, pa.string()), pa.array(out, pa.string()))
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            for nth, texts_ in portions(pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at).fill_null("")], names=["i", "t"])):
+                part = batch.slice(nth[0], len(nth))
+                none = part.column(at).is_null().to_numpy(zero_copy_only=False)
+                new = pa.array([redact(t, every) for t, (_, every) in zip(texts_, spans(model, texts_))], pa.string(), mask=none)
+                yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(part.columns)], names=batch.schema.names)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

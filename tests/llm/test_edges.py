@@ -429,3 +429,23 @@ def test_weights_add_up_exactly_in_any_order():
 
     want = {p: (sum(n for q, n, _ in rows if q == p), [sum(int(w[i]) * n for q, n, w in rows if q == p) for i in range(6)]) for p in (0, 1)}
     assert total(rows) == want == total(rows[::-1])
+
+
+def test_pii_stage_rows_in_python(spark, monkeypatch):
+    """Few whole rows are in Python at a time, whoever writes the result; nulls keep their place between long texts."""
+    import corpus_pipeline
+
+    most, model = 512, pii.Crf.train()
+
+    class Few(pii.Crf):
+        def decode(self, lines):
+            assert len(lines) <= most, len(lines)
+            return super().decode(lines)
+
+    monkeypatch.setattr(pii.Crf, "train", classmethod(lambda cls: Few(model.tables, model.pairs)))
+    texts = [None if i % 7 == 0 else f"mail me{i}@home.org now" for i in range(3_000)]
+    texts[10:15] = [None, "a " * 800_000 + "me@home.org", None, "b" * 1_500_000, ""]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").coalesce(1)
+    got = sorted(tuple(r) for r in corpus_pipeline.pii_stage(spark, df, "").collect())
+    want = [(i, t and t.replace("me@home.org", "[EMAIL]") if len(t or "") > 99 else t and re.sub(r"me\d+@home.org", "[EMAIL]", t)) for i, t in enumerate(texts)]
+    assert got == [(i, t, None if t is None else len(t)) for i, t in want]
