@@ -16,6 +16,8 @@ PORTION = 2_000_000
 TEXTS = 65_536
 #: Whole rows with their texts that go to Python at a time, where Spark's 10,000 are too large beside what else is held.
 ROWS = 512
+#: The same in bytes, where rows without texts go to Python in the same plan and should not go a few at a time.
+BYTES = 1 << 20
 
 
 def trim() -> None:

@@ -40,6 +40,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of an Arrow batch.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What these settings are where a session sets nothing.
+DEFAULTS = {CLEANUP: "false", BATCH: "10000", BATCH_BYTES: "64m"}
 
 
 class Stage:
@@ -51,12 +55,12 @@ class Stage:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
 
-    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """df, written and read again. rows: how many at most go to Python at a time, where rows are large."""
+    def put(self, df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+        """df, written and read again. rows: how many at most go to Python at a time, where rows are large; size: how many bytes."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        settings = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {})
-        before = {k: self.spark.conf.get(k, "false" if k == CLEANUP else "10000") for k in settings}
+        settings = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {}) | ({BATCH_BYTES: str(size)} if size else {})
+        before = {k: self.spark.conf.get(k, DEFAULTS[k]) for k in settings}
         for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:

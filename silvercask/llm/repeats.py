@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import PORTION, portions
+from .arrow import BYTES, portions, trim
 from .common import Stage, documents, texts
 from .shingles import mixed
 
 K = 24
 #: Windows that are worked on at a time in one text.
 STRIDE = 1 << 20
+#: Contexts (32 bytes each) that are held to settle those that repeat, and rows that go out to Spark at a time.
+HELD, SENT = 1 << 21, 1 << 16
 #: Distinct contexts of an anchor that one task sorts.
 CROWD = 20_000
 #: Ids (8 bytes each) and bytes of spans that are broadcast at most.
@@ -86,28 +88,54 @@ def anchors(data: bytes, width: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 5
 
 
+def _repeated(h: np.ndarray, e: np.ndarray, doc: np.ndarray, shift: int) -> np.ndarray:
+    """Of each context, True but for the rows of the smallest document."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    some = order[np.r_[same, False] | np.r_[False, same]] if len(h) else order  # rows of one h
+    del order, same
+    some = some[np.lexsort((doc[some], e[some], h[some]))]
+    again = np.zeros(len(h), bool)
+    if len(some):
+        new = np.r_[True, (h[some[1:]] != h[some[:-1]]) | (e[some[1:]] != e[some[:-1]])]
+        first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        again[some] = (doc[some] >> shift) > (doc[first] >> shift)
+    return again
+
+
 def _anchor_rows(docs: DataFrame, width: int, shift: int) -> DataFrame:
     """(h, e, doc, place); place packs start, anchor - start and length. Documents are compared without their ``shift`` low bits.
 
-    Contexts that repeat within an Arrow batch are settled here: all but the one in the smallest document come out
-    with e null and a random h, as spans to remove. So a context of very many documents costs a row a batch.
+    Contexts that repeat among ``HELD`` of a task are settled here: all but the one in the smallest document come out
+    with e null and a random h, as spans to remove. So a context of very many documents costs a row a task, or a row for
+    each ``HELD`` contexts. Of the texts, only the anchors are held.
     """
     schema = "h long, e long, doc long, place long"
 
+    def settled(held):
+        h, e, doc, place = (np.concatenate([rows.pop(0) for _ in range(len(rows))]) for rows in held)
+        again = _repeated(h, e, doc, shift)
+        h[again] = mixed(doc[again].view(np.uint64) ^ h[again].view(np.uint64)).view(np.int64)
+        for x in range(0, len(h), SENT):
+            y = x + SENT
+            yield pa.RecordBatch.from_arrays([pa.array(h[x:y]), pa.array(e[x:y], mask=again[x:y]), pa.array(doc[x:y]), pa.array(place[x:y])], names=["h", "e", "doc", "place"])
+
     def run(batches):
+        held, n = ([], [], [], []), 0
         for batch in batches:
-            for ids, texts_ in portions(batch, 16 * PORTION):
+            for ids, texts_ in portions(batch):
                 rows = [anchors(t.encode(), width) for t in texts_]
                 doc = np.repeat(np.array(ids, np.int64), [len(r[0]) for r in rows])
                 h, e, start, off, size = (np.concatenate(c) for c in zip(*rows))
-                place = start << 16 | off << 8 | size
-                order = np.lexsort((doc, e, h))
-                h, e, doc, place = h[order], e[order], doc[order], place[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])] if len(h) else np.empty(0, bool)
-                least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
-                again = (doc >> shift) > (least >> shift)
-                h = np.where(again, mixed(doc.view(np.uint64) ^ h.view(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(e, mask=again), pa.array(doc), pa.array(place)], names=["h", "e", "doc", "place"])
+                for column, x in zip(held, (h, e, doc, start << 16 | off << 8 | size)):
+                    column.append(x)
+                n += len(h)
+                if n >= HELD:
+                    yield from settled(held)
+                    n = 0
+        if n:
+            yield from settled(held)
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -139,6 +167,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             if not is_open:
                 held = live.slice(int(first[-1]))
             yield from live.filter(pa.array(keep)).combine_chunks().to_batches()
+        trim()
 
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, e long, doc long, place long")
 
@@ -240,7 +269,7 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage, shift: int = 0) -> D
     """(doc, spans binary of int64 pairs): what is to be removed from each document that has something to remove. Of two
     documents that differ in their ``shift`` low bits only, none is smaller."""
     smaller = F.shiftright("least", shift) < F.shiftright("doc", shift)
-    seen = stage.put(_shared(_anchor_rows(docs, width, shift)))
+    seen = stage.put(_shared(_anchor_rows(docs, width, shift)), size=BYTES)
     least = stage.put(seen.where("e is not null").groupBy("h", "e").agg(F.min("doc").alias("least")))
     marked = seen.where("e is not null").join(least, ["h", "e"])
     start, size = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
@@ -260,8 +289,9 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage, shift: int = 0) -> D
                 at = [r["place"] >> 16 for r in rs]
                 text = [data[r["place"] >> 16 : (r["place"] >> 16) + (r["place"] & 255)] for r in rs]
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([i.as_py()] * len(h), pa.int64()), pa.array(at, pa.int64()), pa.array(text, pa.binary()), pa.array([r["contexts"] for r in rs], pa.int64())], names=["h", "doc", "at", "context", "contexts"])
+        trim()
 
-    contexts = stage.put(joined.mapInArrow(cut, "h long, doc long, at long, context binary, contexts long"))
+    contexts = stage.put(joined.mapInArrow(cut, "h long, doc long, at long, context binary, contexts long"), size=BYTES)
     stage.drop(seen, least, many, asked)
 
     def scan(batches):
@@ -269,11 +299,15 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage, shift: int = 0) -> D
         if not parts:
             return
         t = pa.Table.from_batches(parts).sort_by([("h", "ascending")])
+        del parts
         h, doc, at = (t.column(c).to_numpy() for c in ("h", "doc", "at"))
-        found = context_spans(h, doc >> shift, [x.as_py() for x in t.column("context")], width)
-        n = [len(f) for f in found]
-        flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2) + np.repeat(at, n)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc", "a", "b"])
+        text = t.column("context")
+        for x, y in _portions(h, pa.compute.binary_length(text).to_numpy() - width + 1):
+            found = context_spans(h[x:y], doc[x:y] >> shift, text[x:y].to_pylist(), width)
+            n = [len(f) for f in found]
+            flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2) + np.repeat(at[x:y], n)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[x:y], n)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc", "a", "b"])
+        trim()
 
     outer = contexts.where(F.col("contexts") <= CROWD).repartition("h").mapInArrow(scan, "doc long, a long, b long")
     crowd = contexts.where(F.col("contexts") > CROWD)
@@ -290,6 +324,7 @@ def repeat_spans(docs: DataFrame, width: int, stage: Stage, shift: int = 0) -> D
             offs = lists.offsets.to_numpy()
             got = [_merged(flat[x:y]).tobytes() for x, y in zip(offs, offs[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(got, pa.binary())], names=["doc", "spans"])
+        trim()
 
     out = stage.put(every.mapInArrow(merge, "doc long, spans binary"))
     return out
@@ -315,7 +350,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     Null text counts as empty. Texts shorter than ``width`` bytes keep everything. Rows that repeat a doc_id, with the
     same text or another, are answered one by one; a string in two rows of one id does not count as a repeat. Rows
     with a null doc_id keep everything. Kept bytes need not be valid UTF-8, since spans are spans of bytes. An empty
-    table gives an empty result.
+    table gives an empty result. Digests are staged, so that few texts at a time are in Python whoever writes them.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "repeats")
     base = texts(docs, id_col, text_col)
@@ -342,8 +377,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] if digest else [pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        trim()
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, kept binary, spans array<array<long>>")
+    if not digest:
+        return joined.mapInArrow(cut, "doc_id long, kept binary, spans array<array<long>>")
+    out = stage.put(joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), size=BYTES)
+    stage.drop(spans)
+    return out
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,3 +449,45 @@ def test_pii_stage_rows_in_python(spark, monkeypatch):
     got = sorted(tuple(r) for r in corpus_pipeline.pii_stage(spark, df, "").collect())
     want = [(i, t and t.replace("me@home.org", "[EMAIL]") if len(t or "") > 99 else t and re.sub(r"me\d+@home.org", "[EMAIL]", t)) for i, t in enumerate(texts)]
     assert got == [(i, t, None if t is None else len(t)) for i, t in want]
+
+
+def test_repeats_hold_few_texts(spark, monkeypatch):
+    """A megabyte of texts at a time is in Python, and of contexts that repeat in a task still only one goes on."""
+    from silvercask.llm.arrow import BYTES
+    from silvercask.llm.common import BATCH_BYTES
+
+    real, rng = repeats.portions, random.Random(5)
+
+    def few(batch, *a):
+        assert batch.nbytes < 2 * BYTES, batch.nbytes
+        yield from real(batch, *a)
+
+    monkeypatch.setattr(repeats, "portions", few)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared, data, want, ends = word(1_000), [], [], set()
+    for i in range(3_000):
+        own = word(1_000)
+        data.append((i, own + shared))
+        longer = max((k for k in range(1, 12) if own[-k:] in ends), default=0)  # what stands before the shared part in a smaller document, too
+        kept = own[: len(own) - longer] if i else own + shared
+        want.append((i, 2_000, 2_000 - len(kept), int(i > 0), hashlib.sha256(kept.encode()).hexdigest()))
+        ends |= {own[-k:] for k in range(1, 12)}
+    docs = table(spark, data).coalesce(1)
+    assert sorted(tuple(r) for r in repeats.remove_repeats(docs, digest=True).collect()) == want
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(BYTES))
+    try:
+        rows = repeats._anchor_rows(docs, 50, 0).where("e is not null").groupBy("h", "e").count()
+        assert rows.where("count > 1").isEmpty() and rows.count() > 100_000
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+@pytest.mark.parametrize("held", [1, 40])
+def test_repeats_settled_piece_by_piece(docs, held, monkeypatch):
+    """Where few contexts are held and few rows sent at a time, the result is the same."""
+    want = sorted(tuple(r) for r in repeats.remove_repeats(docs, digest=True).collect())
+    monkeypatch.setattr(repeats, "portions", lambda batch, *a: (([i.as_py()], [t.as_py()]) for i, t in zip(*batch.columns)))
+    monkeypatch.setattr(repeats, "HELD", held)
+    monkeypatch.setattr(repeats, "SENT", 7)
+    assert sorted(tuple(r) for r in repeats.remove_repeats(docs, digest=True).collect()) == want
