@@ -46,6 +46,11 @@ def first_non_empty(*cs: Column) -> Column:
     return F.coalesce(*(missing(F.trim(c)) for c in cs), F.lit(""))
 
 
+def once(c: Column, f) -> Column:
+    """f of a value that it reads more than once: a lambda's variable is worked out once, a repeated expression each time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def pad_left(c: Column, n: int = 3) -> Column:
     """Zeros in front, without cutting what is longer."""
     return F.lpad(c, F.greatest(F.lit(n), F.length(c)), F.lit("0"))
@@ -146,7 +151,7 @@ def day_offset(subject: Column, secret: str) -> Column:
     name = F.trim(F.coalesce(subject, F.lit("")))
     known = F.when((name == "") | (name == "UNKNOWN"), NO_SUBJECT).otherwise(name)
     n = F.pmod(F.conv(F.substring(keyed_hash(F.concat(F.lit("date/"), known), secret), 1, 8), 16, 10).cast("long"), F.lit(3651)) - 1825
-    return F.when(n == 0, 1).otherwise(n).cast("int")
+    return once(n, lambda n: F.when(n == 0, 1).otherwise(n)).cast("int")
 
 
 def shift_date(c: Column, days: Column, keep_times: bool = False) -> Column:
@@ -159,9 +164,9 @@ def shift_date(c: Column, days: Column, keep_times: bool = False) -> Column:
 
 def mapped_uid(c: Column, secret: str) -> Column:
     """A new UID from a keyed hash: 2.25. and 31 digits. Empty ones stay empty."""
-    h = keyed_hash(F.concat(F.lit("uid/"), c), secret)
-    part = lambda i: pad_left(F.conv(F.substring(h, i, 12), 16, 10), 15)
-    return F.when(c == "", c).otherwise(F.concat(F.lit("2.25.1"), part(1), part(13)))
+    part = lambda h, i: F.lpad(F.conv(F.substring(h, i, 12), 16, 10), 15, "0")
+    new = once(keyed_hash(F.concat(F.lit("uid/"), c), secret), lambda h: F.concat(F.lit("2.25.1"), part(h, 1), part(h, 13)))
+    return F.when(c == "", c).otherwise(new)
 
 
 def retry_delay(attempt: Column, after: Column) -> Column:

@@ -3,7 +3,8 @@
 An attribute table has instance_id, path, tag, vr and value. The path of an attribute in a sequence's item is
 ``SEQUENCE[item].TAG``, nested as deep as needed; several values are separated by a backslash. A sequence's own value is
 its number of items (null: some). What an attribute's ancestors or neighbours decide comes from lists over the rows of its
-instance, so one exchange by instance is all that a walk needs.
+instance, so one exchange by instance is all that a walk needs. A table of whole instances (instance_id and attributes, an
+array of path, tag, vr and value) needs none.
 """
 
 from __future__ import annotations
@@ -99,10 +100,28 @@ def _each(c: Column, f) -> Column:
     return F.array_join(F.transform(F.split(c, r"\\"), f), "\\")
 
 
-def subject_key() -> Column:
+def _over_rows(which, value) -> Column:
+    """The values of those attributes of an instance, from the rows of a window. Both read an attribute by ``at(name)``."""
+    return F.collect_list(F.when(which(F.col), value(F.col))).over(W.partitionBy("instance_id"))
+
+
+def _in_array(which, value) -> Column:
+    """The same from the attributes of a whole instance."""
+    return F.transform(F.filter("attributes", lambda a: which(a.getField)), lambda a: value(a.getField))
+
+
+def _subject_values(listed) -> Column:
+    """The attributes (path, value) of an instance that may say whose it is."""
+    return listed(lambda at: at("path").isin("00100020", "00100010", "00100030", "0020000D"), lambda at: F.struct(at("path").alias("path"), at("value").alias("value")))
+
+
+def subject_key(values: Column | None = None) -> Column:
     """Over the rows of an instance: its patient id, else name and birth date, else study, else the instance itself."""
-    w = W.partitionBy("instance_id")
-    top = lambda tag: F.coalesce(F.max(F.when(F.col("path") == tag, F.trim("value"))).over(w), F.lit(""))
+    return S.once(_subject_values(_over_rows) if values is None else values, _subject)
+
+
+def _subject(values: Column) -> Column:
+    top = lambda tag: F.coalesce(F.array_max(F.transform(F.filter(values, lambda v: v["path"] == tag), lambda v: F.trim(v["value"]))), F.lit(""))
     patient, name, birth, study = (top(t) for t in ("00100020", "00100010", "00100030", "0020000D"))
     return (
         F.when((patient != "") & (patient != "UNKNOWN"), patient)
@@ -127,53 +146,69 @@ def _dataset(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9A-Za-z]{8}$", "")
 
 
+def _element(tag: Column) -> Column:
+    return F.conv(F.substring(tag, 5, 4), 16, 10).cast("int")
+
+
+def _creators(listed) -> Column:
+    """The elements (path, value) of an instance that name creators of private attributes."""
+    named = lambda at: _odd(at("tag")) & _element(at("tag")).between(0x10, 0xFF) & (F.coalesce(at("value"), F.lit("")) != "")
+    return listed(named, lambda at: F.struct(at("path").alias("path"), at("value").alias("value")))
+
+
 def safe_private(attrs: DataFrame, safe: DataFrame) -> DataFrame:
-    """Private attributes with is_safe: creator elements always; others if the element that names their creator
-    stands in the same item and safe (creator, grp, lo, hi: ranges of the low byte) lists them."""
-    w = W.partitionBy("instance_id")
-    element = F.conv(F.substring("tag", 5, 4), 16, 10).cast("int")
+    """Private attributes (with _creators) with is_safe: creator elements always; others if the element that names their
+    creator stands in the same item and safe (creator, grp, lo, hi: ranges of the low byte) lists them."""
+    element = _element(F.col("tag"))
     block = F.floor(element / 256).cast("int")
     creator_tag = F.concat(F.substring("tag", 1, 4), F.lit("00"), F.lpad(F.hex(block), 2, "0"))
     is_creator = element.between(0x10, 0xFF)
-    named = F.collect_list(F.when(_odd() & is_creator & (F.coalesce("value", F.lit("")) != ""), F.struct("path", "value"))).over(w)
     wanted = F.concat(_dataset(F.col("path")), creator_tag)
     creator = F.when(block >= 0x10, F.get(F.filter(F.col("_creators"), lambda c: c["path"] == F.col("_wanted")), F.lit(0))["value"])
     rules = safe.groupBy("creator", F.lower("grp").alias("grp")).agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    rows = attrs.withColumn("_creators", named).withColumn("_wanted", wanted).withColumn("_creator", F.split(creator, r"\\")[0]).drop("_creators", "_wanted")
+    rows = attrs.withColumn("_wanted", wanted).withColumn("_creator", F.split(creator, r"\\")[0]).drop("_creators", "_wanted")
     rows = rows.join(_small(rules), (F.col("_creator") == F.col("creator")) & (F.lower(F.substring("tag", 1, 4)) == F.col("grp")), "left")
     listed = F.coalesce(F.exists("_ranges", lambda r: (element % 256 >= r["lo"]) & (element % 256 <= r["hi"])), F.lit(False))
     return rows.withColumn("is_safe", is_creator | listed).drop("_creator", "creator", "grp", "_ranges")
 
 
-def _odd() -> Column:
-    return F.conv(F.substring("tag", 4, 1), 16, 10).cast("int") % 2 == 1
+def _odd(tag: Column | None = None) -> Column:
+    return F.conv(F.substring("tag" if tag is None else tag, 4, 1), 16, 10).cast("int") % 2 == 1
 
 
-def _own_action(o: Options) -> Column:
-    """What the rules say of an attribute by itself. The first case that applies decides."""
-    tag, vr, rule = F.col("tag"), F.col("vr"), F.col("rule")
-    group = F.substring("tag", 1, 4)
-    has = lambda word: F.contains(rule, F.lit(word))
-    keep = lambda flag: F.lit("keep" if flag else "remove")
-    private = F.lit("keep") if o.privateTags == "keep_all" else F.when((vr != "SQ") & F.col("is_safe"), "keep").otherwise("remove") if o.privateTags == "keep_safe" else F.lit("remove")
+def _own_action(o: Options, at) -> Column:
+    """What the rules say of an attribute by itself; remove? is a sequence that goes if no UID within has to stay. The
+    first case that applies decides."""
+    tag, vr, rule = at("tag"), at("vr"), at("rule")
+    group = F.substring(tag, 1, 4)
+    private = F.lit("keep") if o.privateTags == "keep_all" else F.when((vr != "SQ") & at("is_safe"), "keep").otherwise("remove") if o.privateTags == "keep_safe" else F.lit("remove")
     out = F.when(tag.isin(whitelist_tags(o.whitelist)), "keep")
     for flag, which in ((o.keepOverlays, group.startswith("60")), (o.keepCurves, group.startswith("50")), (o.keepPhysicians, tag.isin(*PHYSICIANS)), (o.keepAcquisitionParameters, tag.isin(*ACQUISITION)), (o.keepComments, tag.isin(*COMMENTS))):
         out = out.when(which, "keep") if flag else out
     for value, which in ((o.newPatientSex, "00100040"), (o.newStudyDescription, "00081030"), (o.newSeriesDescription, "0008103E")):
         out = out.when(tag == which, "replace") if value else out
     meta = F.when(tag == "00020003", "uid" if o.remapUids else "keep").when(tag == "00020013", "replace").when(tag.isin(*META_KEPT), "keep").otherwise("remove")
-    items = (vr == "SQ") & ~F.coalesce(F.col("value").isin("", "0"), F.lit(False))
-    stays = _holds(F.col("_uids")) if o.preserveUidReferences else F.lit(False)
+    items = (vr == "SQ") & ~F.coalesce(at("value").isin("", "0"), F.lit(False))
     return (
-        out.when(_odd(), private)
+        out.when(_odd(tag), private)
         .when(rule.isNull() & (group == "0002"), meta)
         .when(rule.isNull(), "remove")
         .when(items & (tag == CONTENT), "sanitize" if o.structuredContent == "sanitize" else "remove")
-        .when(items & has("@remove") & ~stays, "remove")
+        .when(items & F.contains(rule, F.lit("@remove")), "remove?" if o.preserveUidReferences else "remove")
         .when(items, "recurse")
         .when((vr == "TM") & F.lit(not o.keepExactTimes), "remove")
         .when(vr == "UI", F.when(tag.isin(*INVARIANT_UIDS) | F.lit(not o.remapUids), "keep").otherwise("uid"))
-        .when((rule == "") | (rule == "@keep"), "keep")
+        .otherwise(at("_says"))
+    )
+
+
+def _says(o: Options) -> Column:
+    """What a rule says of its tag where nothing before it in the chain decides: worked out once a rule, not once a row."""
+    tag, rule = F.col("tag"), F.col("rule")
+    has = lambda word: F.contains(rule, F.lit(word))
+    keep = lambda flag: F.lit("keep" if flag else "remove")
+    return (
+        F.when((rule == "") | (rule == "@keep"), "keep")
         .when(has("@empty"), "empty")
         .when(has("@uid"), "uid" if o.remapUids else "keep")
         .when(has("@ptid"), F.when(tag == "00100010", "name").otherwise("patient"))
@@ -192,50 +227,89 @@ def _own_action(o: Options) -> Column:
     )
 
 
-def _content_action() -> Column:
+def _content_action(at) -> Column:
     """Within structured content: texts and names go, UIDs and dates are mapped whatever the options say, private
     attributes go, and of an item of unknown type only its skeleton stays."""
-    tag, kind = F.col("tag"), F.upper(F.coalesce(F.get(F.split(F.col("_type"), r"\\"), F.lit(0)), F.lit("")))
+    own_type = F.get(F.filter("_types", lambda t: t["path"] == F.concat(_dataset(at("path")), F.lit(VALUE_TYPE))), F.lit(0))["value"]
+    tag, kind = at("tag"), F.upper(F.coalesce(F.get(F.split(own_type, r"\\"), F.lit(0)), F.lit("")))
     return (
         F.when((kind != "") & ~kind.isin(*VALUE_TYPES) & ~tag.isin(*CONTENT_SKELETON), "remove")
-        .when(_odd(), "remove")
-        .when((F.col("vr") == "PN") | tag.isin(*CONTENT_NAMES), "name")
+        .when(_odd(tag), "remove")
+        .when((at("vr") == "PN") | tag.isin(*CONTENT_NAMES), "name")
         .when(tag.isin(*CONTENT_TEXT), "text")
         .when(tag == "0040A124", "uid")
         .when(tag.isin(*CONTENT_DATES), "shift")
         .when(tag == "0040A122", "empty")
-        .when(F.col("vr") == "SQ", "recurse")
+        .when(at("vr") == "SQ", "recurse")
         .otherwise("keep")
     )
 
 
+def _outermost(at) -> Column:
+    """What is done with the outermost sequence around an attribute that is not walked through; null without one."""
+    found = F.array_min(F.filter("_around", lambda s: F.startswith(at("path"), s["path"])))["_own"]
+    return F.when(F.contains(at("path"), F.lit("[")), found)
+
+
+def _with_lookup(rows: DataFrame, table: DataFrame) -> tuple[DataFrame, object]:
+    """Whole instances with _rules, the rules by group and tag, and what reads an attribute of the array with its rule."""
+    group = table.groupBy(F.substring("tag", 1, 4).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("rule", "_says")))).alias("m"))
+    found = lambda a: F.try_element_at(F.try_element_at(F.col("_rules"), F.substring(a["tag"], 1, 4)), a["tag"])
+    # A sequence is never safe by a list of private attributes.
+    reader = lambda a: lambda name: found(a)[name] if name in ("rule", "_says") else F.lit(False) if name == "is_safe" else a[name]
+    return rows.crossJoin(F.broadcast(group.agg(F.map_from_entries(F.collect_list(F.struct("g", "m"))).alias("_rules")))), reader
+
+
+def _with_own(rows: DataFrame, table: DataFrame, o: Options, safe: DataFrame | None) -> DataFrame:
+    """Rows with their rule and _own, what it says of them."""
+    if o.privateTags == "keep_safe":
+        rows = rows.withColumn("is_safe", _element(F.col("tag")).between(0x10, 0xFF)) if safe is None else safe_private(rows, safe)
+    return rows.join(table, "tag", "left").withColumn("_own", _own_action(o, F.col))
+
+
 def apply_rules(attrs: DataFrame, rules: DataFrame, options: Options, safe: DataFrame | None = None) -> DataFrame:
     """attrs (instance_id, path, tag, vr, value and, where known, subject) and rules (tag, rule) -> with action and new_value.
 
     Removed attributes stay as rows with action remove; what is within a removed sequence leaves no rows. Sequences that
     are kept without a look inside keep all that is in them. safe: private attributes that privateTags='keep_safe' keeps.
+    attrs may be whole instances (instance_id, attributes, maybe subject), one row each: then nothing is exchanged.
     """
-    o, w = options, W.partitionBy("instance_id")
-    if "subject" not in attrs.columns:
-        attrs = attrs.withColumn("subject", subject_key())
-    if o.privateTags == "keep_safe" and safe is not None:
-        attrs = safe_private(attrs, safe)
-    elif o.privateTags == "keep_safe":
-        attrs = attrs.withColumn("is_safe", F.conv(F.substring("tag", 5, 4), 16, 10).cast("int").between(0x10, 0xFF))
-    uids = F.collect_list(F.when((F.col("vr") == "UI") & ~F.col("tag").isin(*INVARIANT_UIDS), F.col("path"))).over(w)
-    types = F.collect_list(F.when(F.col("tag") == VALUE_TYPE, F.struct("path", "value"))).over(w)
-    out = attrs.join(_small(rules.select("tag", F.trim("rule").alias("rule"))), "tag", "left").withColumn("_uids", uids).withColumn("_own", _own_action(o))
-    sequence = (F.col("vr") == "SQ") & F.col("_own").isin("remove", "keep", "sanitize")
-    around = F.collect_list(F.when(sequence, F.struct(F.length("path").alias("size"), "path", "_own"))).over(w)
-    outermost = F.array_min(F.filter("_around", lambda s: F.startswith(F.col("path"), F.concat(s["path"], F.lit("[")))))["_own"]
-    out = out.withColumn("_around", around).withColumn("_types", types).withColumn("_outer", outermost)
-    own_type = F.get(F.filter("_types", lambda t: t["path"] == F.concat(_dataset(F.col("path")), F.lit(VALUE_TYPE))), F.lit(0))["value"]
-    out = out.withColumn("_type", own_type).drop("_around", "_types", "_uids")
-    action = F.when(F.col("_outer") == "keep", "keep").when(F.col("_outer") == "sanitize", _content_action()).otherwise(F.col("_own"))
+    o, whole, few = options, "attributes" in attrs.columns, rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS
+    if whole and not few:
+        attrs, whole = attrs.select(*(c for c in attrs.columns if c != "attributes"), F.inline("attributes")), False
+    listed = _in_array if whole else _over_rows
+    sanitizes, lists = o.structuredContent == "sanitize", o.privateTags == "keep_safe" and safe is not None
+    table = rules.select("tag", F.trim("rule").alias("rule")).withColumn("_says", _says(o))
+    table = F.broadcast(table) if few else table
+    path = lambda at: at("path")
+    typed = {"_types": listed(lambda at: at("tag") == VALUE_TYPE, lambda at: F.struct(at("path").alias("path"), at("value").alias("value")))} if sanitizes else {}
+    uids = {"_uids": listed(lambda at: (at("vr") == "UI") & ~at("tag").isin(*INVARIANT_UIDS), path)} if o.preserveUidReferences else {}
+    rows = attrs if "subject" in attrs.columns else attrs.withColumn("subject", subject_key(_subject_values(listed)))
+    rows = rows.withColumn("_creators", _creators(listed)) if lists else rows
+    sequence = lambda at, own: F.struct(F.length(at("path")).alias("size"), F.concat(at("path"), F.lit("[")).alias("path"), own.alias("_own"))
+    if whole:
+        rows, reader = _with_lookup(rows, table)
+        around = F.transform(F.filter("attributes", lambda a: a["vr"] == "SQ"), lambda a: sequence(a.getField, _own_action(o, reader(a))))
+    else:
+        rows = _with_own(rows, table, o, safe)
+        around = _over_rows(lambda at: at("vr") == "SQ", lambda at: sequence(at, at("_own")))
+    rows = rows.withColumns(typed | uids | {"_around": around})
+    stays = lambda s: F.exists("_uids", lambda p: F.startswith(p, s["path"])) if o.preserveUidReferences else F.lit(False)
+    rows = rows.withColumn("_around", F.filter("_around", lambda s: s["_own"].isin("remove", "keep", "sanitize") | ((s["_own"] == "remove?") & ~stays(s)))).drop("_uids", "_rules")
+    lost = listed(lambda at: (at("vr") == "SQ") & (_outermost(at) == "sanitize") & (_content_action(at) == "remove"), path)
+    rows = rows.withColumn("_lost", lost) if sanitizes else rows
+    if whole:
+        rows = rows.select(*(c for c in rows.columns if c != "attributes"), F.inline("attributes"))
+    out = rows.withColumn("_outer", _outermost(F.col)).where("_outer is null or _outer not in ('remove', 'remove?')")
+    out = out.where(~_within(F.col("_lost"))) if sanitizes else out
+    goes = F.exists("_around", lambda s: (s["_own"] == "remove?") & (s["path"] == F.concat("path", F.lit("["))))
+    out = out.withColumn("_goes", F.when(F.col("vr") == "SQ", goes)).drop("_around", "_lost")
+    out = _with_own(out, table, o, safe) if whole else out
+    own = F.when(F.col("_own") == "remove?", F.when(F.col("_goes"), "remove").otherwise("recurse")).otherwise(F.col("_own"))
+    action = F.when(F.col("_outer") == "keep", "keep")
+    action = (action.when(F.col("_outer") == "sanitize", _content_action(F.col)) if sanitizes else action).otherwise(own)
     # Of all that is removed at the end, these three stand at the top.
     out = out.withColumn("action", F.when(F.col("path").isin(*NEVER_KEPT), "remove").otherwise(action))
-    lost = F.collect_list(F.when((F.col("vr") == "SQ") & (F.col("_outer") == "sanitize") & (F.col("action") == "remove"), F.col("path"))).over(w)
-    out = out.withColumn("_lost", lost).where("_outer is null or _outer <> 'remove'").where(~_within(F.col("_lost")))
     a, value = F.col("action"), F.col("value")
     days = S.day_offset(F.col("subject"), o.secret)
     fixed = {"00020013": o.implementationVersion, "00100040": o.newPatientSex, "00081030": o.newStudyDescription, "0008103E": o.newSeriesDescription}
@@ -253,8 +327,9 @@ def apply_rules(attrs: DataFrame, rules: DataFrame, options: Options, safe: Data
         .when(a == "shift", _each(value, lambda v: S.shift_date(v, days, o.keepExactTimes)))
         .when(a == "age", _each(value, lambda v: S.age(v, o.roundAgeToYears, o.aggregateAgesOver89)))
     )
-    new = F.when((F.col("vr") == "DA") & (a != "remove"), F.regexp_replace(new, r"[-./\s]", "")).otherwise(new)
-    out = out.withColumn("new_value", new).drop("_own", "_outer", "_type", "_lost", "is_safe")
+    plain = F.regexp_replace("new_value", r"[-./\s]", "")
+    out = out.withColumn("new_value", new).withColumn("new_value", F.when((F.col("vr") == "DA") & (a != "remove"), plain).otherwise(F.col("new_value")))
+    out = out.drop("_own", "_outer", "_goes", "_types", "_says", "_creators", "is_safe")
     return _with_equipment(out) if o.addContributingEquipment else out
 
 

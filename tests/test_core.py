@@ -406,3 +406,21 @@ def test_export_from_end_to_end(spark, tmp_path):
 def test_method_codes():
     assert [c for c, _ in deid.method_codes(deid.Options("k"))] == ["113100", "113107"]
     assert [c for c, _ in deid.method_codes(deid.Options("k", keepDates=True, remapUids=False, privateTags="keep_safe", structuredContent="sanitize"))] == ["113100", "113106", "113110", "113111", "113104"]
+
+
+def test_whole_instances_are_walked_as_their_rows_are(spark):
+    rows = [("00080018", "UI", "1.2.3"), ("00081140", "SQ", "1"), ("00081140[0].00081155", "UI", "1.3"), ("00081140[0].00100010", "PN", "A^B"), ("00090010", "LO", "V"), ("00091001", "LO", "listed"), ("00091002", "LO", "not"), ("00100020", "LO", " P "), ("00080020", "DA", "2024-01-31"), ("00400275", "SQ", None), ("00400275[0].00100020", "LO", "P"), ("00400555", "SQ", "0"), ("00400555[0].00100020", "LO", "P"), ("0040A730", "SQ", "2"), ("0040A730[0].0040A040", "CS", "ODD"), ("0040A730[0].00080104", "SQ", "1"), ("0040A730[0].00080104[0].00080100", "SH", "x"), ("0040A730[1].0040A160", "UT", "found"), ("00189999", "LO", "no rule")]
+    rules = spark.createDataFrame([("00080018", "@uid"), ("00081140", "@remove()"), ("00081155", "@uid"), ("00100010", "@ptid"), ("00100020", " @ptid "), ("00080020", "@hashdate"), ("00400275", "@remove()"), ("00400555", "@remove()"), ("0040A730", ""), ("00080100", "@keep")], "tag string, rule string")
+    safe = spark.createDataFrame([("V", "0009", 1, 1)], "creator string, grp string, lo int, hi int")
+    whole = spark.createDataFrame([(str(i), [(p, p[-8:], v, x) for p, v, x in rows[i:]]) for i in range(6)], "instance_id string, attributes array<struct<path:string,tag:string,vr:string,value:string>>")
+    table = whole.selectExpr("instance_id", "inline(attributes)")
+    for some in ({}, {"structuredContent": "sanitize"}, {"privateTags": "keep_safe"}, {"preserveUidReferences": False, "whitelist": "00400275"}):
+        outs = [deid.apply_rules(a, rules, deid.Options("key", **some), safe) for a in (table, whole)]
+        first, second = (sorted(map(repr, df.select(sorted(df.columns)).collect())) for df in outs)
+        assert first == second and len(first) > 60
+        assert "instance_id" not in "".join(x for x in outs[1]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_a_keyed_hash_is_worked_out_once(spark):
+    for c in (S.mapped_uid(F.col("x"), "key"), S.day_offset(F.col("x"), "key")):
+        assert str(c).count("sha2(") == 2
