@@ -141,38 +141,49 @@ def distinct_names(rows: DataFrame, parent: list[str], key: str, base: str, seq:
     taken = F.collect_set(F.when(F.rlike(base, F.lit("_DUP[0-9]{2,}$")), F.col(base))).over(W.partitionBy(*parent))  # few
     k = F.row_number().over(W.partitionBy(*parent, base).orderBy("_first", key))
     named = first.withColumn("_k", k).withColumn("_taken", taken)
+    return named.select(*parent, key, _free_name(F.col(base), F.col("_k"), F.col("_taken")).alias("name"))
+
+
+def _free_name(base: Column, k: Column, taken: Column) -> Column:
+    """The name of the k-th that has this base, among the taken ones that were themselves given."""
     # The numbers 2, 3, ... whose names are free, of which the k-th name takes the one at k - 1.
-    spare = F.filter(F.sequence(F.lit(2), F.col("_k") + F.size("_taken")), lambda n: ~F.array_contains(F.col("_taken"), with_suffix(F.col(base), n)))
-    number = F.when((F.col("_k") == 1) | (F.size("_taken") == 0), F.col("_k")).otherwise(F.element_at(spare, F.col("_k") - 1))
-    return named.select(*parent, key, with_suffix(F.col(base), number).alias("name"))
+    spare = F.filter(F.sequence(F.lit(2), k + F.size(taken)), lambda n: ~F.array_contains(taken, with_suffix(base, n)))
+    return with_suffix(base, F.when((k == 1) | (F.size(taken) == 0), k).otherwise(F.element_at(spare, k - 1)))
 
 
 def manifest(instances: DataFrame) -> DataFrame:
     """One row per file to export: patient_dir, study_dir, series_dir, sop, url, extension, seq and the raw patient fields.
 
     Of rows with the same study, series, object and url the first stays, whether or not its UID is valid; then those
-    without a valid UID go. Directories are neutral: the ends of UIDs, numbered where they collide."""
+    without a valid UID go. Directories are neutral: the ends of UIDs, numbered where they collide. What has the same end of
+    a study's UID is exchanged once and lies together then; all else is decided there, in windows over it.
+    """
     url = S.normalize_url(F.col("url"))
     object_url = F.when(F.col("from_frames"), url).when(url != "", S.without_frame(url)).otherwise("")
     rows = instances.where((url != "") | F.col("has_file")).withColumn("object_url", object_url)
-    place = F.row_number().over(W.partitionBy("study", "series").orderBy("seq")) - 1
     sop = F.coalesce(S.missing(F.col("sop")), S.missing(S.query_value(F.col("object_url"), "objectUID")))
-    raw = F.coalesce(sop, S.missing(F.col("object_url")), F.concat(F.lit("instance-"), place.cast("string")))
-    rows = rows.withColumn("_raw", raw).withColumn("_sop", sop)
-    some = ["number", "patient_id", "patient_name", "_sop"]
-    first = rows.groupBy("study", "series", "_raw", "object_url").agg(F.min("seq").alias("seq"), F.min_by(F.struct(*some), "seq").alias("a")).select("study", "series", "object_url", "seq", "a.*")
-    kept = first.withColumn("sop", S.valid_uid(F.col("_sop"))).where("sop is not null")
-    study, series = F.coalesce(S.missing(F.col("study")), F.lit("study")), F.coalesce(S.missing(F.col("series")), F.lit("series"))
-    kept = kept.withColumn("study", study).withColumn("series", series)
-    kept = kept.withColumn("patient_dir", F.concat(F.lit("Patient_"), S.short_uid(F.col("study"))))
-    kept = kept.withColumn("_study", F.concat(F.lit("Study_"), S.short_uid(F.col("study"))))
-    kept = kept.withColumn("_series", F.concat(F.lit("Series_"), S.series_number(F.col("number").cast("string")), F.lit("_"), S.short_uid(F.col("series"))))
-    studies = distinct_names(kept, ["patient_dir"], "study", "_study", "seq").withColumnRenamed("name", "study_dir")
-    heads = kept.groupBy("study", "series").agg(F.min("seq").alias("seq"), F.min_by("_series", "seq").alias("_series"))
-    names = distinct_names(heads, ["study"], "series", "_series", "seq").withColumnRenamed("name", "series_dir")
-    out = kept.join(studies, ["patient_dir", "study"]).join(names, ["study", "series"])
+    some = ["seq", "study", "series", "object_url", "number", "patient_id", "patient_name"]
+    rows = rows.select(*some, sop.alias("_sop"))
+    end = S.short_uid(F.coalesce(S.missing(F.col("study")), F.lit("study")))
+    # An object without UID and url has no valid UID whatever its place may be, so it needs no name of its own here.
+    rows = rows.withColumn("_end", end).repartition("_end").withColumn("_raw", F.coalesce("_sop", S.missing(F.col("object_url"))))
+    rows = rows.withColumn("_study", F.coalesce(S.missing(F.col("study")), F.lit("study"))).withColumn("_series", F.coalesce(S.missing(F.col("series")), F.lit("series")))
+    over = lambda *keys: W.partitionBy("_end", *keys)
+    # Sorted once for this and the next three windows, whose keys are the first of these.
+    place = F.row_number().over(over("_study", "_series", "study", "series", "_raw", "object_url").orderBy("seq"))
+    first = rows.withColumn("_place", place).where("_place = 1").drop("_place", "_raw", "study", "series")
+    kept = first.withColumn("sop", S.valid_uid(F.col("_sop"))).where("sop is not null").drop("_sop")
+    base = F.concat(F.lit("Series_"), S.series_number(F.col("number").cast("string")), F.lit("_"), S.short_uid(F.col("_series")))
+    given = lambda c: F.collect_set(F.when(F.rlike(c, F.lit("_DUP[0-9]{2,}$")), c))
+    kept = kept.withColumns({"_base": F.min_by(base, "seq").over(over("_study", "_series")), "_first": F.min("seq").over(over("_study", "_series"))})
+    kept = kept.withColumns({"_given": given(F.col("_base")).over(over("_study")), "_study_first": F.min("_first").over(over("_study"))})
+    study_base = F.concat(F.lit("Study_"), F.col("_end"))
+    kept = kept.withColumn("_study_given", given(study_base).over(over()))
+    kept = kept.withColumn("_k", F.dense_rank().over(over("_study", "_base").orderBy("_first", "_series")))
+    kept = kept.withColumn("_study_k", F.dense_rank().over(over().orderBy("_study_first", "_study")))
     raw_of = lambda c: F.coalesce(S.missing(F.trim(c)), F.lit("UNKNOWN"))
-    return out.select("seq", "study", "series", "sop", F.col("object_url").alias("url"), S.extension(F.col("object_url")).alias("extension"), "patient_dir", "study_dir", "series_dir", "number", raw_of("patient_id").alias("patient_id"), raw_of("patient_name").alias("patient_name"))
+    study_dir, series_dir = _free_name(study_base, F.col("_study_k"), F.col("_study_given")), _free_name(F.col("_base"), F.col("_k"), F.col("_given"))
+    return kept.select("seq", F.col("_study").alias("study"), F.col("_series").alias("series"), "sop", F.col("object_url").alias("url"), S.extension(F.col("object_url")).alias("extension"), F.concat(F.lit("Patient_"), "_end").alias("patient_dir"), study_dir.alias("study_dir"), series_dir.alias("series_dir"), "number", raw_of("patient_id").alias("patient_id"), raw_of("patient_name").alias("patient_name"))
 
 
 def person_name(alphabetic: Column, ideographic: Column, phonetic: Column) -> Column:

@@ -424,3 +424,26 @@ def test_whole_instances_are_walked_as_their_rows_are(spark):
 def test_a_keyed_hash_is_worked_out_once(spark):
     for c in (S.mapped_uid(F.col("x"), "key"), S.day_offset(F.col("x"), "key")):
         assert str(c).count("sha2(") == 2
+
+
+def test_manifest_is_exchanged_once(spark):
+    from silvercask.operators import manifest
+
+    end = "1111111111222222222233333333"
+    rows = [
+        ("1." + end, "1.5", "1.2.1", 1, "u", 7), ("1." + end, "1.5", "1.2.1", 2, "u", 8), ("2." + end, "1.6", "1.2.2", 0, "u", 1),
+        ("2." + end, "3." + end, "1.2.3", 5, "u", 2), ("2." + end, "4." + end, "1.2.4", 4, "u", 2), ("2." + end, "4." + end, "bad", 3, "u", 9),
+        (None, "", "1.2.5", 9, "u", None), ("study", "series", "1.2.6", 8, "u", 3), ("", None, "1.2.6", 7, "u", 3), ("9", "9", "", 1, "", 1), ("9", "9", None, 2, None, 1), ("9", "9", "instance-0", 3, "", 1),
+        ("8", "8", None, 1, "1.2.7", 1), ("8", "8", "1.2.7", 2, "1.2.7", 1), ("7", "7", "", 1, "https://h?objectUID=1.2.8&frame=3", 4), ("7", "7", "1.2.8", 2, "https://h?objectUID=1.2.8", 5),
+    ]
+    df = spark.createDataFrame(rows, "study string, series string, sop string, seq long, url string, number int").selectExpr("*", "true as has_file", "false as from_frames", "cast(null as string) as patient_id", "' P ' as patient_name")
+    out = manifest.manifest(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {(r.study, r.series, r.sop, r.seq): (r.patient_dir, r.study_dir, r.series_dir, r.patient_name) for r in out.collect()}
+    one, two = "Patient_" + end, "Study_" + end
+    assert got == {
+        ("1." + end, "1.5", "1.2.1", 1): (one, two + "_DUP02", "Series_007_1.5", "P"), ("2." + end, "1.6", "1.2.2", 0): (one, two, "Series_001_1.6", "P"),
+        ("2." + end, "3." + end, "1.2.3", 5): (one, two, "Series_002_" + end + "_DUP02", "P"), ("2." + end, "4." + end, "1.2.4", 4): (one, two, "Series_002_" + end, "P"),
+        ("study", "series", "1.2.5", 9): ("Patient_study", "Study_study", "Series_003_series", "P"), ("study", "series", "1.2.6", 8): ("Patient_study", "Study_study", "Series_003_series", "P"),
+        ("study", "series", "1.2.6", 7): ("Patient_study", "Study_study", "Series_003_series", "P"), ("7", "7", "1.2.8", 1): ("Patient_7", "Study_7", "Series_004_7", "P"),
+    }
